@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
+from .near_dedup import OP7_SQL, op7_near_dedup
 from .url_filter import OP1_SQL, op1_url_filter
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_near_dedup": op7_near_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
