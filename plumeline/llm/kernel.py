@@ -62,8 +62,11 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of each word, A-Z lower-cased, and the offsets of the rows among the words."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word, A-Z lower-cased if ``lower``, and the offsets of the rows among the words.
+
+    ``cut``: positions inside words at which another word begins.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -75,9 +78,12 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     last[:-1] &= ~on[1:]
     first[offsets[:-1][full]] = on[offsets[:-1][full]]
     last[offsets[1:][full] - 1] = on[offsets[1:][full] - 1]
+    if cut is not None:
+        first[cut] = True
+        last[cut - 1] = True
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWERED[data].astype(np.uint64) + np.uint64(1)) * _power("base", _BASE, n), out=prefix[1:])
+    np.cumsum(((LOWERED[data] if lower else data).astype(np.uint64) + np.uint64(1)) * _power("base", _BASE, n), out=prefix[1:])
     hashed = (prefix[ends] - prefix[starts]) * _power("back", _BACK, n)[starts]
     return starts, ends, mix(hashed + (ends - starts).astype(np.uint64) * np.uint64(_BASE)), np.searchsorted(starts, offsets)
 

@@ -1,0 +1,213 @@
+"""An adaptive context-mixing range coder for token ids below 65,536, for many independent blocks at once.
+
+Every block starts from an empty model. For each id the order-2 and the order-1 context each predict one id; two
+adaptive estimates that the order-2 prediction holds, one from each order's record, are mixed by an adaptive weight,
+and the id is coded as "order 2 was right", "order 1 was right" or a literal. A literal's two bytes are coded under
+order-0 frequencies, which are learned from the block's ids and brought up to date every PERIOD ids. Arithmetic coding
+is a 48-bit range coder with 16-bit digits. Blocks share nothing; that they advance side by side, one id of each block
+per step, is what lets NumPy do the work. All model arithmetic is in integers, so every machine decodes alike.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+
+BLOCK = 2048
+PERIOD = 256
+SLOT_BITS = 11
+SLOTS = 1 << SLOT_BITS
+ONE = 1 << 12
+FLOOR = 16  # least share of each outcome, of ONE
+_TOP = 1 << 32
+_U = np.uint64
+
+
+class _Model:
+    """The state of ``lanes`` blocks; every method works on the first ``n`` of them."""
+
+    def __init__(self, lanes: int) -> None:
+        self.slot = np.arange(lanes, dtype=np.int64) * SLOTS
+        self.four = np.arange(lanes, dtype=np.int64) * 8
+        self.row = np.arange(lanes, dtype=np.int64) * 256
+        self.sixteen = np.arange(lanes, dtype=np.int64) * 16
+        self.order1, self.order2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # 4 * id + how sure
+        self.a, self.b = np.full(lanes * 8, ONE // 4, np.int32), np.full(lanes * 8, ONE // 4, np.int32)
+        self.c = np.full(lanes * 16, ONE // 8, np.int32)
+        self.w = np.full(lanes * 8, 128, np.int32)
+        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.counts = [np.zeros(lanes * 256, np.int32), np.zeros(lanes * 256, np.int32)]
+        self.lanes = lanes
+        self.renew()
+
+    def renew(self) -> None:
+        """Order-0 frequencies of each literal byte, ONE in all, from the counts so far."""
+        self.freq, self.share = [], []  # share: 8192 * what comes before + own
+        for counts in self.counts:
+            c = counts.reshape(self.lanes, 256)
+            f = 1 + c * (ONE - 256) // np.maximum(c.sum(1, keepdims=True), 1)
+            f[np.arange(self.lanes), c.argmax(1)] += ONE - f.sum(1, dtype=np.int32)
+            cum = np.cumsum(f, 1, dtype=np.int32) - f
+            self.freq.append(f.ravel())
+            self.share.append(((cum << 13) | f).ravel())
+
+    def tables(self) -> list[np.ndarray]:
+        """For the decoder: which byte each share of ONE belongs to."""
+        names = np.tile(np.arange(256, dtype=np.uint8), self.lanes)
+        return [np.repeat(names, f) for f in self.freq]
+
+    def predict(self, n: int) -> None:
+        """Both predictions, and the shares of the three outcomes."""
+        last1, last2 = self.last1[:n], self.last2[:n]
+        self.at1 = self.slot[:n] + (((last1 + 1) * 0x9E3779B1 >> 12) & (SLOTS - 1))
+        self.at2 = self.slot[:n] + (((last1 * 0x85EBCA6B + last2 * 0xC2B2AE35 + 77) >> 13) & (SLOTS - 1))
+        e1, e2 = self.order1[self.at1], self.order2[self.at2]
+        self.q1, self.q2, self.s1, self.s2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
+        self.agree = self.q1 == self.q2
+        self.ia, self.ib = self.four[:n] + 2 * self.s2 + self.agree, self.four[:n] + 2 * self.s1 + self.agree
+        self.ic = self.sixteen[:n] + 4 * self.s1 + self.s2
+        self.pa, self.pb, self.weight = self.a[self.ia], self.b[self.ib], self.w[self.ia]
+        self.f2 = np.clip((self.pa * self.weight + self.pb * (256 - self.weight)) >> 8, FLOOR, ONE - 2 * FLOOR)
+        self.f1 = np.clip((ONE - self.f2) * self.c[self.ic] >> 12, FLOOR, ONE - self.f2 - FLOOR)
+        self.f1[self.agree] = FLOOR
+
+    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``hit1``: order 1 was right and order 2 was not."""
+        up = hit2 * ONE
+        self.a[self.ia] = self.pa + ((up - self.pa) >> 5)
+        self.b[self.ib] = self.pb + ((up - self.pb) >> 5)
+        self.w[self.ia] = np.clip(self.weight + np.where((self.pa > self.pb) == hit2, 4, -4), 16, 240)
+        c = self.c[self.ic]
+        self.c[self.ic] = np.where(hit2 | self.agree, c, c + ((hit1 * ONE - c) >> 5))
+        for at, q, sure, held in ((self.at1, self.q1, self.s1, self.order1), (self.at2, self.q2, self.s2, self.order2)):
+            right = q == ids
+            sure = np.where(right, np.minimum(sure + 1, 3), sure - 1)
+            held[at] = np.where(sure < 0, ids << 2, (q << 2) | sure)
+        row = self.row[:n]
+        self.counts[0][row + (ids >> 8)] += 24
+        self.counts[1][row + (ids & 255)] += 24
+        self.last2[:n] = self.last1[:n]
+        self.last1[:n] = ids
+
+
+def _lengths(total: int, block: int) -> tuple[int, int]:
+    lanes = -(-total // block)
+    return lanes, total - (lanes - 1) * block
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
+    """(ids, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each run of ``block`` ids."""
+    if not len(ids):
+        return []
+    if int(ids.max()) > 0xFFFF or int(ids.min()) < 0:
+        raise ValueError("ids must be in 0..65535")
+    lanes, short = _lengths(len(ids), block)
+    padded = np.zeros(lanes * block, np.int32)
+    padded[: len(ids)] = ids
+    steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
+    model = _Model(lanes)
+    low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
+    out, place = np.zeros((lanes, block + 4 * PERIOD), np.uint32), np.zeros(lanes, np.int64)
+    for t in range(min(block, len(ids))):
+        n = lanes if t < short else lanes - 1
+        if t and t % PERIOD == 0:
+            model.renew()
+            if int(place.max()) + 2 * PERIOD + 16 > out.shape[1]:  # a step writes two digits at most
+                out = np.concatenate([out, np.zeros((lanes, 2 * PERIOD + 16), np.uint32)], 1)
+        x = steps[t, :n]
+        model.predict(n)
+        hit2 = model.q2 == x
+        hit1 = (model.q1 == x) & ~hit2
+        cum = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1)).astype(_U)
+        share = np.where(hit2, model.f2, np.where(hit1, model.f1, ONE - model.f2 - model.f1)).astype(_U)
+        r = span[:n] >> _U(12)
+        lo, sp = low[:n] + r * cum, r * share
+        lit = np.flatnonzero(~(hit2 | hit1))
+        if len(lit):
+            hi_at, lo_at = model.row[lit] + (x[lit] >> 8), model.row[lit] + (x[lit] & 255)
+            high, low_byte = model.share[0][hi_at], model.share[1][lo_at]
+            fh = high & 8191
+            r = sp[lit] >> _U(24)
+            lo[lit] += r * ((high >> 13) * ONE + fh * (low_byte >> 13)).astype(_U)
+            sp[lit] = r * (fh * (low_byte & 8191)).astype(_U)
+        while len(at := np.flatnonzero(sp < _U(_TOP))):
+            out[at, place[at]] = lo[at] >> _U(32)
+            place[at] += 1
+            lo[at] = (lo[at] & _U(_TOP - 1)) << _U(16)
+            sp[at] <<= _U(16)
+        low[:n], span[:n] = lo, sp
+        model.learn(n, x, hit2, hit1)
+    for shift in (32, 16, 0):
+        out[np.arange(lanes), place] = (low >> _U(shift)) & _U(0x1FFFF if shift == 32 else 0xFFFF)
+        place += 1
+    for k in range(int(place.max()) - 1, 0, -1):  # digits above 16 bits carry into the one before
+        carry = out[:, k] >> 16
+        if carry.any():
+            out[:, k - 1] += carry
+            out[:, k] &= 0xFFFF
+    digits = out.astype("<u2")
+    raw = np.ascontiguousarray(ids, "<u4")
+    return [
+        (min(block, len(ids) - k * block), zlib.crc32(raw[k * block : (k + 1) * block].tobytes()), digits[k, : place[k]].tobytes()) for k in range(lanes)
+    ]
+
+
+def decode(blocks: list[tuple[int, int, bytes]], block: int = BLOCK) -> np.ndarray:
+    """The ids of ``blocks`` as encode() gives them, all but the last full; raises ValueError where a checksum does not hold."""
+    if not blocks:
+        return np.zeros(0, np.uint32)
+    lanes, short = len(blocks), blocks[-1][0]
+    if any(b[0] != block for b in blocks[:-1]) or short > block:
+        raise ValueError("only the last block may be short")
+    width = max(len(b[2]) for b in blocks) // 2 + 4
+    digits = np.zeros((lanes, width), np.uint16)
+    for k, b in enumerate(blocks):
+        digits[k, : len(b[2]) // 2] = np.frombuffer(b[2], "<u2")
+    model = _Model(lanes)
+    tables = model.tables()
+    flat, base = digits.ravel().astype(_U), np.arange(lanes, dtype=np.int64) * width
+    code = (flat[base] << _U(32)) | (flat[base + 1] << _U(16)) | flat[base + 2]
+    place, span = base + 3, np.full(lanes, 1 << 48, _U)
+    steps = np.zeros((block, lanes), np.int32)
+    share_row = np.arange(lanes, dtype=np.int64) * ONE
+    for t in range(block if lanes > 1 else short):
+        n = lanes if t < short else lanes - 1
+        if t and t % PERIOD == 0:
+            model.renew()
+            tables = model.tables()
+        model.predict(n)
+        f2, f1 = model.f2, model.f1
+        r = span[:n] >> _U(12)
+        v = np.minimum(code[:n] // r, _U(ONE - 1)).astype(np.int64)
+        hit2 = v < f2
+        hit1 = ~hit2 & (v < f2 + f1)
+        cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(_U)
+        share = np.where(hit2, f2, np.where(hit1, f1, ONE - f2 - f1)).astype(_U)
+        co, sp = code[:n] - r * cum, r * share
+        x = np.where(hit2, model.q2, model.q1)
+        lit = np.flatnonzero(~(hit2 | hit1))
+        if len(lit):
+            r = sp[lit] >> _U(24)
+            v = np.minimum(co[lit] // r, _U((1 << 24) - 1)).astype(np.int64)
+            hi = tables[0][share_row[lit] + (v >> 12)].astype(np.int64)
+            hi_at = model.row[lit] + hi
+            high = model.share[0][hi_at]
+            fh, ch = high & 8191, (high >> 13) * ONE
+            lo = tables[1][share_row[lit] + np.minimum((v - ch) // fh, ONE - 1)].astype(np.int64)
+            low_byte = model.share[1][model.row[lit] + lo]
+            co[lit] -= r * (ch + fh * (low_byte >> 13)).astype(_U)
+            sp[lit] = r * (fh * (low_byte & 8191)).astype(_U)
+            x[lit] = (hi << 8) | lo
+        while len(at := np.flatnonzero(sp < _U(_TOP))):
+            co[at] = (co[at] << _U(16)) | flat[np.minimum(place[at], len(flat) - 1)]
+            place[at] += 1
+            sp[at] <<= _U(16)
+        code[:n], span[:n] = co, sp
+        steps[t, :n] = x
+        model.learn(n, x, hit2, hit1)
+    ids = np.ascontiguousarray(steps.T).ravel()[: (lanes - 1) * block + short].astype("<u4")
+    for k, (n, crc, _) in enumerate(blocks):
+        if zlib.crc32(ids[k * block : k * block + n].tobytes()) != crc:
+            raise ValueError(f"block {k} does not match its checksum")
+    return ids

@@ -6,10 +6,16 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .near_dedup import OP7_SQL, op7_near_dedup
+from .quality import op4_quality
+from .token_output import op3_token_output
+from .toxicity import op5_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_token_output": op3_token_output,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dedup": op7_near_dedup,
     "op9_mixing": op9_mixing,
