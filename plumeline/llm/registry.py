@@ -6,6 +6,7 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .near_dedup import OP7_SQL, op7_near_dedup
+from .pii import op8_pii
 from .quality import op4_quality
 from .token_output import op3_token_output
 from .toxicity import op5_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dedup": op7_near_dedup,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
