@@ -8,12 +8,14 @@ from .mixing import OP9_SQL, op9_mixing
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .pii import op8_pii
 from .quality import op4_quality
+from .suffix_dedup import op2_suffix_dedup
 from .token_output import op3_token_output
 from .toxicity import op5_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_output": op3_token_output,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
