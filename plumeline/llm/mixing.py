@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row for each source.
 
     Sources in order of code points, null last, weigh 5, 2, 1, repeating. Sharing the excess of capped sources until
-    none is above its cap ends at min(cap, level * weight) for one level; sources in order of cap by weight show it.
+    none is above its cap ends at min(cap, level * weight) for one level. In order of cap by weight, each source
+    gives the level at which all before it are capped and it is not; levels that do not cap it only fall from there on.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.lit(SHARE) * F.sum("source_size").over(everything) - F.lit(MOST) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(rest)
     led = sizes.withColumn("weight", w).withColumn("level", level)
-    led = led.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.lit(MOST) * F.col("source_size"), F.col("level"))).over(everything))
+    led = led.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.lit(MOST) * F.col("source_size"), F.col("level"))).over(everything))
     return led.select("source", "source_size", F.least(F.lit(MOST) * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), F.lit(MOST) * F.col("source_size"))).alias("target"))
 
 
@@ -81,15 +82,33 @@ def mix(docs: DataFrame) -> DataFrame:
     Null text: size 0. Null source: one source, the last. Rows that share a doc_id share a hash, and are in or out together.
     A source without words has target 0. An empty table gives no rows. The crossing document is in where that is nearer.
     """
-    docs = spread(docs, ["doc_id", "text", "source"])
-    sized = stage(docs.select("doc_id", "source", words(F.col("text")).alias("size"), unit_hash(F.col("doc_id")).alias("hash")), "sized")
-    targets = stage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    marks = stage(thresholds(sized, targets), "thresholds").withColumnRenamed("source", "s")
+    sized, marks = _marked(docs)
     return sized.join(marks, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + (F.col("hash") < F.col("bound")).cast("long"))).alias("taken")
     )
 
 
+def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    docs = spread(docs, ["doc_id", "text", "source"])
+    sized = stage(docs.select("doc_id", "source", words(F.col("text")).alias("size"), unit_hash(F.col("doc_id")).alias("hash")), "sized")
+    targets = stage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    return sized, stage(thresholds(sized, targets), "thresholds").withColumnRenamed("source", "s")
+
+
+#: Most sources whose thresholds are sent to every task; more of them are joined.
+BROADCAST_SOURCES = 100_000
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it; texts without words are never taken."""
+    _, marks = _marked(docs)
+    marks = marks.select(F.col("s").alias("__s"), F.col("whole").alias("__whole"), F.col("bound").alias("__bound"))
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_SOURCES else marks
+    times = F.when(words(F.col("text")) > 0, F.col("__whole") + (unit_hash(F.col("doc_id")) < F.col("__bound")).cast("long")).otherwise(0)
+    taken = docs.join(marks, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__times", times).where("__times > 0")
+    return taken.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).drop("source")
 
@@ -108,7 +127,7 @@ l AS (
      - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT::DOUBLE)
      / (sum(w) OVER (ORDER BY source_size::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT::DOUBLE AS lv
   FROM s),
-m AS (SELECT min(lv) FILTER (lv * w <= 2.0::DOUBLE * source_size) AS lv FROM l),
+m AS (SELECT max(lv) FILTER (lv * w <= 2.0::DOUBLE * source_size) AS lv FROM l),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(m.lv * w, 2.0::DOUBLE * source_size)) AS target FROM l, m),
 b AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS whole FROM t),
