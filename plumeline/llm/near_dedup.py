@@ -5,9 +5,10 @@ that differ in fewer than CHUNKS * (ERRORS + 1) symbols have a chunk with ERRORS
 listed under each key that leaves one of its symbols out, so that such pairs always share a key. Pairs beyond that
 distance that share a key are looked at too: a pair of similarity 0.75 is missed with a chance of 3e-7.
 
-Texts with equal shingle sets form one class. In a bucket (classes that share a key) each class is held against the
-bucket's first; pairs that pass are confirmed on the sets themselves and joined to components. Only classes of one
-bucket that are still in different components are then held against each other, in tiles of a bounded size.
+Texts with equal shingle sets form one class. In a bucket (classes that share a key) each class is held against one
+class of the bucket, chosen by hash; pairs that pass are confirmed on the sets themselves and joined to components. Only
+classes of one bucket that are still in different components are then held against each other, in tiles of a bounded
+size, each pair in one bucket only and by longer signatures, so that few pairs but those close to the bound go on.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +34,30 @@ SYMBOLS = CHUNK * CHUNKS
 SMALL = 512
 #: Differing symbols beyond which a pair is not confirmed: six standard deviations above the mean at similarity 0.75.
 FAR = 41
-NEAR = 21
+#: The same for pairs of a bucket of three or more, which is looked at again by longer signatures.
+FIRST_FAR = 26
+#: Symbols of four bits of the longer signatures, and how many must agree: 4.5 standard deviations below the mean at similarity 0.75.
+LONG = 1024
+LONG_AGREE = 723
+#: Orders by which buckets choose the class that the others are held against.
+ORDERS = 2
 TILE = 2048
-SALTS = 16
+SIDE_BYTES = 8 << 20
+LEAST_SIDES = 4
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
+_LONG_XOR = _rng.integers(0, 1 << 63, LONG, dtype=np.uint64)
+_LONG_MUL = _rng.integers(0, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
 
 
 # ---------------------------------------------------------------- signatures
 
 
-def _direct(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, SYMBOLS) symbols, one hash function for each."""
-    out = np.zeros((len(sets), SYMBOLS), np.uint16)
+def _direct(sets: list[np.ndarray], xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
+    """(sets, hash functions) symbols, one hash function for each."""
+    out = np.zeros((len(sets), len(xor)), np.uint16)
     at = 0
     while at < len(sets):
         to, total = at, 0
@@ -55,8 +66,8 @@ def _direct(sets: list[np.ndarray]) -> np.ndarray:
             to += 1
         flat = np.concatenate(sets[at:to])
         bounds = np.cumsum([0, *[len(s) for s in sets[at : to - 1]]])
-        for k in range(SYMBOLS):
-            v = (flat ^ _XOR[k]) * _MUL[k]
+        for k in range(len(xor)):
+            v = (flat ^ xor[k]) * mul[k]
             v ^= v >> np.uint64(32)
             out[at:to, k] = K.mix(np.minimum.reduceat(v, bounds)) & np.uint64(0xFFFF)
         at = to
@@ -114,7 +125,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     packed = np.zeros((n, CHUNKS), np.uint64)
                     for i in (i for i in range(CHUNK) if i != j):
                         packed = (packed << np.uint64(16)) | sig[:, :, i]
-                    keys[:, :, j] = K.mix(packed + K.mix(np.arange(CHUNKS, dtype=np.uint64) + np.uint64(1 + CHUNKS * (j + CHUNK * kind))))
+                    slots = (SYMBOLS * kind + CHUNK * np.arange(CHUNKS) + j).astype(np.uint64)  # kept in a key's last byte
+                    keys[:, :, j] = (K.mix(packed + K.mix(slots + np.uint64(1))) & np.uint64(0xFFFFFFFFFFFFFF00)) | slots
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(np.repeat(ids[at : at + 4096].to_numpy(), SYMBOLS))], ["key", "cid"])
 
 
@@ -132,32 +144,35 @@ def _distance(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, low_a, high_a, low_b, high_b) -> (a, b, distance) of the pairs up to FAR."""
+    """(a, b, low_a, high_a, low_b, high_b, n) -> (a, b) of the pairs up to FAR, or FIRST_FAR where all their buckets have more than two classes."""
     for batch in batches:
         d = np.minimum(_distance(batch.column(2), batch.column(4)), _distance(batch.column(3), batch.column(5)))
-        keep = pa.array(d <= FAR)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(d[d <= FAR], pa.int64())], ["a", "b", "distance"])
+        keep = pa.array(d <= np.where(batch.column(6).to_numpy() == 2, FAR, FIRST_FAR))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, SYMBOLS) symbols, zero where there is none, and whether there is one."""
+def _signatures(column: pa.Array, symbols: int = SYMBOLS, kind: type = np.uint16) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, symbols), zero where there is no signature, and whether there is one."""
     there = column.is_valid().to_numpy(False)
-    out = np.zeros((len(column), SYMBOLS), np.uint16)
+    out = np.zeros((len(column), symbols), kind)
     if there.any():
-        out[there] = np.frombuffer(b"".join(column.filter(pa.array(there)).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        out[there] = np.frombuffer(b"".join(column.filter(pa.array(there)).to_pylist()), kind).reshape(-1, symbols)
     return out, there
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tile, tiles, home, cid, component, size, low, high) in order of key and tile -> (a, b, distance) of unlike components.
+    """Rows (key, tile, tiles, home, cid, component, size, low, high, long) in order of key and tile -> (a, b, agree) of unlike components.
 
     Rows of a group are compared at distance 1, 2, ... of their places, all groups of a batch at once. In a tile that
-    two homes share, only pairs of unlike homes count, as each home has a tile of its own.
+    two homes share, only pairs of unlike homes count, as each home has a tile of its own. A pair counts in the first
+    of the buckets that it shares.
     """
 
     def pairs(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
         key, tile, tiles, home, cid, comp, size = (rows.column(i).to_numpy(False) for i in range(7))
         kinds = [_signatures(rows.column(i).combine_chunks() if isinstance(rows, pa.Table) else rows.column(i)) for i in (7, 8)]
+        longs, _ = _signatures(rows.column(9).combine_chunks() if isinstance(rows, pa.Table) else rows.column(9), LONG // 2, np.uint8)
+        slot = key & 255
         cut = np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), [True]])
         bounds = np.flatnonzero(cut)
         until = np.repeat(bounds[1:], np.diff(bounds))  # where the group of a row ends
@@ -173,14 +188,23 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = i[ok], j[ok]
             for k in range(0, len(i), 1 << 15):
                 x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                d = np.full(len(x), SYMBOLS + 1)
-                for sig, there in kinds:
-                    both = there[x] & there[y]
-                    d[both] = np.minimum(d[both], (sig[x[both]] != sig[y[both]]).sum(1))
-                near = d <= FAR
-                if near.any():
-                    u, v = cid[x[near]], cid[y[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d[near], pa.int64())], ["a", "b", "distance"])
+                other = longs[x] ^ longs[y]
+                agree = ((other & 15) == 0).sum(1) + (other < 16).sum(1)
+                near = agree >= LONG_AGREE
+                x, y, agree = x[near], y[near], agree[near]
+                first = np.full(len(x), -1)
+                for kind in (1, 0):
+                    sig, there = kinds[kind]
+                    both = np.flatnonzero(there[x] & there[y])
+                    differ = (sig[x[both]] != sig[y[both]]).reshape(-1, CHUNKS, CHUNK)
+                    close = differ.sum(2) <= 1
+                    chunk = close.argmax(1)
+                    left_out = differ[np.arange(len(both)), chunk].argmax(1)
+                    first[both] = np.where(close.any(1), SYMBOLS * kind + CHUNK * chunk + left_out, first[both])
+                here = first == slot[x]
+                if here.any():
+                    u, v = cid[x[here]], cid[y[here]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(agree[here], pa.int64())], ["a", "b", "agree"])
             step += 1
 
     held: list[pa.RecordBatch] = []
@@ -203,21 +227,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in K.shingle_sets(hashed, rows, SHINGLE)], pa.binary())], ["cid", "shingles"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, shingles) -> (cid, long): the last four bits of LONG symbols, two in a byte."""
     for batch in batches:
-        left, right = batch.column(2), batch.column(3)
-        keep = np.zeros(len(batch), bool)
-        for i in range(len(batch)):
-            x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                continue
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+        for at in range(0, len(batch), 1000):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)[at : at + 1000]]
+            sig = (_direct(sets, _LONG_XOR, _LONG_MUL) & 15).astype(np.uint8)
+            sig = sig[:, ::2] << 4 | sig[:, 1::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1000], pa.array([r.tobytes() for r in sig], pa.binary())], ["cid", "long"])
+
+
+def _confirmed(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's pairs (a, b), those whose sets (cid, shingles) are similar enough, as (u, v)."""
+    held = {c: np.frombuffer(x, np.uint64) for c, x in zip(sets["cid"], sets["shingles"], strict=True)}
+    keep = np.zeros(len(pairs), bool)
+    for i, (a, b) in enumerate(zip(pairs["a"], pairs["b"], strict=True)):
+        x, y = held[a], held[b]
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if 100 * len(x) >= PERCENT * len(y):
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        if keep.any():
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+    return pairs.loc[keep, ["a", "b"]].set_axis(["u", "v"], axis=1)
 
 
 class _Job:
@@ -233,15 +263,27 @@ class _Job:
         )
         self.classes = stage(classes.select(F.xxhash64("digest").alias("cid"), "digest", "least", F.col("at.doc_id").alias("doc_id"), F.col("at.tid").alias("tid"), "size", "low", "high"), "classes")
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cid, shingles) of the classes in ``wanted`` (cid), from one text of each."""
+        at = self.classes.select("cid", "doc_id", "tid").join(wanted.distinct(), "cid").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+        texts = self.docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(at, ["doc_id", "tid"]).select("cid", "text")
+        return texts.mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"])
+
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """(u, v) of the ``pairs`` (a, b) whose whole sets are similar enough."""
+        """(u, v) of the ``pairs`` (a, b) whose whole sets are similar enough.
+
+        Classes are dealt to sides of about SIDE_BYTES of sets; a block is a pair of sides with its pairs, and gets each
+        set that it needs once, however many of its pairs name it.
+        """
         pairs = stage(pairs.select("a", "b").distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        at = self.classes.select("cid", "doc_id", "tid").join(wanted, "cid").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-        texts = self.docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(at, ["doc_id", "tid"]).select("cid", "text")
-        sets = stage(texts.mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-        return stage(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "u long, v long"), "links")
+        sets = stage(self.sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))), "sets")
+        size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+        sides = max(LEAST_SIDES, -(-size // SIDE_BYTES))
+        side = lambda c: F.pmod(F.hash(c), F.lit(sides)).cast("long")
+        placed = pairs.withColumn("block", side("a") * sides + side("b"))
+        needed = placed.select(F.col("block").alias("of"), F.col("a").alias("cid")).union(placed.select("block", "b")).distinct().join(sets, "cid")
+        confirmed = needed.groupBy("of").cogroup(placed.groupBy("block")).applyInPandas(_confirmed, "u long, v long")
+        return stage(confirmed, "links")
 
     def labels(self, edges: DataFrame) -> DataFrame:
         """(cid, component) of all classes."""
@@ -251,26 +293,25 @@ class _Job:
     def run(self) -> DataFrame:
         spark, signs = self.docs.sparkSession, self.classes.select("cid", "low", "high")
         keys = self.classes.select("cid", "low", "high").mapInArrow(_keys, "key long, cid long")
-        shared = keys.groupBy("key").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = keys.groupBy("key").agg(F.min(F.struct(F.hash(F.col("key").bitwiseAND(F.lit(255)) % ORDERS, "cid").alias("h"), "cid"))["cid"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         buckets = stage(keys.join(shared, "key"), "buckets")
-        star = buckets.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-        sided = lambda pairs: pairs.join(signs.toDF("a", "low_a", "high_a"), "a").join(signs.toDF("b", "low_b", "high_b"), "b").select("a", "b", "low_a", "high_a", "low_b", "high_b")
-        edges = self.linked(sided(star).mapInArrow(_near_pairs, "a long, b long, distance long"))
+        star = buckets.where("cid <> first").select(F.least("first", "cid").alias("a"), F.greatest("first", "cid").alias("b"), "n").groupBy("a", "b").agg(F.min("n").alias("n"))
+        sided = lambda pairs: pairs.join(signs.toDF("a", "low_a", "high_a"), "a").join(signs.toDF("b", "low_b", "high_b"), "b").select("a", "b", "low_a", "high_a", "low_b", "high_b", "n")
+        edges = self.linked(sided(star).mapInArrow(_near_pairs, "a long, b long"))
         labels = self.labels(edges)
         # buckets of two are settled by the first round; of the others, those that still span components
         open_rows = buckets.where("n > 2").join(labels, "cid")
         mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        mixed = stage(mixed, "mixed")
+        longs = stage(self.sets(open_rows.join(mixed, "key").select("cid")).mapInArrow(_long, "cid long, long binary"), "longs")
         tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
         spreaded = open_rows.join(mixed, "key").withColumn("tiles", tiles).withColumn("home", F.pmod(F.hash("cid"), F.col("tiles")))
         spreaded = spreaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         spreaded = spreaded.withColumn("tile", F.least("home", "other") * F.col("tiles") + F.greatest("home", "other"))
-        spreaded = spreaded.join(self.classes.select("cid", "size", "low", "high"), "cid").select("key", "tile", "tiles", "home", "cid", "component", "size", "low", "high")
+        spreaded = spreaded.join(self.classes.select("cid", "size", "low", "high"), "cid").join(longs, "cid").select("key", "tile", "tiles", "home", "cid", "component", "size", "low", "high", "long")
         spreaded = spreaded.repartition(shuffle_width(spark), "key", "tile").sortWithinPartitions("key", "tile")
-        rest = stage(spreaded.mapInArrow(_tile_pairs, "a long, b long, distance long").groupBy("a", "b").agg(F.min("distance").alias("distance")), "rest")
-        for part in (rest.where(F.col("distance") <= NEAR), rest.where(F.col("distance") > NEAR)):
-            across = part.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-            edges = edges.unionByName(self.linked(across))
-            labels = self.labels(edges)
+        rest = spreaded.mapInArrow(_tile_pairs, "a long, b long, agree long")
+        labels = self.labels(edges.unionByName(self.linked(rest)))
         least = labels.join(self.classes.select("cid", "digest", "least"), "cid")
         least = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
         found = self.rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(least, "digest").select("doc_id", "n_shingles", "component_id")
@@ -286,6 +327,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _Job(docs).run()
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the least of their component; of rows that share a doc_id, one.
+
+    Rows without a doc_id have nothing to be told apart by, and stay.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
