@@ -151,6 +151,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without a window of ``benchmark``. Rows that share a doc_id with a hit go with it; rows without one are told by their texts."""
+    marked = docs.withColumn("__row", F.coalesce("doc_id", F.xxhash64("text")))
+    found = contamination(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark)
+    hits = found.where("n_hit > 0").select(F.col("doc_id").alias("__row")).distinct()
+    return marked.join(hits, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(

@@ -243,3 +243,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = bucket_of_id(F.col("doc_id"), 3) == 1
     scores = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def good_rows(docs: DataFrame, learnt_from: DataFrame, labels: DataFrame, learnt: Column) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores 0.5 or more by a model of the labelled texts of ``learnt_from``.
+
+    Rows stand for themselves: neither ids nor anything but the text decides. Null texts count as empty.
+    """
+    sample = stage(label_sample(labels, "quality", learnt), "sample")
+    model = train(featured(spread(learnt_from, ["doc_id", "text"]).join(F.broadcast(sample.select("doc_id")), "doc_id")), sample)
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in K.slices(batch.column(place)):
+                yield batch.slice(a, b - a).filter(pa.array(held.value.score(text_features(data, offsets)) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
