@@ -17,6 +17,11 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, with the value named once: SQL's expressions have no other way to name a part of themselves."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tag_open(name: str) -> str:
     """Start of an element's tag; what follows the name must not prolong it."""
     return f"<{name.replace('.', '[.]')}(?![A-Za-z0-9_])"
@@ -37,8 +42,8 @@ def decode_entities(text: Column) -> Column:
     out = F.regexp_replace(text, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1")
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.when(out.contains("&#"), _numbered(out, "(?i)&#x[0-9a-f]+;", 16)).otherwise(out)
-    return F.when(out.contains("&#"), _numbered(out, "&#[0-9]+;", 10)).otherwise(out)
+    numbered = lambda t: bound(_numbered(t, "(?i)&#x[0-9a-f]+;", 16), lambda u: _numbered(u, "&#[0-9]+;", 10))
+    return bound(out, lambda t: F.when(t.contains("&#"), numbered(t)).otherwise(t))
 
 
 def norm_space(text: Column) -> Column:
@@ -54,11 +59,11 @@ def strip_tags(text: Column) -> Column:
 def display_text(text: Column) -> Column:
     """Entities first, tags second: escaped markup goes too. Null where nothing is left."""
     shown = F.regexp_replace(norm_space(strip_tags(decode_entities(text))), f"{SPACE}+([.,!?;:])", "$1")
-    return F.nullif(shown, F.lit(""))
+    return bound(shown, filled)
 
 
 def raw_text(text: Column) -> Column:
-    return F.nullif(norm_space(decode_entities(text)), F.lit(""))
+    return bound(norm_space(decode_entities(text)), filled)
 
 
 def escape_html(text: Column) -> Column:

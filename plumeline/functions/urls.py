@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE
+from .text import SPACE, bound
 
 #: Query keys that only track, and the prefix of more of them.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid")
@@ -66,26 +66,43 @@ def normalize_url(url: Column) -> Column:
     shorthand are left as they are.
     """
     text = F.regexp_replace(url, f"^(?:{SPACE}|[\\x00-\\x20])+|(?:{SPACE}|[\\x00-\\x20])+$", "")
-    text = F.regexp_replace(text, "[\\t\\r\\n]", "")
+    parts = bound(F.regexp_replace(text, "[\\t\\r\\n]", ""), _split_scheme)
+    return bound(bound(parts, _split_body), _assembled)
+
+
+def _split_scheme(text: Column) -> Column:
     scheme = F.lower(F.regexp_extract(text, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    special = scheme.isin(*SPECIAL)
-    body = F.regexp_replace(F.regexp_replace(text, "^[^:]*:", ""), "(?s)#.*$", "")
-    flat = F.when(special, F.concat(F.lit("//"), F.regexp_replace(F.regexp_replace(body, "^[/\\\\]*", ""), "\\\\(?=[^?]*(?:\\?|$))", "/"))).otherwise(body)
-    slashed = flat.startswith("//")
-    authority = F.when(slashed, F.regexp_extract(flat, "^//([^/?]*)", 1)).otherwise("")
+    return F.struct(scheme.alias("scheme"), scheme.isin(*SPECIAL).alias("special"), F.regexp_replace(F.regexp_replace(text, "^[^:]*:", ""), "(?s)#.*$", "").alias("body"))
+
+
+def _split_body(p: Column) -> Column:
+    slashes = F.regexp_replace(F.regexp_replace(p["body"], "^[/\\\\]*", ""), "\\\\(?=[^?]*(?:\\?|$))", "/")
+    flat = F.when(p["special"], F.concat(F.lit("//"), slashes)).otherwise(p["body"])
+
+    def parts(t: Column) -> Column:
+        slashed = t.startswith("//")
+        path = F.regexp_extract(F.when(slashed, F.regexp_replace(t, "^//[^/?]*", "")).otherwise(t), "(?s)^([^?]*)", 1)
+        return F.struct(
+            p["scheme"].alias("scheme"), p["special"].alias("special"), slashed.alias("slashed"), F.when(slashed, F.regexp_extract(t, "^//([^/?]*)", 1)).otherwise("").alias("authority"),
+            F.when(p["special"] & (path == ""), "/").otherwise(path).alias("path"), F.regexp_extract(t, "(?s)\\?(.*)$", 1).alias("query"),
+        )
+
+    return bound(flat, parts)
+
+
+def _assembled(p: Column) -> Column:
+    authority, special, slashed = p["authority"], p["special"], p["slashed"]
     user = F.regexp_extract(authority, "^(.*@)", 1)
     host = F.lower(F.regexp_extract(authority, "^(?:.*@)?(\\[[^\\]]*\\]|[^:]*)", 1))
-    port = F.regexp_extract(authority, ":([0-9]*)$", 1)
     bad_port = F.regexp_like(F.regexp_replace(authority, "^.*@|\\[[^\\]]*\\]", ""), F.lit(":.*[^0-9]|:[0-9]{6,}"))
-    default = F.coalesce(*[F.when(scheme == s, p) for s, p in SPECIAL.items()], F.lit(""))
-    port = F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.regexp_extract(F.when(slashed, F.regexp_replace(flat, "^//[^/?]*", "")).otherwise(flat), "(?s)^([^?]*)", 1)
-    path = F.when(special & (path == ""), "/").when(slashed, _encoded_path(F.when(path.contains("/."), _resolved(path)).otherwise(path))).otherwise(path)
-    path = F.when(slashed & (F.length(path) > 1), F.regexp_replace(path, "/+$", "")).otherwise(path)
-    path = F.when(special & (path == ""), "/").otherwise(path)
-    query = encode_pairs(sorted_pairs(strip_tracking(query_pairs(F.regexp_extract(flat, "(?s)\\?(.*)$", 1)))))
-    bad = (scheme == "") | (special & ((host == "") | F.regexp_like(host, F.lit("[\\x00-\\x20<>^|%#\\\\]")) | bad_port))
-    whole = F.concat(scheme, F.lit(":"), F.when(slashed, F.concat(F.lit("//"), user, host, port)).otherwise(""), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    default = F.coalesce(*[F.when(p["scheme"] == s, n) for s, n in SPECIAL.items()], F.lit(""))
+    port = bound(F.regexp_extract(authority, ":([0-9]*)$", 1), lambda n: F.when((n == "") | (n == default), "").otherwise(F.concat(F.lit(":"), n)))
+    path = bound(F.when(p["path"].contains("/."), _resolved(p["path"])).otherwise(p["path"]), _encoded_path)
+    path = F.when(slashed, bound(path, lambda t: F.when(F.length(t) > 1, F.regexp_replace(t, "/+$", "")).otherwise(t))).otherwise(p["path"])
+    path = bound(path, lambda t: F.when(special & (t == ""), "/").otherwise(t))
+    query = bound(encode_pairs(sorted_pairs(strip_tracking(query_pairs(p["query"])))), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    bad = (p["scheme"] == "") | (special & ((host == "") | F.regexp_like(host, F.lit("[\\x00-\\x20<>^|%#\\\\]")) | bad_port))
+    whole = F.concat(p["scheme"], F.lit(":"), F.when(slashed, F.concat(F.lit("//"), user, host, port)).otherwise(""), path, query)
     return F.when(bad, F.lit(None)).otherwise(whole)
 
 

@@ -40,15 +40,18 @@ def left_wins(a: Column, b: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    wins = left_wins(a, b)
-    w = lambda f: F.when(wins, a[f]).otherwise(b[f])
-    x = lambda f: F.when(wins, b[f]).otherwise(a[f])
-    out = {f: w(f) for f in FIELDS}
-    out |= {f: F.coalesce(filled(w(f)), filled(x(f))) for f in ("author", "image_url", "source_item_id")}
-    out["published_at"] = F.coalesce(w("published_at"), x("published_at"))
-    out["summary"] = F.when(utf16_length(x("summary")) > utf16_length(w("summary")), x("summary")).otherwise(F.coalesce(filled(w("summary")), filled(x("summary"))))
+    """What ``a`` becomes when it meets ``b``; winner and loser are bound once, by a transform over one pair."""
+    pair = F.when(left_wins(a, b), F.struct(a.alias("w"), b.alias("x"))).otherwise(F.struct(b.alias("w"), a.alias("x")))
+    return F.get(F.transform(F.array(pair), lambda p: _merged(a, b, p["w"], p["x"])), 0)
+
+
+def _merged(a: Column, b: Column, w: Column, x: Column) -> Column:
+    out = {f: w[f] for f in FIELDS}
+    out |= {f: F.coalesce(filled(w[f]), filled(x[f])) for f in ("author", "image_url", "source_item_id")}
+    out["published_at"] = F.coalesce(w["published_at"], x["published_at"])
+    out["summary"] = F.when(utf16_length(x["summary"]) > utf16_length(w["summary"]), x["summary"]).otherwise(F.coalesce(filled(w["summary"]), filled(x["summary"])))
     out["fetched_at"] = F.when(_time(a) <= _time(b), a["fetched_at"]).otherwise(b["fetched_at"])
-    out["tags"], out["seen_in_feeds"] = merged_array(w("tags"), x("tags")), merged_array(w("seen_in_feeds"), x("seen_in_feeds"))
+    out["tags"], out["seen_in_feeds"] = merged_array(w["tags"], x["tags"]), merged_array(w["seen_in_feeds"], x["seen_in_feeds"])
     out["doc_ord"], out["item_ord"] = a["doc_ord"], a["item_ord"]  # the slot of the first arrival
     return F.struct(*[out[f].alias(f) for f in FIELDS])
 
