@@ -89,26 +89,31 @@ def votes(tokens: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np
 def label_model(v: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row, each voter's chances to speak for (clean, toxic) rows, and each voter's discount for correlation.
 
-    ``v``: (rows, voters) of 0 and 1. The start takes rows with any vote for toxic; the class balance is kept at ``prior``.
+    ``v``: (rows, voters) of 0 and 1. The start takes rows with any vote for toxic; the class balance is kept at ``prior``. Reliabilities are settled first, correlations
+    are taken from what they leave unexplained, and the posterior counts each vote by its discount.
     """
     n, many = v.shape
-    q = np.where(v.sum(1) > 0, 0.9, 0.02)
-    theta, discount = np.zeros((2, many)), np.ones(many)
-    for k in range(rounds):
+    q, odds = np.where(v.sum(1) > 0, 0.9, 0.02), np.log(prior / (1 - prior))
+
+    def posterior(theta: np.ndarray, discount: np.ndarray) -> np.ndarray:
+        on, off = np.log(theta[1] / theta[0]), np.log((1 - theta[1]) / (1 - theta[0]))
+        return 1 / (1 + np.exp(-np.clip(odds + v @ (on * discount) + (1 - v) @ (off * discount), -30, 30)))
+
+    theta = np.zeros((2, many))
+    for _ in range(rounds):
         for y, w in ((0, 1 - q), (1, q)):
             theta[y] = (w @ v + (0.02 if y == 0 else 0.1)) / (w.sum() + 1)
         theta = np.clip(theta, 1e-6, 1 - 1e-6)
-        if k in (5, 15):  # what is left of the voters' covariance once the label is known
-            residual = v - (np.outer(1 - q, theta[0]) + np.outer(q, theta[1]))
-            spread_ = np.sqrt((residual**2).mean(0)) + 1e-9
-            corr = np.abs((residual.T @ residual) / max(n, 1) / np.outer(spread_, spread_))
-            np.fill_diagonal(corr, 0)
-            discount = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(0))
-        odds = np.log(prior / (1 - prior))
-        on, off = np.log(theta[1] / theta[0]), np.log((1 - theta[1]) / (1 - theta[0]))
-        z = odds + (v * on * discount).sum(1) + ((1 - v) * off * discount).sum(1)
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return q, theta, discount
+        q = posterior(theta, np.ones(many))
+    # what is left of the voters' covariance once the label is known; voters that never speak say nothing of others
+    residual = v - (np.outer(1 - q, theta[0]) + np.outer(q, theta[1]))
+    residual -= residual.mean(0)
+    width = np.sqrt((residual**2).mean(0))
+    corr = residual.T @ residual / max(n, 1) / np.maximum(np.outer(width, width), 1e-9)
+    np.fill_diagonal(corr, 0)
+    corr[:, v.sum(0) == 0] = 0
+    discount = 1 / (1 + np.where(np.abs(corr) > 0.1, corr**2, 0).sum(0))
+    return posterior(theta, discount), theta, discount
 
 
 def linear_model(x: np.ndarray, q: np.ndarray, rounds: int = 40, ridge: float = 0.05) -> tuple[np.ndarray, float]:
