@@ -6,6 +6,8 @@ makes a slice of its own. Hashes depend on the content alone, so equal words has
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,13 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def release() -> None:
+    """Give freed memory back to the machine: workers are used again, and what one stage kept would count for the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

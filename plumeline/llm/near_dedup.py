@@ -40,7 +40,7 @@ FIRST_FAR = 26
 LONG = 1024
 LONG_AGREE = 723
 #: Orders by which buckets choose the class that the others are held against.
-ORDERS = 2
+ORDERS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 TILE = 2048
 SIDE_BYTES = 8 << 20
 LEAST_SIDES = 4
@@ -128,6 +128,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     slots = (SYMBOLS * kind + CHUNK * np.arange(CHUNKS) + j).astype(np.uint64)  # kept in a key's last byte
                     keys[:, :, j] = (K.mix(packed + K.mix(slots + np.uint64(1))) & np.uint64(0xFFFFFFFFFFFFFF00)) | slots
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(np.repeat(ids[at : at + 4096].to_numpy(), SYMBOLS))], ["key", "cid"])
+    K.release()
 
 
 # ---------------------------------------------------------------- pairs
@@ -293,7 +294,10 @@ class _Job:
     def run(self) -> DataFrame:
         spark, signs = self.docs.sparkSession, self.classes.select("cid", "low", "high")
         keys = self.classes.select("cid", "low", "high").mapInArrow(_keys, "key long, cid long")
-        shared = keys.groupBy("key").agg(F.min(F.struct(F.hash(F.col("key").bitwiseAND(F.lit(255)) % ORDERS, "cid").alias("h"), "cid"))["cid"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # cids are hashes: in order of their exclusive-or with a constant, the first of a bucket is any one, and is known from it
+        order = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, ORDERS[0]).otherwise(ORDERS[1])
+        shared = keys.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(order)).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = shared.select("key", "n", F.col("least").bitwiseXOR(order).alias("first"))
         buckets = stage(keys.join(shared, "key"), "buckets")
         star = buckets.where("cid <> first").select(F.least("first", "cid").alias("a"), F.greatest("first", "cid").alias("b"), "n").groupBy("a", "b").agg(F.min("n").alias("n"))
         sided = lambda pairs: pairs.join(signs.toDF("a", "low_a", "high_a"), "a").join(signs.toDF("b", "low_b", "high_b"), "b").select("a", "b", "low_a", "high_a", "low_b", "high_b", "n")

@@ -23,9 +23,10 @@ from .common import new_path, read, shuffle_width, spread
 from .range_coder import decode, encode
 
 END = 2
-SEGMENT = 8_000_000  # ids after which a segment is written; a segment holds whole documents
+SEGMENT = 4_000_000  # ids after which a segment is written; a segment holds whole documents
 _SLOTS = 1 << 20
 _POOL = 8_000_000
+_BATCH = 8192  # runs given to the library at once: what it returns is far larger than the ids
 
 SEGMENTS = "part int, first long, doc_ids array<long>, lengths array<long>, blocks array<struct<n:int,crc:long,coded:binary>>"
 _ARROW = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("coded", pa.binary())])))])
@@ -74,7 +75,7 @@ class WordEncoder:
             new, first, back = np.unique(hashed[missing], return_index=True, return_inverse=True)
             at = missing[first]
             runs = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            spans = np.array([self._add(e.ids) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)], np.int64).reshape(-1, 2)
+            spans = np.array([self._add(e.ids) for k in range(0, len(runs), _BATCH) for e in self.tokenizer.encode_batch_fast(runs[k : k + _BATCH], add_special_tokens=False)], np.int64).reshape(-1, 2)
             start[missing], length[missing] = spans[back, 0], spans[back, 1]
             slots = slot[at]
             self.held[slots], self.start[slots], self.length[slots] = new, spans[:, 0], spans[:, 1]
@@ -121,6 +122,8 @@ def _segment_writer(path: str, end: int) -> Callable:
                     names, lengths, runs, size = [], [], [], 0
         if size:
             yield flush()
+            runs = []
+        K.release()
 
     return write
 
@@ -154,6 +157,8 @@ def _segment_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     ],
                     ["part", "doc_id", "at", "ids", "ids_crc32"],
                 )
+            del ids, blocks
+    K.release()
 
 
 def _digest_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +170,8 @@ def _digest_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _placed(spark: SparkSession, path: str, reader: Callable, columns: str) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).parquet(path)
     sizes = segments.select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
-    return segments.mapInArrow(reader, columns).join(before, "part").withColumn("start", F.col("before") + F.col("at")).drop("part", "before", "at")
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition of the writer, so its size is bounded
+    return segments.mapInArrow(reader, columns).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("at")).drop("part", "before", "at")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
