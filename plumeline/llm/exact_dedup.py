@@ -163,7 +163,7 @@ def exact_groups(docs: DataFrame, incoming) -> tuple[DataFrame, DataFrame]:
     checked = groups.join(same, "digest", "left").select(
         "digest", "keep_id", F.when(F.coalesce("same", F.lit(True)), F.col("group_size")).otherwise(F.raise_error(F.lit("one digest, two texts"))).cast("long").alias("group_size")
     )
-    return rows.select("doc_id", "digest"), checked
+    return rows.select("doc_id", "digest"), stage(checked, "checked")  # so that the join with all rows can split a hot group
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
