@@ -1,11 +1,11 @@
 """Suffix-array dedup: bytes of every 50-byte string that also starts in a document with a smaller id are removed.
 
 Whole copies are settled by digest. In other texts, anchors are the 16-byte grams whose hash is the least of some 35 in a
-row: two equal 50-byte strings always hold an anchor at the same place. Anchors that two documents share are put in
-frames of 84 bytes, all the 50-byte strings around the anchor; frames that are alike are counted once. Where the frames of
-an anchor differ, their suffixes are sorted, deep-shallow: multikey quicksort on words of eight bytes to a shallow
-depth, then, in the groups that still share a prefix, comparison with the group's first suffix and a blind trie for what
-differs from it. Runs of suffixes that share 50 bytes then give the least id of each string.
+row: two equal 50-byte strings always hold an anchor at the same place. An anchor that two documents share has a frame of
+84 bytes, all the 50-byte strings around it; frames that are alike, as the hash of their bytes tells, are counted once.
+Where the frames of an anchor differ, their suffixes are sorted, deep-shallow: multikey quicksort on words of eight bytes
+to a shallow depth, then, in the groups that still share a prefix, comparison with the group's first suffix and a blind
+trie for what differs from it. Runs of suffixes that share 50 bytes then give the least id of each string.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import read, shuffle_width, spread, stage
+from .common import discard, read, shuffle_width, spread, stage
 
 SPAN = 50
 GRAM = 16
@@ -28,8 +28,9 @@ FRAME = SPAN + SIDE
 WIDTH = SPAN - GRAM + 1
 SHALLOW = 2  # words of eight bytes that multikey quicksort looks at
 WORD_AT = (0, 8, 16, 24, 32, 40, SPAN - 8)
-#: Bits of the filter in front of the join with shared anchors: 8 MiB, whatever the input. Full, it lets all through to the join.
-FILTER_BITS = 26
+#: Filters that keep unshared anchors out have 16 bits for each hash, and 2 ** 29 bits, 64 MiB, at most; beyond some 10 ** 8
+#: shared hashes they let more through, which costs time but changes no result.
+LEAST_BITS, MOST_BITS = 20, 29
 #: Frames of one anchor beyond which its strings are grouped by the engine instead of being sorted in one task.
 MOST_FRAMES = 20_000
 LAST = (1 << 63) - 1
@@ -76,7 +77,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchor_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, text) -> (h, d), each pair once for a text."""
+    """(d, text) -> (h, d): the grams of anchors."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for a, b, data, offsets in K.slices(batch.column(1)):
@@ -84,53 +85,74 @@ def _anchor_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids[a:b][row])], ["h", "d"])
 
 
-def _filter_bits(shared: DataFrame) -> np.ndarray:
-    """One bit for each of the hashes ``shared`` (h), combined word by word; 2 ** FILTER_BITS / 64 rows at most reach the driver."""
-    at = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    rows = shared.groupBy(F.shiftright(at, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int)))").alias("bits")).toArrow()
-    packed = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+def _filter(shared: DataFrame) -> tuple[int, bytes]:
+    """(bits as a power of two, the filter) of the hashes ``shared`` (h), combined word by word on the executors."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * shared.count()).bit_length()))
+    place = f"shiftrightunsigned(h, {64 - bits})"
+    rows = shared.groupBy(F.expr(f"shiftright({place}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 as int)))").alias("bits")).toArrow()
+    packed = np.zeros((1 << bits) // 64, np.int64)
     packed[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return packed.view(np.uint8)
+    return bits, packed.tobytes()
 
 
-def _passing_anchors(bits):
+def _passes(held: tuple[int, bytes], h: np.ndarray) -> np.ndarray:
+    table, bit = np.frombuffer(held[1], np.uint8), (h >> np.uint64(64 - held[0])).astype(np.int64)
+    return (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _hashed(rows: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each row of bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    out = np.full(len(rows), salt, np.uint64)
+    for word in wide.view("<u8").T:
+        out = K.mix(out * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out
+
+
+def _frames(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(anchors, FRAME + 2) bytes: how many bytes there are on each side, up to SIDE, and the frame, zero where there are none."""
+    place = start + at
+    out = np.zeros((len(at), FRAME + 2), np.uint8)
+    out[:, 0], out[:, 1] = np.minimum(SIDE, at), np.minimum(SIDE, end - place - GRAM)
+    where = place[:, None] + np.arange(-SIDE, SPAN)[None, :]
+    there = (where >= start[:, None]) & (where < end[:, None])
+    out[:, 2:] = np.where(there, data[np.clip(where, 0, max(len(data) - 1, 0))], 0)
+    return out
+
+
+def _survivors(grams):
+    """(d, t, text) -> (h, cx, sides, d, t, at) of the anchors whose gram passes as shared; cx: the frame's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b, data, offsets in K.slices(batch.column(2)):
                 row, at, h = anchors(data, offsets)
-                bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                ok = (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                ok = _passes(grams.value, h)
                 row, at, h = row[ok], at[ok], h[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids[a:b][row]), pa.array(ts[a:b][row]), pa.array(at.astype(np.int32))], ["h", "d", "t", "at"])
+                frames = _frames(data, offsets[row], offsets[row + 1], at)
+                sides = frames[:, 0].astype(np.int32) * 64 + frames[:, 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.astype(np.int64)), pa.array(_hashed(frames, 3).astype(np.int64)), pa.array(sides), pa.array(ids[a:b][row]), pa.array(ts[a:b][row]), pa.array(at.astype(np.int32))],
+                    ["h", "cx", "sides", "d", "t", "at"],
+                )
 
     return run
 
 
 def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, t, text, anchors) -> (h, cx, frame, d, t, at). A frame starts with the bytes that there are on each side."""
+    """(text, anchors: h, cx, m, c, at) -> (h, cx, frame, m, c)."""
     for batch in batches:
         for i in range(len(batch)):
-            data = np.frombuffer(batch.column(2)[i].as_buffer() or b"", np.uint8)
-            d, t = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            marks = batch.column(3)[i].values.flatten()
-            h, at = marks[0].to_numpy(), marks[1].to_numpy().astype(np.int64)
-            wide = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
+            data = np.frombuffer(batch.column(0)[i].as_buffer() or b"", np.uint8)
+            marks = batch.column(1)[i].values.flatten()
+            at = marks[4].to_numpy().astype(np.int64)
             for k in range(0, len(at), 4096):
                 p = at[k : k + 4096]
-                frames = np.zeros((len(p), FRAME + 4), np.uint8)
-                frames[:, 0], frames[:, 1] = np.minimum(SIDE, p), np.minimum(SIDE, len(data) - p - GRAM)
-                frames[:, 2 : FRAME + 2] = wide[p[:, None] + np.arange(FRAME)[None, :]]
-                cx = np.zeros(len(p), np.uint64)
-                for word in np.ascontiguousarray(frames).view("<u8").T:
-                    cx = K.mix(cx * np.uint64(0x9E3779B97F4A7C15) + word)
-                flat = pa.py_buffer(np.ascontiguousarray(frames[:, : FRAME + 2]))
-                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FRAME + 2), len(p), [None, flat]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[k : k + 4096]), pa.array(cx.astype(np.int64)), fixed, pa.array(np.full(len(p), d)), pa.array(np.full(len(p), t)), pa.array(p.astype(np.int32))],
-                    ["h", "cx", "frame", "d", "t", "at"],
-                )
+                frames = _frames(data, np.zeros(len(p), np.int64), np.full(len(p), len(data)), p)
+                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FRAME + 2), len(p), [None, pa.py_buffer(np.ascontiguousarray(frames))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([marks[0][k : k + 4096], marks[1][k : k + 4096], flat, marks[2][k : k + 4096], marks[3][k : k + 4096]], ["h", "cx", "frame", "m", "c"])
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -283,9 +305,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps, which it does for what the driver has collected."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's objects first, then what they held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -300,33 +325,47 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("t", F.xxhash64("text"))
     rows = stage(docs.select("d", "doc_id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")), "rows")
     least = rows.groupBy("digest").agg(F.min("d").alias("least"))
-    rows = stage(rows.join(least, "digest"), "rows")
+    first, rows = rows, stage(rows.join(least, "digest"), "rows")
+    discard(first)
     whole = rows.where("d = least").select("d", "t").distinct()
 
-    owned = docs.select("d", "text").mapInArrow(_anchor_owners, "h long, d long")
-    shared = stage(owned.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"), "anchors")
+    shared = stage(docs.select("d", "text").mapInArrow(_anchor_owners, "h long, d long").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"), "grams")
+    _release(spark)
+    grams = spark.sparkContext.broadcast(_filter(shared))
+    discard(shared)
+    marks = docs.select("d", "t", "text").mapInArrow(_survivors(grams), "h long, cx long, sides int, d long, t long, at int")
+    frames = stage(marks, "frames")
     _release(spark)
-    bits = spark.sparkContext.broadcast(_filter_bits(shared).tobytes())
-    passed = docs.select("d", "t", "text").mapInArrow(_passing_anchors(bits), "h long, d long, t long, at int")
-    marks = passed.join(shared, "h", "left_semi").join(whole, ["d", "t"], "left_semi").groupBy("d", "t").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
-    touched = stage(docs.select("d", "t", "text").join(stage(marks, "marks"), ["d", "t"]), "touched")
+    alike = stage(frames.groupBy("h", "cx").agg(F.min("d").alias("m"), F.max("d").alias("hi"), F.min("sides").alias("sides")), "alike")
     _release(spark)
-    frames = stage(touched.select("d", "t", "text", "marks").mapInArrow(_framed, "h long, cx long, frame binary, d long, t long, at int"), "frames")
-    alike = stage(frames.groupBy("h", "cx", "frame").agg(F.min("d").alias("m"), F.max("d").alias("hi")), "alike")
     sizes = stage(alike.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lo"), F.max("hi").alias("top")).where("lo < top").select("h", "c"), "sizes")
-    left, right = F.ascii(F.substring("frame", 1, 1).cast("string")), F.ascii(F.substring("frame", 2, 1).cast("string"))
+    left, right = F.shiftright("sides", 6), F.col("sides").bitwiseAND(F.lit(63))
     one = alike.join(sizes.where("c = 1"), "h").where(left + right >= SIDE).select("h", "cx", F.array(F.struct((F.lit(SIDE) - left).alias("o"), (left + right - SIDE + 1).alias("n"), "m")).alias("runs"))
-    several = alike.join(sizes.where(f"c > 1 and c <= {MOST_FRAMES}").select("h"), "h").select("h", "cx", "frame", "m")
-    several = several.repartition(shuffle_width(spark), "h").sortWithinPartitions("h").mapInArrow(_least_ids, "h long, cx long, runs array<struct<o:int,n:int,m:long>>")
-    many = alike.join(sizes.where(f"c > {MOST_FRAMES}").select("h"), "h").where(left + right >= SIDE).select("h", "cx", "m", "frame", F.explode(F.sequence(F.lit(SIDE) - left, right)).alias("o"))
+    unlike = stage(alike.join(sizes.where("c > 1"), "h").select("h", "cx", F.col("m").alias("d"), "c"), "unlike")
+    place = frames.select("h", "cx", "d", "t", "at").join(unlike, ["h", "cx", "d"]).groupBy("h", "cx", "d", "c").agg(F.min("t").alias("t"), F.min_by("at", "t").alias("at"))
+    wanted = stage(place.groupBy("d", "t").agg(F.collect_list(F.struct("h", "cx", F.col("d").alias("m"), "c", "at")).alias("marks")), "wanted")
+    discard(unlike)
+    _release(spark)
+    framed = stage(docs.select("d", "t", "text").join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("text", "marks").mapInArrow(_framed, "h long, cx long, frame binary, m long, c long"), "framed")
+    discard(wanted)
+    _release(spark)
+    several = framed.where(F.col("c") <= MOST_FRAMES).select("h", "cx", "frame", "m").repartition(shuffle_width(spark), "h").sortWithinPartitions("h")
+    several = several.mapInArrow(_least_ids, "h long, cx long, runs array<struct<o:int,n:int,m:long>>")
+    sides = alike.select("h", "cx", "sides")
+    many = framed.where(F.col("c") > MOST_FRAMES).join(sides, ["h", "cx"]).where(left + right >= SIDE).select("h", "cx", "m", "frame", F.explode(F.sequence(F.lit(SIDE) - left, right)).alias("o"))
     many = many.withColumn("string", F.expr(f"substring(frame, 3 + o, {SPAN})"))
     many = many.join(many.groupBy("string").agg(F.min("m").alias("first")), "string").groupBy("h", "cx").agg(F.collect_list(F.struct("o", F.lit(1).alias("n"), F.col("first").alias("m"))).alias("runs"))
     solved = stage(one.unionByName(several).unionByName(many), "solved")
+    discard(alike, sizes, framed)
+    _release(spark)
     cuts = frames.select("h", "cx", "d", "t", "at").join(solved, ["h", "cx"]).where(F.exists("runs", lambda r: r["m"] < F.col("d")))
     begin = lambda r: F.col("at") - SIDE + r["o"]
     cuts = cuts.select("d", "t", F.transform(F.filter("runs", lambda r: r["m"] < F.col("d")), lambda r: F.struct(begin(r).alias("a"), (begin(r) + r["n"] - 1 + SPAN).alias("b"))).alias("cuts"))
-    cuts = cuts.groupBy("d", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
-    done = touched.dropDuplicates(["d", "t"]).select("d", "t", "text").join(cuts, ["d", "t"]).mapInArrow(_cut, "d long, t long, n_removed long, n_spans long, kept binary")
+    cuts = cuts.groupBy("d", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts")).join(whole, ["d", "t"], "left_semi")
+    cuts = stage(cuts, "cuts")
+    discard(frames, solved)
+    _release(spark)
+    done = docs.select("d", "t", "text").join(cuts, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "cuts").mapInArrow(_cut, "d long, t long, n_removed long, n_spans long, kept binary")
     done = stage(done.withColumn("kept_digest", F.unhex(F.sha2("kept", 256))), "cut")
     _release(spark)
     copy = (F.col("least") < F.col("d")) & (F.col("n_bytes") >= SPAN)
