@@ -293,6 +293,15 @@ _simple(
 _simple("meta_v2", lambda s, d: S.meta(B.public(s, d), B.GENERATED_AT).drop("category_count").join(B.shelves(s, d).agg(F.count(F.lit(1)).alias("shelf_count"))).join(DC.exploded_tags(B.tagged(s, d)).agg(F.count_distinct("tag_id").alias("tag_count"))), with_ctes("tags shelf", f"SELECT '{B.GENERATED_AT}' AS generated_at, (SELECT count(*) FROM pub) AS article_count, (SELECT count(DISTINCT source_id) FROM pub) AS source_count, (SELECT count(*) FROM shelf) AS shelf_count, (SELECT count(DISTINCT tag_id) FROM tags) AS tag_count"))
 _simple("search_index", lambda s, d: DC.search_index(B.tagged(s, d)), with_ctes("idx", "SELECT * FROM idx"))
 _simple("search_terms", lambda s, d: _docs(s, d).select("doc_id", F.array_join(F.array_distinct(F.filter(F.split(T.compare_key(F.substring("text", 1, 60)), " "), lambda t: t != "")), "|").alias("terms")), "SELECT doc_id, array_to_string(list_filter(w, lambda x, i: x <> '' AND list_position(w, x) = i), '|') AS terms FROM (SELECT doc_id, string_split(lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'))), ' ') AS w FROM documents)")
+
+
+def _whole_terms(s, d):
+    """Number and SHA-256 of the terms of whole texts; without SQL, as DuckDB lacks NFKC. search_terms and its SQL see 60 characters."""
+    terms = F.array_distinct(F.filter(F.split(T.compare_key(F.coalesce("text", F.lit(""))), " "), lambda t: t != ""))
+    return _docs(s, d).select("doc_id", terms.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", "|"), 256).alias("terms_sha256"))
+
+
+_simple("search_terms_whole", _whole_terms)
 _HIT = " AND ".join(f"contains(search_text, '{t}')" for t in SEARCH.split())
 _POINTS = " + ".join(f"CASE WHEN contains({p}_text, '{t}') THEN {DC.WEIGHTS[p]} ELSE 0 END" for t in SEARCH.split() for p in ("title", "source", "tag"))
 _POINTS += f" + CASE WHEN title_text = '{SEARCH}' THEN 100 WHEN contains(title_text, '{SEARCH}') THEN 40 ELSE 0 END"
