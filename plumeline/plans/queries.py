@@ -20,7 +20,7 @@ from ..operators import views as V
 from ..sources import documents as D
 from ..sources import registry as R
 from . import binding as B
-from .binding import iso_sql, with_ctes
+from .binding import iso_sql, with_ctes, with_whole_ctes
 from .pipeline import run_metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,18 @@ _simple(
     lambda s, d: B.deduped(s, d).select(*_DEDUPED, TM.iso(F.col("published_at")).alias("published_at"), TM.iso(F.col("fetched_at")).alias("fetched_at"), _joined("tags"), _joined("seen_in_feeds")),
     with_ctes("ded", f"SELECT key AS dedupe_key, merged, doc_ord, item_ord, id, feed_id, title, summary, author, image AS image_url, item AS source_item_id, {iso_sql('pub')} AS published_at, {iso_sql('fetched')} AS fetched_at, array_to_string(tags, ',') AS tags, array_to_string(seen, ',') AS seen_in_feeds FROM ded"),
 )
+_WHOLE = "sha256(summary) AS summary, length(summary) AS summary_length"
+
+
+def _hashed(rows):
+    return rows.withColumn("summary_length", F.length("summary").cast("long")).withColumn("summary", F.sha2("summary", 256))
+
+
+_simple(
+    "dedupe_whole",
+    lambda s, d: _hashed(B.deduped(s, d, True).select(*_DEDUPED, TM.iso(F.col("published_at")).alias("published_at"), TM.iso(F.col("fetched_at")).alias("fetched_at"), _joined("tags"), _joined("seen_in_feeds"))),
+    with_whole_ctes("ded", f"SELECT key AS dedupe_key, merged, doc_ord, item_ord, id, feed_id, title, {_WHOLE}, author, image AS image_url, item AS source_item_id, {iso_sql('pub')} AS published_at, {iso_sql('fetched')} AS fetched_at, array_to_string(tags, ',') AS tags, array_to_string(seen, ',') AS seen_in_feeds FROM ded"),
+)
 _simple("dedupe_groups", lambda s, d: B.articles(s, d).where("dedupe_key is not null").groupBy("dedupe_key").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups")), with_ctes("art", "SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM art WHERE key IS NOT NULL GROUP BY key) GROUP BY 1"))
 _simple("dedupe_first_seen", lambda s, d: DD.first_seen(B.articles(s, d)), with_ctes("art", "SELECT key AS dedupe_key, (min({'d': doc_ord, 'i': item_ord})).d AS doc_ord, (min({'d': doc_ord, 'i': item_ord})).i AS item_ord FROM art WHERE key IS NOT NULL GROUP BY key"))
 _simple(
@@ -209,6 +221,7 @@ _simple(
 # ---------------------------------------------------------------- summaries
 
 _simple("public_articles", lambda s, d: B.public(s, d), with_ctes("pub", "SELECT * FROM pub"))
+_simple("public_articles_whole", lambda s, d: _hashed(B.public(s, d, True)), with_whole_ctes("pub", f"SELECT * EXCLUDE summary, {_WHOLE} FROM pub"))
 _simple("category_summary", lambda s, d: S.category_summary(B.public(s, d)), with_ctes("cat", "SELECT * FROM cat"))
 _simple("source_summary", lambda s, d: S.source_summary(B.public(s, d), B.registry(s, d)), with_ctes("src", "SELECT * FROM src"))
 _simple("meta", lambda s, d: S.meta(B.public(s, d), B.GENERATED_AT), with_ctes("pub", f"SELECT '{B.GENERATED_AT}' AS generated_at, count(*) AS article_count, count(DISTINCT source_id) AS source_count, count(DISTINCT category_id) AS category_count FROM pub"))
@@ -233,12 +246,14 @@ _simple("latest_by_category", _flagship, with_ctes("pub", "SELECT category_id, c
 
 # ---------------------------------------------------------------- views
 
+_VIEW = """SELECT id, title, CASE WHEN url LIKE 'https://%' THEN replace(url, 'Example.com', 'example.com') END AS url, source_name, category_label, strftime(strptime(coalesce(published_at, sort_at), '%Y-%m-%dT%H:%M:%S.%gZ'), '%Y/%m/%d %-H:%M') AS published_at_label,
+  coalesce(nullif(summary, ''), '要約はありません。') AS summary, coalesce(summary, '') <> '' AS has_summary, image_url, url LIKE 'https://%' AS can_open_external, CASE WHEN url LIKE 'https://%' THEN '元記事で続きを読む' ELSE '元記事リンクを確認できません。' END AS link_text FROM pub"""
 _simple(
     "article_view",
     lambda s, d: V.article_view(B.public(s, d)),
-    with_ctes("pub", """SELECT id, title, CASE WHEN url LIKE 'https://%' THEN replace(url, 'Example.com', 'example.com') END AS url, source_name, category_label, strftime(strptime(coalesce(published_at, sort_at), '%Y-%m-%dT%H:%M:%S.%gZ'), '%Y/%m/%d %-H:%M') AS published_at_label,
-  coalesce(nullif(summary, ''), '要約はありません。') AS summary, coalesce(summary, '') <> '' AS has_summary, image_url, url LIKE 'https://%' AS can_open_external, CASE WHEN url LIKE 'https://%' THEN '元記事で続きを読む' ELSE '元記事リンクを確認できません。' END AS link_text FROM pub"""),
+    with_ctes("pub", _VIEW),
 )
+_simple("article_view_whole", lambda s, d: _hashed(V.article_view(B.public(s, d, True))), with_whole_ctes("pub", f"SELECT * EXCLUDE summary, {_WHOLE} FROM ({_VIEW})"))
 _simple("category_nav", lambda s, d: V.category_nav(S.category_summary(B.public(s, d)), "asia"), with_ctes("cat", "SELECT category_id AS id, label, article_count || '件' AS count_label, './categories/?id=' || category_id AS href, category_id = 'asia' AS is_selected FROM cat"))
 _simple("source_nav", lambda s, d: V.source_nav(S.source_summary(B.public(s, d), B.registry(s, d)), "src3", None), with_ctes("src", "SELECT id, name, article_count || '件' AS count_label, category_label || ' / ' || language AS meta_label, './?id=' || id AS href, id = 'src3' AS is_selected FROM src"))
 _simple("home_stats", lambda s, d: V.home_stats(S.meta(B.public(s, d), B.GENERATED_AT)), with_ctes("pub", "SELECT 0::BIGINT AS ord, '記事数' AS label, count(*)::VARCHAR AS value FROM pub UNION ALL SELECT 1, '媒体数', count(DISTINCT source_id)::VARCHAR FROM pub UNION ALL SELECT 2, 'カテゴリ数', count(DISTINCT category_id)::VARCHAR FROM pub"))
@@ -250,12 +265,14 @@ _simple(
     with_ctes("pub", "SELECT CASE WHEN pos = 0 THEN '' WHEN pos = 1 THEN 'nobody' ELSE reg.id END AS wanted, CASE WHEN pos = 0 THEN 'missing' WHEN pos = 1 THEN 'unknown' WHEN n IS NULL THEN 'empty' ELSE 'ready' END AS state, CASE WHEN pos > 1 THEN coalesce(n, 0) ELSE 0 END AS articles FROM reg LEFT JOIN (SELECT source_id, count(*) AS n FROM pub GROUP BY 1) ON source_id = reg.id"),
 )
 _E = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_CARD = f"""SELECT id, '<article><h3>' || {_E("title")} || '</h3><p>' || {_E("source_name")} || ' / ' || {_E("category_label")} || '</p><p>' || {_E("coalesce(nullif(summary, ''), '要約はありません。')")} || '</p>' ||
+  CASE WHEN url LIKE 'https://%' THEN '<a href="' || {_E("replace(url, 'Example.com', 'example.com')")} || '" target="_blank" rel="noopener noreferrer">元記事で続きを読む</a>' ELSE '<span>元記事リンクを確認できません。</span>' END || '</article>' AS html FROM pub"""
 _simple(
     "render_card_html",
     lambda s, d: V.card_html(V.article_view(B.public(s, d))),
-    with_ctes("pub", f"""SELECT id, '<article><h3>' || {_E("title")} || '</h3><p>' || {_E("source_name")} || ' / ' || {_E("category_label")} || '</p><p>' || {_E("coalesce(nullif(summary, ''), '要約はありません。')")} || '</p>' ||
-  CASE WHEN url LIKE 'https://%' THEN '<a href="' || {_E("replace(url, 'Example.com', 'example.com')")} || '" target="_blank" rel="noopener noreferrer">元記事で続きを読む</a>' ELSE '<span>元記事リンクを確認できません。</span>' END || '</article>' AS html FROM pub"""),
+    with_ctes("pub", _CARD),
 )
+_simple("render_card_whole", lambda s, d: V.card_html(V.article_view(B.public(s, d, True))).select("id", F.sha2("html", 256).alias("html_sha256")), with_whole_ctes("pub", f"SELECT id, sha256(html) AS html_sha256 FROM ({_CARD})"))
 
 # ---------------------------------------------------------------- shelves, tags, search
 
