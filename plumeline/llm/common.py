@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = "\\x20\\x09-\\x0D"
@@ -48,6 +48,20 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Columns that tell rows apart: the doc_id, and a hash of the text.
+ROW_KEY = ["__none", "__id", "__tid"]
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def row_key(tid: Column | None = None) -> list[Column]:
+    """ROW_KEY of rows (doc_id, text), or (doc_id) and the hash that is given; no part of it is null."""
+    parts = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), text_hash(F.col("text")) if tid is None else tid
+    return [p.alias(name) for p, name in zip(parts, ROW_KEY, strict=True)]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

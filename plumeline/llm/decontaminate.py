@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import read, spread, stage
+from .common import ROW_KEY, read, row_key, spread, stage, text_hash
 
 WINDOW = 10
 GRAM = 5
@@ -121,7 +121,7 @@ def _scanner(bloom, lengths: list[int]):
                             at = at[passes(held, _salted(K.grams(hashed, n)[at], n))]
                     for k in at.tolist():
                         found[row_of[k]].append({"start": k - int(rows[row_of[k]]), "n": n, "words": _joined(data, starts, ends, k, n)})
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(np.diff(rows), pa.int64()), pa.array(found, _STARTS)], ["rid", "doc_id", "n_words", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], batch.column(3)[a:b], pa.array(np.diff(rows), pa.int64()), pa.array(found, _STARTS)], ["rid", "doc_id", "tid", "n_words", "starts"])
 
     return scan
 
@@ -133,13 +133,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts, and texts without words, have no words and hit nothing. Rows that repeat are rows of their own;
     items that share an id count once. An empty benchmark hits nothing, an empty table gives no rows.
     """
+    return _judged(docs, benchmark).drop("tid")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contamination() of ``docs``, with the hash of each text as tid."""
     spark = docs.sparkSession
     items = spread(benchmark, ["item_id", "text"]).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     windows = stage(items.mapInArrow(_item_windows, "item_id string, n int, words string, prints array<long>"), "windows")
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # WINDOW different values at most
     bloom = spark.sparkContext.broadcast(_bloom(windows).tobytes())
-    docs = spread(docs, ["doc_id", "text"]).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    scanned = stage(docs.mapInArrow(_scanner(bloom, lengths), "rid long, doc_id long, n_words long, starts array<struct<start:int,n:int,words:string>>"), "scanned")
+    docs = spread(docs, ["doc_id", "text"]).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", text_hash(F.col("text")).alias("tid"))
+    scanned = stage(docs.mapInArrow(_scanner(bloom, lengths), "rid long, doc_id long, tid long, n_words long, starts array<struct<start:int,n:int,words:string>>"), "scanned")
     owners = windows.groupBy("words").agg(F.collect_set("item_id").alias("items"))
     hits = stage(scanned.where(F.size("starts") > 0).select("rid", F.inline("starts")).join(owners, "words"), "hits")
     order = Window.partitionBy("rid").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,16 +152,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = covered.groupBy("rid").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "upto"))).cast("long").alias("n_hit"))
     named = hits.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return scanned.drop("starts").join(covered, "rid", "left").join(named, "rid", "left").select(
-        "rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        "rid", "doc_id", "tid", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without a window of ``benchmark``. Rows that share a doc_id with a hit go with it; rows without one are told by their texts."""
-    marked = docs.withColumn("__row", F.coalesce("doc_id", F.xxhash64("text")))
-    found = contamination(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark)
-    hits = found.where("n_hit > 0").select(F.col("doc_id").alias("__row")).distinct()
-    return marked.join(hits, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, all columns, without a window of ``benchmark``. Rows are told by doc_id and text together."""
+    hits = _judged(docs, benchmark).where("n_hit > 0").select(*row_key(F.col("tid"))).distinct()
+    return docs.select("*", *row_key()).join(hits, ROW_KEY, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import read, shuffle_width, spread, stage
+from .common import NOT_WHITE, ROW_KEY, read, row_key, shuffle_width, spread, stage
 from .components import components
 
 SHINGLE = 5
@@ -291,7 +291,8 @@ class _Job:
         found = components(edges).select(F.col("node").alias("cid"), "component")
         return stage(self.classes.select("cid").join(found, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")), "labels")
 
-    def run(self) -> DataFrame:
+    def settled(self) -> DataFrame:
+        """(cid, component) of all classes, by confirmed pairs."""
         spark, signs = self.docs.sparkSession, self.classes.select("cid", "low", "high")
         keys = self.classes.select("cid", "low", "high").mapInArrow(_keys, "key long, cid long")
         # cids are hashes: in order of their exclusive-or with a constant, the first of a bucket is any one, and is known from it
@@ -315,7 +316,16 @@ class _Job:
         spreaded = spreaded.join(self.classes.select("cid", "size", "low", "high"), "cid").join(longs, "cid").select("key", "tile", "tiles", "home", "cid", "component", "size", "low", "high", "long")
         spreaded = spreaded.repartition(shuffle_width(spark), "key", "tile").sortWithinPartitions("key", "tile")
         rest = spreaded.mapInArrow(_tile_pairs, "a long, b long, agree long")
-        labels = self.labels(edges.unionByName(self.linked(rest)))
+        return self.labels(edges.unionByName(self.linked(rest)))
+
+    def survivors(self) -> DataFrame:
+        """(doc_id, tid) of the row that stands for each component: of the least doc_id, null last, and of its texts that with the least hash."""
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+        found = self.settled().join(self.classes.select("cid", "doc_id", "tid"), "cid")
+        return found.groupBy("component").agg(F.min(rank).alias("at")).select("at.doc_id", "at.tid")
+
+    def run(self) -> DataFrame:
+        labels = self.settled()
         least = labels.join(self.classes.select("cid", "digest", "least"), "cid")
         least = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
         found = self.rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(least, "digest").select("doc_id", "n_shingles", "component_id")
@@ -332,12 +342,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the least of their component; of rows that share a doc_id, one.
+    """One row of ``docs``, all columns, for each component: that with the least doc_id, null last.
 
-    Rows without a doc_id have nothing to be told apart by, and stay.
+    Rows are told by doc_id and text together, so rows that share a doc_id stay where their texts are unlike, and rows
+    without one go where they are copies. Texts without words are copies of nothing, and stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    kept = _Job(docs).survivors().select(*row_key(F.col("tid")))
+    worded = F.coalesce("text", F.lit("")).rlike(NOT_WHITE)
+    one = docs.where(worded).select("*", *row_key()).join(kept, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
