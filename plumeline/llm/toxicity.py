@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import read, spread, stage
+from .near_dedup import near_duplicates
 from .quality import bucket_of_id, label_sample
 
 #: Most labelled rows that voters and models are drawn from.
@@ -149,23 +150,21 @@ def _association(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashed[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(row)))), pa.array(toxic)], ["token", "n", "toxic"])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offsets in K.slices(batch.column(1)):
-            _, _, hashed, rows = K.words(data, offsets, K.ALNUM)
-            pairs = K.shingle_sets(hashed, rows, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([int(p[0].astype(np.int64)) if len(p) else 0 for p in pairs], pa.int64())], ["doc_id", "sketch"])
+def thinned(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Of ``sample`` (doc_id, label), the least id of each label in each group of near copies among its texts in ``docs``."""
+    sample = stage(sample, "sample")
+    texts = stage(spread(docs, ["doc_id", "text"]).join(F.broadcast(sample), "doc_id"), "texts")
+    one = near_duplicates(texts).join(F.broadcast(sample), "doc_id").groupBy("component_id", "label").agg(F.min("doc_id").alias("doc_id"))
+    return stage(sample.join(one.select("doc_id"), "doc_id", "left_semi"), "sample")
 
 
 def train(docs: DataFrame, sample: DataFrame) -> ToxicModel:
     """The model of the sampled rows (doc_id, label), which are TRAIN_ROWS at most, with the texts of ``docs``.
 
-    Of sampled texts with the same least word pair, most of them near copies, only one is learnt from, so that what is
-    peculiar to a copied text does not pass for a voter.
+    Of sampled near copies with the same label only one is learnt from, so that what is peculiar to a copied text does not
+    pass for a voter. Texts that are unlike are all learnt from.
     """
-    texts = spread(docs, ["doc_id", "text"]).join(F.broadcast(sample), "doc_id")
-    one = texts.select("doc_id", "text").mapInArrow(_sketched, "doc_id long, sketch long").groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))
-    sample = stage(sample.join(one.select("doc_id"), "doc_id", "left_semi"), "sample")
+    sample = thinned(docs, sample)
     texts = spread(docs, ["doc_id", "text"]).join(F.broadcast(sample), "doc_id")
     found = texts.select("label", "text").mapInArrow(_association, "token long, n long, toxic long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     share = F.col("toxic") / F.col("n")
