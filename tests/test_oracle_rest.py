@@ -1,0 +1,17 @@
+"""The queries that test_oracle.py leaves out by default, so that every query with SQL is compared."""
+
+import pytest
+from test_oracle import NAMES, REST, duck, pytestmark, test_query as compare  # noqa: F401
+
+from plumeline.plans.queries import ORACLE_SQL
+
+compare.__test__ = False
+
+
+@pytest.mark.parametrize("name", sorted(REST - set(NAMES)))
+def test_query_left_out(spark, duck, name):  # noqa: F811
+    compare(spark, duck, name)
+
+
+def test_none_is_left_out():
+    assert set(NAMES) | REST == set(ORACLE_SQL)
