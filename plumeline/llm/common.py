@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a folder of this machine only where that is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``. Only a local session may leave it unset: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='plumeline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
