@@ -1,7 +1,4 @@
-"""Queries of the library against their SQL, over the smallest tables; with PLUMELINE_ALL set, all of them.
-
-Queries that only take one step more over the same deduped articles are left to that.
-"""
+"""All queries of the library that have SQL against it, over the smallest tables."""
 
 import os
 
@@ -11,11 +8,7 @@ import pytest
 from plumeline.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-REST = {
-    "drop_incomplete", "canonical_articles", "atom_normalize", "extract_tag_text", "article_id", "dedupe_key", "dedupe_groups", "run_metrics", "category_label_lookup", "categories_ranked", "sources_ranked", "category_nav", "home_stats",
-    "category_page", "source_page", "tag_page", "shelf_page", "tags_ranked", "search_match", "search_score", "search_state", "meta_v2", "visible_tags", "source_profile", "tag_explode", "article_view", "source_nav", "category_summary", "meta",
-}
-NAMES = sorted(n for n in ORACLE_SQL if os.environ.get("PLUMELINE_ALL") or n not in REST)
+NAMES = sorted(ORACLE_SQL)
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
