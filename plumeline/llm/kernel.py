@@ -1,21 +1,26 @@
 """Words, word grams and their 64-bit hashes over Arrow string columns, in NumPy.
 
 A batch is worked through in slices of about SLICE bytes, so that memory does not follow the batch; one longer text
-makes a slice of its own. Hashes depend on the content alone, so equal words hash alike in every task.
+makes a slice of its own. Hashes depend on the content alone, so equal words hash alike in every task. A word is hashed
+eight bytes after eight, each through a full mixing step, so words of up to eight bytes never collide with others of
+their length; a word beyond LONG_WORD bytes goes by its BLAKE2 digest.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 21
+LONG_WORD = 64
 _BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _GRAM = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16)], np.uint64)
 
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -27,19 +32,6 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    held = _powers.get(name)
-    if held is None or len(held) < n:
-        held = np.full(max(n, SLICE + 1), base, np.uint64)
-        held[0] = 1
-        held = np.multiply.accumulate(held)
-        _powers[name] = held
-    return held[:n]
-
-
 def release() -> None:
     """Give freed memory back to the machine: workers are used again, and what one stage kept would count for the next."""
     pa.default_memory_pool().release_unused()
@@ -71,15 +63,11 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of each word, A-Z lower-cased if ``lower``, and the offsets of the rows among the words.
-
-    ``cut``: positions inside words at which another word begins.
-    """
-    n = len(data)
-    if not n:
+def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the offsets of the rows among the words. ``cut``: positions inside words at which another word begins."""
+    if not len(data):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
     on = table[data]
     full = offsets[:-1] < offsets[1:]
     first, last = on.copy(), on.copy()
@@ -91,10 +79,41 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool
         first[cut] = True
         last[cut - 1] = True
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(((LOWERED[data] if lower else data).astype(np.uint64) + np.uint64(1)) * _power("base", _BASE, n), out=prefix[1:])
-    hashed = (prefix[ends] - prefix[starts]) * _power("back", _BACK, n)[starts]
-    return starts, ends, mix(hashed + (ends - starts).astype(np.uint64) * np.uint64(_BASE)), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+class Bytes:
+    """The bytes of a slice, A-Z lower-cased if ``lower``, to be read eight at a time."""
+
+    def __init__(self, data: np.ndarray, lower: bool = True) -> None:
+        self.raw = np.zeros(len(data) + 8, np.uint8)
+        self.raw[: len(data)] = LOWERED[data] if lower else data
+        self.words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=self.raw, strides=(1,))
+
+    def eight(self, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The first eight bytes of each span as a number; those past its end, at ``length``, are zero."""
+        return self.words[starts] & _MASKS[np.clip(length, 0, 8)]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each span; with another ``salt``, an independent one."""
+        length = ends - starts
+        seed = length.astype(np.uint64) * np.uint64(_BASE) + np.uint64(salt * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+        out = mix(self.eight(starts, length) ^ mix(seed))
+        at, done = np.flatnonzero(length > 8), 8
+        while len(at) and done < LONG_WORD:
+            out[at] = mix(out[at] * _STEP + self.eight(starts[at] + done, length[at] - done))
+            done += 8
+            at = at[length[at] > done]
+        for k in at.tolist():
+            digest = hashlib.blake2b(self.raw[starts[k] : ends[k]], digest_size=8, salt=salt.to_bytes(1, "little")).digest()
+            out[k] = int.from_bytes(digest, "little")
+        return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word, A-Z lower-cased if ``lower``, and the offsets of the rows among the words."""
+    starts, ends, rows = spans(data, offsets, table)
+    return starts, ends, Bytes(data, lower).hashes(starts, ends), rows
 
 
 def grams(hashed: np.ndarray, k: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumeline.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, url_filter
-from plumeline.llm.range_coder import decode, encode
+from plumeline.llm import jvm
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -223,25 +223,75 @@ def test_blind_trie(strings):
 # ---------------------------------------------------------------- tokens
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 65535), max_size=300), st.integers(1, 64))
-def test_range_coder_round_trip(ids, block):
-    blocks = encode(np.array(ids, np.uint32), block)
-    assert decode(blocks, block).tolist() == ids
+def coded(spark, runs):
+    """Round trips of runs of ids through the JVM's coder: (coded, decoded) of each."""
+    from plumeline.llm.token_output import _CODER
 
+    jvm.register(spark, *_CODER)
+    frame = spark.createDataFrame([(i, bytearray(np.array(r, "<u4").tobytes())) for i, r in enumerate(runs)], "i int, ids binary")
+    rows = frame.selectExpr("i", "plumeline_encode_ids(ids) AS c").selectExpr("i", "c", "plumeline_decode_ids(c) AS d").orderBy("i").collect()
+    return [(bytes(r.c), np.frombuffer(bytes(r.d), "<u4").tolist()) for r in rows]
 
-def test_range_coder_learns_and_notices_damage():
-    ids = np.array([5, 9, 60000, 7] * 3000, np.uint32)
-    blocks = encode(ids)
-    assert sum(len(b[2]) for b in blocks) < len(ids) / 2
-    assert (decode(blocks) == ids).all()
-    n, crc, coded = blocks[1]
-    damaged = bytearray(coded)
-    damaged[len(coded) // 3] ^= 0xFF
-    with pytest.raises(ValueError, match="checksum"):
-        decode([blocks[0], (n, crc, bytes(damaged)), *blocks[2:]])
-    with pytest.raises(ValueError, match="65535"):
-        encode(np.array([65536]))
+
+def test_range_coder_round_trip(spark):
+    rng = np.random.default_rng(8)
+    runs = [rng.integers(0, most, n).tolist() for most in (1, 2, 5, 300, 65_536, 65_537, 1 << 29) for n in (0, 1, 2, 40, 4095, 4096, 4097, 9000)]
+    runs += [[7] * 10_000, list(range(10_000)), [5, 9, 60_000, 7] * 3000, (rng.zipf(1.2, 20_000) % 49_000).tolist()]
+    for run, (_, back) in zip(runs, coded(spark, runs), strict=True):
+        assert back == run
+
+
+def test_range_coder_learns_and_notices_damage(spark):
+    import zlib
+
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([[5, 9, 60_000, 7] * 3000, rng.zipf(1.3, 30_000) % 49_000])
+    ((blocks, _),) = coded(spark, [ids.tolist()])
+    assert len(blocks) < sum(len(zlib.compress(ids[k : k + 4096].astype("<u2").tobytes(), 9)) for k in range(0, len(ids), 4096))
+    for at in (0, 4, 12, 20, len(blocks) // 3):
+        damaged = bytearray(blocks)
+        damaged[at] ^= 0xFF
+        with pytest.raises(Exception, match="damaged|checksum"):
+            spark.createDataFrame([(damaged,)], "c binary").selectExpr("plumeline_decode_ids(c)").collect()
+    with pytest.raises(Exception, match="ids must be in"):
+        coded(spark, [[1 << 29]])
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_word_hashes_tell_structured_words_apart():
+    from plumeline.llm import kernel as K
+
+    rng = np.random.default_rng(1)
+    found = ["".join(rng.choice(list("ab"), n)) for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for _ in range(60)]
+    found += [thue_morse(n, letters) for n in (8, 16, 64, 1024, 2048, 4096) for letters in ("ab", "ba")]
+    found = sorted(set(found))
+    data = np.frombuffer(" ".join(found).encode(), np.uint8)
+    for salt in (0, 1):
+        starts, ends, _ = K.spans(data, np.array([0, len(data)]), K.NOT_SPACE)
+        assert len(set(K.Bytes(data).hashes(starts, ends, salt).tolist())) == len(found)
+
+
+def test_run_cache_gives_the_librarys_ids():
+    import random
+
+    import pyarrow as pa
+
+    P = pytest.importorskip("public_tokenizers")
+    from plumeline.llm import kernel as K
+    from plumeline.llm.token_output import WordEncoder
+
+    encoder, rng = WordEncoder(P.path("word_bpe_49k.json")), random.Random(4)
+    parts = [*"abzSsTtD.,!-%~12 \t\n'", "'s", "'re", "'LL", "'", "|", "é", "e\u0301", "\u0301", "İ", "ß", "ſ", "\u3000", "ﬁ", "中", "٣", "word", "Hello"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(8000)]
+    texts += [f"{thue_morse(1024)} {thue_morse(1024, 'ba')}", "a" * 17, "ab" * 9 + " " + "ab" * 9 + "c", "<|endoftext|> <|STARTOFTEXT|>"]
+    for part in (texts[:-1], texts[-1:], texts[:-1]):
+        for a, b, data, offsets in K.slices(pa.array(part)):
+            ids, at = encoder.encode(data, offsets)
+            for i in range(b - a):
+                assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(part[a + i], add_special_tokens=False).ids, part[a + i]
 
 
 def test_token_files(spark, table, edge_docs, tmp_path):
@@ -258,6 +308,7 @@ def test_token_files(spark, table, edge_docs, tmp_path):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     ids = {t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for _, t, *_ in rows}
     read = read_tokens(spark, path).collect()
+    assert sorted((r.start, len(r.ids)) for r in read) == sorted((r.start, r.n_tokens) for r in token_digests(spark, path).collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in read) == Counter((d, tuple(ids[t])) for d, t, *_ in rows)
     ordered = sorted(token_digests(spark, path).collect(), key=lambda r: r.start)
     assert [r.start for r in ordered] == [0, *np.cumsum([r.n_tokens for r in ordered])[:-1].tolist()]
