@@ -32,11 +32,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumeline/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a finished query's shuffle files go at once, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, a lost executor costs no recomputation, and shuffle files go."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged

@@ -26,8 +26,8 @@ def _jar(jvm: JavaObject, source: str) -> bytes:
     return out.getvalue()
 
 
-def register(spark: SparkSession, source: str, functions: dict[str, str]) -> None:
-    """Make ``functions`` (SQL name: class of binary to binary in the file ``source``) known to the session, once."""
+def register(spark: SparkSession, source: str, functions: dict[str, tuple[str, str]]) -> None:
+    """Make ``functions`` (SQL name: class in the file ``source``, and the type that it returns) known to the session, once."""
     session = spark._jsparkSession
     missing = {name: of for name, of in functions.items() if not spark.catalog.functionExists(name)}
     if not missing:
@@ -38,8 +38,7 @@ def register(spark: SparkSession, source: str, functions: dict[str, str]) -> Non
     out.write(bytearray(_jar(jvm, (Path(__file__).parent / source).read_text(encoding="utf-8"))))
     out.close()
     spark.sql(f"ADD JAR '{path.toString()}'")
-    binary = jvm.org.apache.spark.sql.types.DataTypes.BinaryType
-    for name, of in missing.items():
+    for name, (of, returned) in missing.items():
         found = jvm.java.lang.Class.forName(of, True, session.sharedState().jarClassLoader()).getDeclaredConstructors()[0]
         found.setAccessible(True)
-        session.udf().register(name, found.newInstance(context._gateway.new_array(jvm.java.lang.Object, 0)), binary)
+        session.udf().register(name, found.newInstance(context._gateway.new_array(jvm.java.lang.Object, 0)), jvm.org.apache.spark.sql.types.DataType.fromDDL(returned))

@@ -1,11 +1,10 @@
 """Suffix-array dedup: bytes of every 50-byte string that also starts in a document with a smaller id are removed.
 
-Whole copies are settled by digest. In other texts, anchors are the 16-byte grams whose hash is the least of some 35 in a
-row: two equal 50-byte strings always hold an anchor at the same place. An anchor that two documents share has a frame of
-84 bytes, all the 50-byte strings around it; frames that are alike, as the hash of their bytes tells, are counted once.
-Where the frames of an anchor differ, their suffixes are sorted, deep-shallow: multikey quicksort on words of eight bytes
-to a shallow depth, then, in the groups that still share a prefix, comparison with the group's first suffix and a blind
-trie for what differs from it. Runs of suffixes that share 50 bytes then give the least id of each string.
+Whole copies are settled by digest; of each group only the text with the least id goes on. Anchors are the 16-byte grams
+whose hash is the least of some 35 in a row: two equal 50-byte strings always hold an anchor at the same place, so suffixes
+are dealt to groups by the anchor around which they lie. An anchor that two documents share has a frame of 84 bytes, all the
+50-byte strings around it; frames that are alike (by 128 bits of hashes) are one. The suffixes of a group's frames are
+sorted deep-shallow in the JVM (SuffixGroups.java), and runs that share 50 bytes give the least id of each string.
 """
 
 from __future__ import annotations
@@ -18,16 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jvm
 from . import kernel as K
-from .common import discard, read, shuffle_width, spread, stage
+from .common import discard, read, spread, stage
 
 SPAN = 50
 GRAM = 16
 SIDE = SPAN - GRAM  # bytes of a frame on each side of the gram
 FRAME = SPAN + SIDE
 WIDTH = SPAN - GRAM + 1
-SHALLOW = 2  # words of eight bytes that multikey quicksort looks at
-WORD_AT = (0, 8, 16, 24, 32, 40, SPAN - 8)
 #: Filters that keep unshared anchors out have 16 bits for each hash, and 2 ** 29 bits, 64 MiB, at most; beyond some 10 ** 8
 #: shared hashes they let more through, which costs time but changes no result.
 LEAST_BITS, MOST_BITS = 20, 29
@@ -35,6 +33,11 @@ LEAST_BITS, MOST_BITS = 20, 29
 MOST_FRAMES = 20_000
 LAST = (1 << 63) - 1
 
+_SORT = "SuffixGroups.java", {
+    "plumeline_least_ids": ("plumeline.SuffixGroups", "array<struct<cx:long,runs:array<struct<o:int,n:int,m:long>>>>"),
+    "plumeline_suffix_order": ("plumeline.SuffixOrder", "array<int>"),
+}
+
 
 # ---------------------------------------------------------------- anchors
 
@@ -141,147 +144,6 @@ def _survivors(grams):
     return run
 
 
-def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, anchors: h, cx, m, c, at) -> (h, cx, frame, m, c)."""
-    for batch in batches:
-        for i in range(len(batch)):
-            data = np.frombuffer(batch.column(0)[i].as_buffer() or b"", np.uint8)
-            marks = batch.column(1)[i].values.flatten()
-            at = marks[4].to_numpy().astype(np.int64)
-            for k in range(0, len(at), 4096):
-                p = at[k : k + 4096]
-                frames = _frames(data, np.zeros(len(p), np.int64), np.full(len(p), len(data)), p)
-                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FRAME + 2), len(p), [None, pa.py_buffer(np.ascontiguousarray(frames))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([marks[0][k : k + 4096], marks[1][k : k + 4096], flat, marks[2][k : k + 4096], marks[3][k : k + 4096]], ["h", "cx", "frame", "m", "c"])
-
-
-# ---------------------------------------------------------------- suffix sorting
-
-
-class BlindTrie:
-    """Orders strings of one length by the places at which they differ; equal strings share a leaf.
-
-    A node is [place, {byte: child}], a leaf the number of its first string. Going down blindly, without looking at
-    skipped bytes, ends at a leaf; one comparison with it shows where the new string belongs.
-    """
-
-    def __init__(self, strings: list[bytes]) -> None:
-        self.strings, self.root, self.leaf_of = strings, None, []
-        for i in range(len(strings)):
-            self.leaf_of.append(self._add(i))
-
-    def _add(self, i: int) -> int:
-        s = self.strings[i]
-        if self.root is None:
-            self.root = i
-            return i
-        node = self.root
-        while isinstance(node, list):
-            node = node[1].get(s[node[0]]) if s[node[0]] in node[1] else next(iter(node[1].values()))
-        other = self.strings[node]
-        if s == other:
-            return node
-        differ = next(k for k in range(len(s)) if s[k] != other[k])
-        above, step, node = None, None, self.root
-        while isinstance(node, list) and node[0] < differ:
-            above, step = node, s[node[0]]
-            node = node[1][step]
-        if isinstance(node, list) and node[0] == differ:
-            node[1][s[differ]] = i
-        else:
-            new = [differ, {other[differ]: node, s[differ]: i}]
-            if above is None:
-                self.root = new
-            else:
-                above[1][step] = new
-        return i
-
-    def ordered(self) -> list[int]:
-        """The leaves in the order of their strings."""
-        out, todo = [], [self.root] if self.root is not None else []
-        while todo:
-            node = todo.pop()
-            if isinstance(node, list):
-                todo += [node[1][c] for c in sorted(node[1], reverse=True)]
-            else:
-                out.append(node)
-        return out
-
-
-def equal_suffixes(frames: np.ndarray, which: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each suffix (frame ``which``, from byte ``at``): the number of the first one of its group with the same SPAN bytes."""
-    wide = np.concatenate([frames, np.zeros((len(frames), 8), np.uint8)], 1)
-    width = wide.shape[1]
-    words = _words_at(np.ascontiguousarray(wide).ravel(), ">u8")
-    word = lambda s, depth: words[which[s] * width + at[s] + WORD_AT[depth]].astype(np.uint64)
-    first = np.arange(len(which))
-    suffixes, label = first, group
-    for depth in range(SHALLOW):  # multikey quicksort: only groups that are still tied are sorted on
-        key = word(suffixes, depth)
-        order = np.lexsort((suffixes, key, label))
-        suffixes, key, label = suffixes[order], key[order], label[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1])]) if len(order) else np.zeros(0, bool)
-        label = np.cumsum(new) - 1
-        tied = np.bincount(label, minlength=1)[label] > 1 if len(label) else np.zeros(0, bool)
-        suffixes, label = suffixes[tied], label[tied]
-    if not len(suffixes):
-        return first
-    start = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
-    head = suffixes[np.repeat(start, np.diff(np.append(start, len(label))))]
-    same = np.ones(len(suffixes), bool)
-    for depth in range(SHALLOW, len(WORD_AT)):
-        same &= word(suffixes, depth) == word(head, depth)
-    first[suffixes[same]] = head[same]
-    rest, label = suffixes[~same], label[~same]
-    cuts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1], [True]])) if len(rest) else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a > 1:
-            members = rest[a:b]
-            trie = BlindTrie([frames[which[s], at[s] : at[s] + SPAN].tobytes() for s in members.tolist()])
-            first[members] = members[np.array(trie.leaf_of)]
-    return first
-
-
-_RUNS = pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("m", pa.int64())]))
-
-
-def _least_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, cx, frame, m) in order of h -> (h, cx, runs): for strings o ... o + n - 1 of the frame, the least id that has them."""
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        h, cx, m = (rows.column(i).to_numpy() for i in (0, 1, 3))
-        raw = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, FRAME + 2)
-        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-        lo, hi = SIDE - raw[:, 0].astype(np.int64), raw[:, 1].astype(np.int64)
-        n = np.maximum(hi - lo + 1, 0)
-        which = np.repeat(np.arange(len(h)), n)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-        first = equal_suffixes(raw[:, 2:], which, at, group[which] * WIDTH + at)
-        least = np.full(len(which), LAST)
-        np.minimum.at(least, first, m[which])
-        least = least[first]
-        cut = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (least[1:] != least[:-1]), [True]])) if len(which) else np.zeros(1, np.int64)
-        s = cut[:-1]
-        runs = pa.StructArray.from_arrays([pa.array(at[s].astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(least[s])], ["o", "n", "m"])
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(which[s], minlength=len(h)))]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(cx), pa.ListArray.from_arrays(pa.array(bounds), runs)], ["h", "cx", "runs"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        h = batch.column(0).to_numpy()
-        cut = len(h) - int(np.argmin(h[::-1] == h[-1])) if (h != h[-1]).any() else 0
-        if cut:
-            yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
-            held = [batch.slice(cut)]
-        elif held and held[-1].column(0)[-1].as_py() != int(h[0]):
-            yield solve(pa.Table.from_batches(held).combine_chunks())
-            held = [batch]
-        else:
-            held.append(batch)
-    if held:
-        yield solve(pa.Table.from_batches(held).combine_chunks())
-
-
 # ---------------------------------------------------------------- the operator
 
 
@@ -302,17 +164,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["d", "t", "n_removed", "n_spans", "kept"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps, which it does for what the driver has collected."""
-    import gc
-    import time
-
-    for _ in range(2):  # the driver's objects first, then what they held in the JVM
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, sha256) for every row of ``docs`` (doc_id, text).
 
@@ -321,53 +172,46 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     An empty table gives no rows.
     """
     spark = docs.sparkSession
+    jvm.register(spark, *_SORT)
     docs = spread(docs, ["doc_id", "text"]).select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("t", F.xxhash64("text"))
     rows = stage(docs.select("d", "doc_id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")), "rows")
     least = rows.groupBy("digest").agg(F.min("d").alias("least"))
     first, rows = rows, stage(rows.join(least, "digest"), "rows")
     discard(first)
-    whole = rows.where("d = least").select("d", "t").distinct()
+    whole = rows.where((F.col("d") == F.col("least")) & (F.col("n_bytes") >= SPAN)).select("d", "t").distinct()
+    texts = stage(docs.select("d", "t", "text").join(whole.hint("shuffle_hash"), ["d", "t"], "left_semi"), "texts")
 
-    shared = stage(docs.select("d", "text").mapInArrow(_anchor_owners, "h long, d long").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"), "grams")
-    _release(spark)
+    shared = stage(texts.select("d", "text").mapInArrow(_anchor_owners, "h long, d long").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"), "grams")
     grams = spark.sparkContext.broadcast(_filter(shared))
     discard(shared)
-    marks = docs.select("d", "t", "text").mapInArrow(_survivors(grams), "h long, cx long, sides int, d long, t long, at int")
-    frames = stage(marks, "frames")
-    _release(spark)
-    alike = stage(frames.groupBy("h", "cx").agg(F.min("d").alias("m"), F.max("d").alias("hi"), F.min("sides").alias("sides")), "alike")
-    _release(spark)
+    frames = stage(texts.select("d", "t", "text").mapInArrow(_survivors(grams), "h long, cx long, sides int, d long, t long, at int"), "frames")
+    # t and at are those of the same row: both are kept by the same comparisons of d
+    alike = stage(frames.groupBy("h", "cx").agg(F.min("d").alias("m"), F.max("d").alias("hi"), F.min("sides").alias("sides"), F.min_by("t", "d").alias("t"), F.min_by("at", "d").alias("at")), "alike")
     sizes = stage(alike.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lo"), F.max("hi").alias("top")).where("lo < top").select("h", "c"), "sizes")
     left, right = F.shiftright("sides", 6), F.col("sides").bitwiseAND(F.lit(63))
     one = alike.join(sizes.where("c = 1"), "h").where(left + right >= SIDE).select("h", "cx", F.array(F.struct((F.lit(SIDE) - left).alias("o"), (left + right - SIDE + 1).alias("n"), "m")).alias("runs"))
-    unlike = stage(alike.join(sizes.where("c > 1"), "h").select("h", "cx", F.col("m").alias("d"), "c"), "unlike")
-    place = frames.select("h", "cx", "d", "t", "at").join(unlike, ["h", "cx", "d"]).groupBy("h", "cx", "d", "c").agg(F.min("t").alias("t"), F.min_by("at", "t").alias("at"))
-    wanted = stage(place.groupBy("d", "t").agg(F.collect_list(F.struct("h", "cx", F.col("d").alias("m"), "c", "at")).alias("marks")), "wanted")
-    discard(unlike)
-    _release(spark)
-    framed = stage(docs.select("d", "t", "text").join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]).select("text", "marks").mapInArrow(_framed, "h long, cx long, frame binary, m long, c long"), "framed")
-    discard(wanted)
-    _release(spark)
-    several = framed.where(F.col("c") <= MOST_FRAMES).select("h", "cx", "frame", "m").repartition(shuffle_width(spark), "h").sortWithinPartitions("h")
-    several = several.mapInArrow(_least_ids, "h long, cx long, runs array<struct<o:int,n:int,m:long>>")
-    sides = alike.select("h", "cx", "sides")
-    many = framed.where(F.col("c") > MOST_FRAMES).join(sides, ["h", "cx"]).where(left + right >= SIDE).select("h", "cx", "m", "frame", F.explode(F.sequence(F.lit(SIDE) - left, right)).alias("o"))
-    many = many.withColumn("string", F.expr(f"substring(frame, 3 + o, {SPAN})"))
+    marks = alike.join(sizes.where("c > 1"), "h").where(left + right >= SIDE).groupBy(F.col("m").alias("d"), "t").agg(F.collect_list(F.struct("h", "c", "cx", "sides", "m", "hi", "at")).alias("marks"))
+    wanted = texts.select("d", "t", F.encode("text", "UTF-8").alias("bytes")).join(marks, ["d", "t"]).dropDuplicates(["d", "t"])
+    begin = lambda p: p["at"] + 1 - F.shiftright(p["sides"], 6)
+    size = lambda p: F.shiftright(p["sides"], 6) + GRAM + p["sides"].bitwiseAND(F.lit(63))
+    cut = lambda p: F.struct(p["h"].alias("h"), p["c"].alias("c"), F.struct(*[p[x].alias(x) for x in ("cx", "sides", "m", "hi")], F.substr("bytes", begin(p), size(p)).alias("frame")).alias("f"))
+    framed = stage(wanted.select(F.explode(F.transform("marks", cut)).alias("x")).select("x.*"), "framed")
+    several = framed.where(F.col("c") <= MOST_FRAMES).groupBy("h").agg(F.collect_list("f").alias("f"))
+    several = several.select("h", F.inline(F.call_function("plumeline_least_ids", "f")))
+    many = framed.where(F.col("c") > MOST_FRAMES).select("h", "f.*").withColumn("o", F.explode(F.sequence(F.lit(SIDE) - left, right)))
+    many = many.withColumn("string", F.expr(f"substring(frame, 1 + o - {SIDE} + shiftright(sides, 6), {SPAN})"))
     many = many.join(many.groupBy("string").agg(F.min("m").alias("first")), "string").groupBy("h", "cx").agg(F.collect_list(F.struct("o", F.lit(1).alias("n"), F.col("first").alias("m"))).alias("runs"))
     solved = stage(one.unionByName(several).unionByName(many), "solved")
     discard(alike, sizes, framed)
-    _release(spark)
     cuts = frames.select("h", "cx", "d", "t", "at").join(solved, ["h", "cx"]).where(F.exists("runs", lambda r: r["m"] < F.col("d")))
     begin = lambda r: F.col("at") - SIDE + r["o"]
     cuts = cuts.select("d", "t", F.transform(F.filter("runs", lambda r: r["m"] < F.col("d")), lambda r: F.struct(begin(r).alias("a"), (begin(r) + r["n"] - 1 + SPAN).alias("b"))).alias("cuts"))
-    cuts = cuts.groupBy("d", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts")).join(whole, ["d", "t"], "left_semi")
-    cuts = stage(cuts, "cuts")
+    cuts = stage(cuts.groupBy("d", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")
     discard(frames, solved)
-    _release(spark)
-    done = docs.select("d", "t", "text").join(cuts, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "cuts").mapInArrow(_cut, "d long, t long, n_removed long, n_spans long, kept binary")
+    done = texts.join(cuts, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "cuts").mapInArrow(_cut, "d long, t long, n_removed long, n_spans long, kept binary")
     done = stage(done.withColumn("kept_digest", F.unhex(F.sha2("kept", 256))), "cut")
-    _release(spark)
+    discard(texts, cuts)
     copy = (F.col("least") < F.col("d")) & (F.col("n_bytes") >= SPAN)
     nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
     return rows.join(done, ["d", "t"], "left").select(

@@ -28,7 +28,7 @@ _SLOTS = 1 << 21
 _POOL = 8_000_000
 _BATCH = 8192  # runs given to the library at once: what it returns is far larger than the ids
 
-_CODER = "RangeCoder.java", {"plumeline_encode_ids": "plumeline.EncodeIds", "plumeline_decode_ids": "plumeline.DecodeIds"}
+_CODER = "RangeCoder.java", {"plumeline_encode_ids": ("plumeline.EncodeIds", "binary"), "plumeline_decode_ids": ("plumeline.DecodeIds", "binary")}
 _DOCS = "docs array<struct<doc_id:long,at:long,n:long>>"
 SEGMENTS = f"part int, first long, {_DOCS}, coded binary"
 

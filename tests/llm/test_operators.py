@@ -212,12 +212,20 @@ def test_many_frames_take_the_other_way(table, monkeypatch):
     assert {tuple(r) for r in suffix_dedup.repeated_spans(table(rows)).collect()} == want
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.binary(min_size=6, max_size=6), max_size=30))
-def test_blind_trie(strings):
-    trie = suffix_dedup.BlindTrie(strings)
-    assert [strings[i] for i in trie.ordered()] == sorted(set(strings))
-    assert [strings[i] for i in trie.leaf_of] == strings
+def test_deep_shallow_order(spark):
+    """Strings of SPAN bytes, most with long common prefixes, come out in order, equal ones marked."""
+    jvm.register(spark, *suffix_dedup._SORT)
+    rng, runs = np.random.default_rng(6), []
+    for n in (1, 2, 3, 10, 60, 400):
+        for letters, same in ((2, 0), (2, 20), (200, 0), (3, 45), (256, 49)):
+            head = rng.integers(0, 256, same, dtype=np.uint8).tobytes()
+            runs.append([head + rng.integers(0, letters, 50 - same, dtype=np.uint8).tobytes() for _ in range(n)])
+            runs[-1] += [runs[-1][int(k)] for k in rng.integers(0, n, n // 2)]
+    frame = spark.createDataFrame([(i, [bytearray(x) for x in r]) for i, r in enumerate(runs)], "i int, x array<binary>")
+    for r in frame.selectExpr("x", "plumeline_suffix_order(x) AS o").collect():
+        strings = [bytes(r.x[k >> 1]) for k in r.o]
+        assert strings == sorted(bytes(x) for x in r.x) and sorted(k >> 1 for k in r.o) == list(range(len(r.x)))
+        assert [k & 1 for k in r.o] == [int(i > 0 and strings[i] == strings[i - 1]) for i in range(len(strings))]
 
 
 # ---------------------------------------------------------------- tokens
