@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -21,19 +21,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (u, v) reaches. Nodes without edges are not listed.
 
-    Every round halves the paths at least; groups are only ever reduced to their minimum, never collected.
+    Every round halves the paths at least, so it ends; groups are only ever reduced to their minimum, never collected.
     """
     edges = stage(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
     mark = None
-    for _ in range(most):
-        edges = stage(_small(_large(edges)), "edges")
+    while True:
+        before, edges = edges, stage(_small(_large(edges)), "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

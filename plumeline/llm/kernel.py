@@ -137,3 +137,29 @@ def shingle_sets(hashed: np.ndarray, rows: np.ndarray, k: int) -> list[np.ndarra
         else:
             found.append(grams(hashed[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return found
+
+
+def wide_shingle_sets(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, k: int) -> list[np.ndarray]:
+    """The same with 128 bits for each run: (runs, 2) hashes by independent salts, in order of the first and then the second."""
+    starts, ends, rows = spans(data, offsets, table)
+    text, found = Bytes(data), []
+    one, two = text.hashes(starts, ends), text.hashes(starts, ends, 1)
+    first, second = grams(one, k), grams(two, k)
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        if b - a >= k:
+            x, y = first[a : b - k + 1], second[a : b - k + 1]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            found.append(np.stack([x[new], y[new]], 1))
+        else:
+            found.append(np.stack([grams(h[a:b], b - a) for h in (one, two)], 1) if b > a else np.zeros((0, 2), np.uint64))
+    return found
+
+
+def shared_count(x: np.ndarray, y: np.ndarray) -> int:
+    """How many runs two wide sets have in common."""
+    at = np.minimum(np.searchsorted(y[:, 0], x[:, 0]), len(y) - 1)
+    if (x[1:, 0] == x[:-1, 0]).any() or (y[1:, 0] == y[:-1, 0]).any():  # first halves that collide
+        return len({tuple(r) for r in x.tolist()} & {tuple(r) for r in y.tolist()})
+    return int((y[at] == x).all(1).sum())

@@ -6,9 +6,10 @@ listed under each key that leaves one of its symbols out, so that such pairs alw
 distance that share a key are looked at too: a pair of similarity 0.75 is missed with a chance of 3e-7.
 
 Texts with equal shingle sets form one class. In a bucket (classes that share a key) each class is held against one
-class of the bucket, chosen by hash; pairs that pass are confirmed on the sets themselves and joined to components. Only
-classes of one bucket that are still in different components are then held against each other, in tiles of a bounded
-size, each pair in one bucket only and by longer signatures, so that few pairs but those close to the bound go on.
+class of the bucket, whichever comes first in one of two orders; pairs that pass are confirmed on the sets themselves, by
+128 bits a shingle, and joined to components. Only classes of one bucket that are still in different components are then
+held against each other, in tiles of a bounded size and each pair in one bucket only: pairs below the guaranteed distance,
+and those that longer signatures say are close to the bound, go on to be confirmed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import NOT_WHITE, ROW_KEY, read, row_key, shuffle_width, spread, stage
+from .common import NOT_WHITE, ROW_KEY, discard, read, row_key, shuffle_width, spread, stage
 from .components import components
 
 SHINGLE = 5
@@ -34,15 +35,15 @@ SYMBOLS = CHUNK * CHUNKS
 SMALL = 512
 #: Differing symbols beyond which a pair is not confirmed: six standard deviations above the mean at similarity 0.75.
 FAR = 41
-#: The same for pairs of a bucket of three or more, which is looked at again by longer signatures.
-FIRST_FAR = 26
+#: Differing symbols up to which two signatures are sure to share a key: such pairs are always confirmed.
+SURE = 2 * CHUNKS - 1
 #: Symbols of four bits of the longer signatures, and how many must agree: 4.5 standard deviations below the mean at similarity 0.75.
 LONG = 1024
 LONG_AGREE = 723
 #: Orders by which buckets choose the class that the others are held against.
 ORDERS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 TILE = 2048
-SIDE_BYTES = 8 << 20
+SIDE_BYTES = 16 << 20
 LEAST_SIDES = 4
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
@@ -145,10 +146,10 @@ def _distance(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, low_a, high_a, low_b, high_b, n) -> (a, b) of the pairs up to FAR, or FIRST_FAR where all their buckets have more than two classes."""
+    """(a, b, low_a, high_a, low_b, high_b, n) -> (a, b) of the pairs up to FAR, or SURE where all their buckets have more than two classes and are looked at again."""
     for batch in batches:
         d = np.minimum(_distance(batch.column(2), batch.column(4)), _distance(batch.column(3), batch.column(5)))
-        keep = pa.array(d <= np.where(batch.column(6).to_numpy() == 2, FAR, FIRST_FAR))
+        keep = pa.array(d <= np.where(batch.column(6).to_numpy() == 2, FAR, SURE))
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
@@ -192,6 +193,8 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other = longs[x] ^ longs[y]
                 agree = ((other & 15) == 0).sum(1) + (other < 16).sum(1)
                 near = agree >= LONG_AGREE
+                for sig, there in kinds:
+                    near |= there[x] & there[y] & ((sig[x] != sig[y]).sum(1) <= SURE)
                 x, y, agree = x[near], y[near], agree[near]
                 first = np.full(len(x), -1)
                 for kind in (1, 0):
@@ -224,15 +227,15 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in K.slices(batch.column(1)):
-            _, _, hashed, rows = K.words(data, offsets, K.NOT_SPACE)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in K.shingle_sets(hashed, rows, SHINGLE)], pa.binary())], ["cid", "shingles"])
+            sets = K.wide_shingle_sets(data, offsets, K.NOT_SPACE, SHINGLE)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "shingles"])
 
 
 def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, shingles) -> (cid, long): the last four bits of LONG symbols, two in a byte."""
     for batch in batches:
         for at in range(0, len(batch), 1000):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)[at : at + 1000]]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64)[::2] for x in batch.column(1)[at : at + 1000]]
             sig = (_direct(sets, _LONG_XOR, _LONG_MUL) & 15).astype(np.uint8)
             sig = sig[:, ::2] << 4 | sig[:, 1::2]
             yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1000], pa.array([r.tobytes() for r in sig], pa.binary())], ["cid", "long"])
@@ -240,13 +243,13 @@ def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Of a block's pairs (a, b), those whose sets (cid, shingles) are similar enough, as (u, v)."""
-    held = {c: np.frombuffer(x, np.uint64) for c, x in zip(sets["cid"], sets["shingles"], strict=True)}
+    held = {c: np.frombuffer(x, np.uint64).reshape(-1, 2) for c, x in zip(sets["cid"], sets["shingles"], strict=True)}
     keep = np.zeros(len(pairs), bool)
     for i, (a, b) in enumerate(zip(pairs["a"], pairs["b"], strict=True)):
         x, y = held[a], held[b]
         x, y = (x, y) if len(x) <= len(y) else (y, x)
         if 100 * len(x) >= PERCENT * len(y):
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            both = K.shared_count(x, y)
             keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
     return pairs.loc[keep, ["a", "b"]].set_axis(["u", "v"], axis=1)
 
@@ -262,7 +265,7 @@ class _Job:
             F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "tid"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("at"),
             F.any_value("n_shingles").alias("size"), F.any_value("low").alias("low"), F.any_value("high").alias("high"),
         )
-        self.classes = stage(classes.select(F.xxhash64("digest").alias("cid"), "digest", "least", F.col("at.doc_id").alias("doc_id"), F.col("at.tid").alias("tid"), "size", "low", "high"), "classes")
+        self.classes = stage(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least", F.col("at.doc_id").alias("doc_id"), F.col("at.tid").alias("tid"), "size", "low", "high"), "classes")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cid, shingles) of the classes in ``wanted`` (cid), from one text of each."""
@@ -276,6 +279,7 @@ class _Job:
         Classes are dealt to sides of about SIDE_BYTES of sets; a block is a pair of sides with its pairs, and gets each
         set that it needs once, however many of its pairs name it.
         """
+        # cids number the staged classes, so unlike classes never share one
         pairs = stage(pairs.select("a", "b").distinct(), "pairs")
         sets = stage(self.sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))), "sets")
         size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
@@ -284,7 +288,9 @@ class _Job:
         placed = pairs.withColumn("block", side("a") * sides + side("b"))
         needed = placed.select(F.col("block").alias("of"), F.col("a").alias("cid")).union(placed.select("block", "b")).distinct().join(sets, "cid")
         confirmed = needed.groupBy("of").cogroup(placed.groupBy("block")).applyInPandas(_confirmed, "u long, v long")
-        return stage(confirmed, "links")
+        links = stage(confirmed, "links")
+        discard(pairs, sets)
+        return links
 
     def labels(self, edges: DataFrame) -> DataFrame:
         """(cid, component) of all classes."""
@@ -295,7 +301,7 @@ class _Job:
         """(cid, component) of all classes, by confirmed pairs."""
         spark, signs = self.docs.sparkSession, self.classes.select("cid", "low", "high")
         keys = self.classes.select("cid", "low", "high").mapInArrow(_keys, "key long, cid long")
-        # cids are hashes: in order of their exclusive-or with a constant, the first of a bucket is any one, and is known from it
+        # in order of the exclusive-or of its cid with a constant, the first of a bucket is any one, and is known from it
         order = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, ORDERS[0]).otherwise(ORDERS[1])
         shared = keys.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(order)).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = shared.select("key", "n", F.col("least").bitwiseXOR(order).alias("first"))
@@ -315,19 +321,27 @@ class _Job:
         spreaded = spreaded.withColumn("tile", F.least("home", "other") * F.col("tiles") + F.greatest("home", "other"))
         spreaded = spreaded.join(self.classes.select("cid", "size", "low", "high"), "cid").join(longs, "cid").select("key", "tile", "tiles", "home", "cid", "component", "size", "low", "high", "long")
         spreaded = spreaded.repartition(shuffle_width(spark), "key", "tile").sortWithinPartitions("key", "tile")
-        rest = spreaded.mapInArrow(_tile_pairs, "a long, b long, agree long")
-        return self.labels(edges.unionByName(self.linked(rest)))
+        more = self.linked(spreaded.mapInArrow(_tile_pairs, "a long, b long, agree long"))
+        discard(buckets, mixed, longs, labels)
+        labels = self.labels(edges.unionByName(more))
+        discard(edges, more)
+        return labels
 
     def survivors(self) -> DataFrame:
         """(doc_id, tid) of the row that stands for each component: of the least doc_id, null last, and of its texts that with the least hash."""
         rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
         found = self.settled().join(self.classes.select("cid", "doc_id", "tid"), "cid")
-        return found.groupBy("component").agg(F.min(rank).alias("at")).select("at.doc_id", "at.tid")
+        kept = stage(found.groupBy("component").agg(F.min(rank).alias("at")).select("at.doc_id", "at.tid"), "survivors")
+        discard(self.rows, self.classes)
+        return kept
 
     def run(self) -> DataFrame:
         labels = self.settled()
-        least = labels.join(self.classes.select("cid", "digest", "least"), "cid")
-        least = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
+        held = stage(labels.join(self.classes.select("cid", "digest", "least"), "cid").select("component", "digest", "least"), "held")
+        # written first, so that the engine can split a large component in the join
+        ids = stage(held.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+        least = stage(held.join(ids, "component").select("digest", "component_id"), "least")
+        discard(labels, held, ids, self.classes)
         found = self.rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(least, "digest").select("doc_id", "n_shingles", "component_id")
         return found.unionByName(self.rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -159,6 +159,7 @@ def test_contamination(spark, table, edge_docs):
 def test_near_duplicates(table, edge_docs):
     rng = np.random.default_rng(11)
     base, rows = [f"t{i}" for i in rng.integers(0, 5000, 900)], list(edge_docs)
+    rows += [(1990 + i, thue_morse(n, letters), "en", "s0") for i, (n, letters) in enumerate((n, x) for n in (1024, 4096) for x in ("ab", "ba"))]
     for i in range(60):  # copies with ever more changes, small and large
         words = list(base[: [60, 300, 900][i % 3]])
         for at in rng.integers(0, len(words), int(len(words) * (i / 60) * 0.08)):
@@ -181,6 +182,29 @@ def test_near_duplicates(table, edge_docs):
     assert near_dedup.near_duplicates(table([])).count() == 0
 
 
+def test_components(spark):
+    from plumeline.llm.components import components
+
+    rng = np.random.default_rng(9)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, int(k)) for k in rng.integers(1000, 2000, 300)] + [tuple(map(int, e)) for e in rng.integers(3000, 3400, (180, 2))] + [(5, 5)]
+    least = {}
+    find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            least[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame([(b, a) for a, b in edges], "u long, v long")).collect()
+    assert {r.node: r.component for r in got} == {x: find(x) for x in least} and len(got) == len(least)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_wide_sets_with_colliding_halves():
+    from plumeline.llm import kernel as K
+
+    x, y = np.array([[1, 1], [1, 2], [3, 1]], np.uint64), np.array([[1, 2], [1, 3], [3, 1], [4, 4]], np.uint64)
+    assert K.shared_count(x, y) == 2 and K.shared_count(x[2:], y) == 1
+
+
 # ---------------------------------------------------------------- repeated spans
 
 
