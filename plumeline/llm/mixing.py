@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WHITE, read, spread, stage
+from .common import NOT_WHITE, read, shuffle_width, spread, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -24,9 +24,25 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_WHITE)).cast("long"), F.lit(0).cast("long"))
 
 
-def unit_hash(doc_id: Column) -> Column:
-    """60 bits of the md5 of the id as text; a null id counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def unit_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the md5 of the id as text, a colon and the text; null counts as empty. Rows that share an id, or have none, are told by their texts."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, under each name of ``sums``, the sum of a column over the rows before it in ``order``.
+
+    Rows are dealt by range, summed in each range, and the ranges' totals (a row for each range) are sent to all.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    dealt = stage(rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).select("*", F.spark_partition_id().alias("__range")), "ranges")
+    before = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__{name}") for name, c in sums.items()])
+    ranges = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{name}").over(ranges), F.lit(0)).alias(f"__{name}") for name in sums])
+    joined = dealt.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for name, c in sums.items()]).join(F.broadcast(totals), "__range")
+    return joined.select(*columns, *[(F.col(name) + F.col(f"__{name}")).alias(name) for name in sums])
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -36,16 +52,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     none is above its cap ends at min(cap, level * weight) for one level. In order of cap by weight, each source
     gives the level at which all before it are capped and it is not; levels that do not cap it only fall from there on.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.lit(SHARE) * F.sum("source_size").over(everything) - F.lit(MOST) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(rest)
-    led = sizes.withColumn("weight", w).withColumn("level", level)
-    led = led.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.lit(MOST) * F.col("source_size"), F.col("level"))).over(everything))
-    return led.select("source", "source_size", F.least(F.lit(MOST) * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), F.lit(MOST) * F.col("source_size"))).alias("target"))
+    by_name, size = F.col("source").asc_nulls_last(), F.col("source_size")
+    numbered = sums_before(sizes, [by_name], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (F.pmod("place", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    led = sums_before(numbered.select("source", "source_size", weight.alias("weight")), [size / F.col("weight"), by_name], {"size_before": size, "weight_before": F.col("weight")})
+    led = stage(led, "led")
+    total = led.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    level = (F.lit(SHARE) * F.lit(total["size"]) - F.lit(MOST) * F.col("size_before")) / (F.lit(total["weight"]) - F.col("weight_before"))
+    cap = F.lit(MOST) * size
+    top = led.where(level * F.col("weight") <= cap).agg(F.max(level).alias("level")).first()["level"]
+    return led.select("source", "source_size", (F.least(cap, F.lit(top) * F.col("weight")) if top is not None else cap).alias("target"))
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -79,7 +95,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of ``docs`` (doc_id, text, source); the rows are those of ``docs``.
 
-    Null text: size 0. Null source: one source, the last. Rows that share a doc_id share a hash, and are in or out together.
+    Null text: size 0. Null source: one source, the last. Rows that share doc_id and text share a hash, and are in or out together.
     A source without words has target 0. An empty table gives no rows. The crossing document is in where that is nearer.
     """
     sized, marks = _marked(docs)
@@ -90,7 +106,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = spread(docs, ["doc_id", "text", "source"])
-    sized = stage(docs.select("doc_id", "source", words(F.col("text")).alias("size"), unit_hash(F.col("doc_id")).alias("hash")), "sized")
+    sized = stage(docs.select("doc_id", "source", words(F.col("text")).alias("size"), unit_hash(F.col("doc_id"), F.col("text")).alias("hash")), "sized")
     targets = stage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     return sized, stage(thresholds(sized, targets), "thresholds").withColumnRenamed("source", "s")
 
@@ -104,7 +120,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     _, marks = _marked(docs)
     marks = marks.select(F.col("s").alias("__s"), F.col("whole").alias("__whole"), F.col("bound").alias("__bound"))
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_SOURCES else marks
-    times = F.when(words(F.col("text")) > 0, F.col("__whole") + (unit_hash(F.col("doc_id")) < F.col("__bound")).cast("long")).otherwise(0)
+    times = F.when(words(F.col("text")) > 0, F.col("__whole") + (unit_hash(F.col("doc_id"), F.col("text")) < F.col("__bound")).cast("long")).otherwise(0)
     taken = docs.join(marks, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__times", times).where("__times > 0")
     return taken.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -116,7 +132,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
