@@ -16,7 +16,7 @@ from .common import ascii_lower, read, spread, stage
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts with such a label are listed by the query.
-LISTED_LABELS = ("spam-farm", "cheap-pills")
+LISTED_LABELS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
 BITS_PER_URL = 16
 WORDS = 8
 
@@ -75,11 +75,12 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     fits = [(F.when(_fits(F.col("host"), F.col("path"), h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))) for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
     pages = pages.withColumn("fit", F.coalesce(*fits))
     lh, lp = split_url(F.col("url"))
-    hits = listed_hits(pages.where("fit is null").select("canon"), spread(listed, ["url"]).select(canonical(lh, lp).alias("canon")))
-    hits = hits.withColumn("hit", F.lit(True))
-    return pages.join(hits, "canon", "left").select(
-        "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict")
-    )
+    open_page = F.col("fit").isNull() & (F.col("canon") != "")
+    undecided = pages.where(open_page)
+    hits = listed_hits(undecided.select("canon"), spread(listed, ["url"]).select(canonical(lh, lp).alias("canon")))
+    looked_up = undecided.join(hits.withColumn("hit", F.lit("block")), "canon", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("hit", F.lit("allow")).alias("verdict"))
+    # pages that a rule decides, and those without a URL, take no part in the join
+    return looked_up.unionByName(pages.where(~open_page).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit("allow")).alias("verdict")))
 
 
 def listed_pages(pages: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 c AS (SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') AS canon, '.' || host AS h FROM p),
-l AS (SELECT DISTINCT canon FROM c WHERE canon <> '' AND list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills'])),
+l AS (SELECT DISTINCT canon FROM c WHERE canon <> '' AND list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills', 'casino-win', 'free-bets', 'adult-x', 'ads-track'])),
 f AS (SELECT *, CASE
     WHEN h LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN h LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
