@@ -217,7 +217,8 @@ def featured(docs: DataFrame) -> DataFrame:
 
 def train(features: DataFrame, sample: DataFrame) -> AdditiveModel:
     """The model of the sampled rows (doc_id, label), which are TRAIN_ROWS at most."""
-    rows = features.join(F.broadcast(sample), "doc_id").orderBy("doc_id").toPandas().drop_duplicates("doc_id")
+    one = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", *FEATURES)).alias("row"))  # of texts that share an id, the least features
+    rows = one.select("doc_id", "row.*").toPandas().sort_values("doc_id")
     return fit_additive(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float))
 
 
