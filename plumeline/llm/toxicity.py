@@ -178,7 +178,8 @@ def train(docs: DataFrame, sample: DataFrame) -> ToxicModel:
                 both = np.packbits(np.concatenate([present, more], 1).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "label", "votes"])
 
-    rows = texts.select("doc_id", "label", "text").mapInArrow(vote, "doc_id long, label int, votes binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    voted = texts.select("doc_id", "label", "text").mapInArrow(vote, "doc_id long, label int, votes binary")
+    rows = voted.groupBy("doc_id").agg(F.min(F.struct("label", "votes")).alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id")
     many = len(tokens) + 4
     if not len(rows):
         return ToxicModel(tokens, np.concatenate([np.full(len(tokens), 1.0), [3.0, 1.0, 1.0, 1.0]]), -3.0)
