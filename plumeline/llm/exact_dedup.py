@@ -6,16 +6,19 @@ are grouped on their own. Keys are SHA-256 digests, so a filter's false positive
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shuffle_width, spread, stage
+from .common import discard, read, spread, stage
 
 KEYS_PER_BUCKET = 16_384
 LEAST_BUCKETS = 64
-SALTS = 32
+#: Most repeated digests that are sent to every task, 8 MB of them; more are joined.
+BROADCAST_KEYS = 1_000_000
 
 
 # ---------------------------------------------------------------- the filter
@@ -96,10 +99,31 @@ def probe_fuse(keys: np.ndarray, seed: int, length: int, segments: int, table: b
 # ---------------------------------------------------------------- the operator
 
 
+@dataclass
+class Snapshot:
+    """An immutable set of texts as it was written: its groups (digest, last, n, key, bucket), and a filter for each bucket."""
+
+    index: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
 def _keyed(frame: DataFrame, buckets: int) -> DataFrame:
     return frame.withColumn("key", F.xxhash64("digest")).withColumn("bucket", F.pmod(F.hash("digest"), F.lit(buckets)))
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def snapshot(rows: DataFrame) -> Snapshot:
+    """The snapshot of ``rows`` (doc_id, digest): groups and filters are written once, and serve any number of batches."""
+    index = stage(_grouped(rows), "snapshot")
+    buckets = max(LEAST_BUCKETS, -(-index.count() // KEYS_PER_BUCKET))
+    index = _keyed(index, buckets)
+    return Snapshot(index, stage(snapshot_filters(index), "snapshot-filters"), buckets)
+
+
 def snapshot_filters(index: DataFrame) -> DataFrame:
     """One row for each bucket of an index of (digest, key, bucket): the bucket's static filter.
 
@@ -113,20 +137,34 @@ def snapshot_filters(index: DataFrame) -> DataFrame:
     return index.select("bucket", "key").groupBy("bucket").applyInPandas(build, "bucket int, seed int, length int, segments int, cells binary")
 
 
-def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
-    """``batch`` (digest, key, bucket, ...) with ``maybe``: whether the snapshot's filter lets the digest through."""
-    columns = batch.columns
+def screen(batch: DataFrame, held: Snapshot) -> DataFrame:
+    """``batch`` (digest, last, n) with ``maybe``: whether the snapshot's filter lets the digest through.
 
-    def probe(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[columns].copy()
+    A batch larger than the snapshot has several parts to a bucket, each with a copy of the filter, so that no part grows.
+    """
+    parts = max(1, -(-batch.count() // (held.buckets * KEYS_PER_BUCKET)))
+    batch = _keyed(batch, held.buckets).withColumn("part", F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(parts)).cast("int"))
+    filters = held.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def probe(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[["digest", "last", "n", "key"]].copy()
         rows["maybe"] = False
-        if len(rows) and len(held):
-            f = held.iloc[0]
+        if len(rows) and len(found):
+            f = found.iloc[0]
             rows["maybe"] = probe_fuse(rows["key"].to_numpy().astype(np.uint64), int(f.seed), int(f.length), int(f.segments), f.cells)
-        return rows
+        return rows.drop(columns="key")
+
+    return batch.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part")).applyInPandas(probe, "digest binary, last long, n long, maybe boolean")
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-    return batch.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, f"{kinds}, maybe boolean")
+def _copies(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of ``texts`` (digest, text), those of groups of two or more; others do not leave the task that reads them.
+
+    The repeated digests are sent to every task, as eight bytes each, if there are BROADCAST_KEYS at most, else joined.
+    """
+    repeated = groups.where("group_size > 1").select(F.xxhash64("digest").alias("key")).distinct()
+    small = repeated.count() <= BROADCAST_KEYS
+    return texts.withColumn("key", F.xxhash64("digest")).join(F.broadcast(repeated) if small else repeated, "key", "left_semi").drop("key")
 
 
 def exact_groups(docs: DataFrame, incoming) -> tuple[DataFrame, DataFrame]:
@@ -136,34 +174,27 @@ def exact_groups(docs: DataFrame, incoming) -> tuple[DataFrame, DataFrame]:
     immutable snapshot. A null text counts as empty. Rows that repeat a doc_id and its text count as copies; a null
     doc_id never outranks another. An empty table gives no groups. Equal digests of unequal bytes stop the job.
     """
-    spark = docs.sparkSession
     docs = spread(docs, ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
     digest = F.unhex(F.sha2("text", 256))
     rows = stage(docs.select("doc_id", digest.alias("digest"), F.coalesce(incoming, F.lit(True)).alias("incoming")), "digests")
-
-    def grouped(part: DataFrame) -> DataFrame:
-        return part.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-
-    index, batch = stage(grouped(rows.where("not incoming")), "snapshot"), stage(grouped(rows.where("incoming")), "batch")
-    buckets = max(LEAST_BUCKETS, -(-max(index.count(), batch.count()) // KEYS_PER_BUCKET))
-    index, batch = _keyed(index, buckets), _keyed(batch, buckets)
-    screened = stage(screen(batch, snapshot_filters(index)).select("digest", "last", "n", "maybe"), "screened")
-    held = index.select("digest", F.col("last").alias("held_last"), F.col("n").alias("held_n"))
-    met = held.join(screened.where("maybe").drop("maybe"), "digest", "full").select(
+    held, batch = snapshot(rows.where("not incoming")), stage(_grouped(rows.where("incoming")), "batch")
+    screened = stage(screen(batch, held), "screened")
+    index = held.index.select("digest", F.col("last").alias("held_last"), F.col("n").alias("held_n"))
+    met = index.join(screened.where("maybe").drop("maybe"), "digest", "full").select(
         "digest", F.greatest("last", "held_last").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("held_n", F.lit(0))).alias("group_size")
     )
     new = screened.where("not maybe").select("digest", F.col("last").alias("keep_id"), F.col("n").alias("group_size"))
     groups = stage(met.unionByName(new), "groups")
 
-    # Bytes: only texts of groups of two or more travel, dealt by digest and salt, so that a hot group is combined in parts.
-    texts = docs.select(digest.alias("digest"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    copies = texts.join(groups.where("group_size > 1").select("digest"), "digest", "left_semi")
-    copies = copies.repartition(shuffle_width(spark), "digest", "salt")
+    # Bytes: each task first reduces its own copies of a text to the least and the greatest, so a hot group arrives in parts.
+    copies = _copies(docs.select(digest.alias("digest"), "text"), groups)
     same = copies.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
     checked = groups.join(same, "digest", "left").select(
         "digest", "keep_id", F.when(F.coalesce("same", F.lit(True)), F.col("group_size")).otherwise(F.raise_error(F.lit("one digest, two texts"))).cast("long").alias("group_size")
     )
-    return rows.select("doc_id", "digest"), stage(checked, "checked")  # so that the join with all rows can split a hot group
+    checked = stage(checked, "checked")  # so that the join with all rows can split a hot group
+    discard(batch, screened, groups)
+    return rows.select("doc_id", "digest"), checked
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

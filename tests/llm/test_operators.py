@@ -39,6 +39,20 @@ def test_urls(spark):
     assert got == want
     assert url_filter.judge(pages.limit(0), listed).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, listed.limit(0)).where("rule is null").collect()} == {"allow"}
+    long = "http://long.net/" + "p/" * 500_000
+    far = spark.createDataFrame([(1, long), (2, long + "x"), (3, long + "?q")], "page_id long, url string")
+    assert {(r.page_id, r.verdict) for r in url_filter.judge(far, far.where("page_id = 1").select("url")).collect()} == {(1, "block"), (2, "allow"), (3, "block")}
+
+
+def test_filter_lets_few_through_and_join_removes_them(spark):
+    """Of canons that are not listed the filter alone passes some; after the join none is left."""
+    listed = spark.range(4000).selectExpr("concat('h', id, '.net/p') AS canon")
+    probes = spark.range(60_000).selectExpr("concat('h', id, '.net/p') AS canon")
+    blocks = max(1, -(-4000 * url_filter.BITS_PER_URL // 512))
+    held = probes.select("canon", url_filter._block(blocks).alias("block"), *[url_filter._bit(k).alias(f"b{k}") for k in range(8)]).join(url_filter.bloom_blocks(listed, blocks), "block")
+    passed = held.where(" and ".join(f"(shiftright(w{k}, b{k}) & 1) = 1" for k in range(8))).count()
+    assert 4000 < passed < 4000 + 0.02 * 56_000
+    assert {r.canon for r in url_filter.listed_hits(probes, listed).collect()} == {r.canon for r in listed.collect()}
 
 
 # ---------------------------------------------------------------- exact copies
@@ -74,6 +88,23 @@ def test_exact_groups(table, edge_docs):
     assert rows.count() == groups.count() == 0
 
 
+def test_exact_groups_either_way(table, edge_docs, monkeypatch):
+    """Repeated digests sent to all tasks or joined, batches in one part or many: the same groups; and a snapshot serves twice."""
+    incoming = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    found = lambda: Counter(map(tuple, exact_dedup.exact_groups(table(edge_docs), incoming)[1].collect()))
+    want = found()
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 1)
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_BUCKET", 1)
+    monkeypatch.setattr(exact_dedup, "LEAST_BUCKETS", 1)
+    assert found() == want
+    rows = table(edge_docs, clash=False).selectExpr("doc_id", "unhex(sha2(coalesce(text, ''), 256)) AS digest").cache()
+    held = exact_dedup.snapshot(rows.where("doc_id < 40"))
+    for part in ("doc_id < 40", "doc_id >= 40"):
+        batch = exact_dedup._grouped(rows.where(part))
+        known = {bytes(r.digest) for r in rows.where("doc_id < 40").collect()}
+        assert all(r.maybe for r in exact_dedup.screen(batch, held).collect() if bytes(r.digest) in known)
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -119,6 +150,10 @@ def test_mix(table, edge_docs):
     assert all(abs(taken[s] - target[s]) <= most[s] for s in target)
     assert Counter(got) == Counter(mixing.mix(table(more, clash=False)).collect())
     assert mixing.mix(table([])).count() == 0
+    # a source whose rows have no ids still comes near its target
+    bare = mixing.mix(table([(None, f"{i} " + "w " * 9, "en", "s0") for i in range(600)] + [(i, "w " * 10, "en", "s1") for i in range(600)])).collect()
+    for s in ("s0", "s1"):
+        assert abs(sum(r.taken for r in bare if r.source == s) - next(r.target for r in bare if r.source == s)) <= 10
     rows = mixing.mixed_rows(table(more, clash=False))
     assert Counter((r.doc_id, r.text) for r in rows.collect() if r.doc_id is not None and r.doc_id >= 1000) == Counter({(d, t): 0 for d, t, *_ in more if 0}) + Counter(
         {(r.doc_id, dict((d, t) for d, t, *_ in more if d is not None and d >= 1000)[r.doc_id]): r.taken // r.size for r in got if r.doc_id is not None and r.doc_id >= 1000 and r.taken}
@@ -371,7 +406,7 @@ def test_classifiers(spark, table, edge_docs):
     marks = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None), (5, 0, 0)], "doc_id long, quality int, toxic int").selectExpr("*", "0 AS score", "1 AS label")
     for run, part, column in ((quality.quality_scores, 3, 1), (toxicity.toxicity_scores, 5, 2)):
         learnt = quality.bucket_of_id(F.col("doc_id"), part) != 0
-        got = run(table(docs + edge_docs, clash=column == 2), marks, learnt).collect()
+        got = run(table(docs + edge_docs), marks, learnt).collect()
         assert len(got) == len(docs) + len(edge_docs) and all(0 <= r.score <= 1 for r in got)
         held = {i for i in range(100, 700) if __import__("zlib").crc32(str(i).encode()) % part == 0}
         right = [(r.score >= 0.5) == bool(labels[r.doc_id][column]) for r in got if r.doc_id in held]
