@@ -441,3 +441,71 @@ def test_personal_data(table, edge_docs):
         assert (d, want) in got
         assert set(filter(None, want.split(","))) <= set(got[d, want].split(","))
     assert pii.personal_data(table([])).count() == 0
+
+
+def planted():
+    """(doc_id, text, kind, start, end) of spans that only the method finds, and texts with decoys."""
+    rng = np.random.default_rng(12)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    mixed = lambda n: "".join(rng.choice(list("ABCDEFGHJKLMNPabcdefghjkmnp23456789"), n))
+    digit = lambda n: "".join(rng.choice(list("0123456789"), n))
+
+    def amex() -> str:
+        while True:
+            number = "37" + digit(13)
+            if valid("card", "0" + number):
+                return f"{number[:4]} {number[4:10]} {number[10:]}"
+
+    forms = {
+        "secret": lambda i: [('token = "', hexes(40), '" th'), ("password: ", mixed(14), " and"), ("key ", "AKIA" + mixed(16).upper().replace("0", "2"), " there"), ("api_key='", mixed(24) + "7a", "'")][i % 4],
+        "email": lambda i: [("mail to ", f"jane.doe{i} [at] example{i} [dot] com", " now"), ("contact ", f"bob{i} (at) site{i} (dot) org", ".")][i % 2],
+        "phone": lambda i: [("call ", f"(21{i % 9}) 5{i % 90 + 10}-{1000 + 7 * i}", " today"), ("tel ", f"31{i % 9}-6{i % 90 + 10}-{2013 + 11 * i}", ",")][i % 2],
+        "card": lambda i: ("paid by card ", amex(), " ok"),
+        "ip": lambda i: ("server address ", "2001:db8:" + ":".join(hexes(4) for _ in range(6)), " up"),
+    }
+    rows, spans = [], []
+    for k, (kind, form) in enumerate(forms.items()):
+        for i in range(60):
+            before, value, after = form(i)
+            head = " ".join(f"w{x}" for x in rng.integers(0, 999, 5)) + " " + before
+            rows.append((1000 * k + i, f"{head}{value}{after}", "en", "s"))
+            spans.append((1000 * k + i, kind, len(head), len(head) + len(value)))
+    base = [(7000 + i, f"write to a{i}@b{i}.com or call +1 212 555 {1000 + i}, host 10.0.{i}.7", "en", "s") for i in range(60)]
+    decoys = [(8000 + i, [f"the secret: something{'ly' * (i % 3)} odd", f"part 1000 200000 {30000 + i} of it", f"rows 100-100-{1000 + i} here", f"a token = {'a' * (8 + i % 5)}"][i % 4], "en", "s") for i in range(60)]
+    return rows, spans, base, decoys
+
+
+def test_method_adds_spans(table):
+    rows, spans, base, decoys = planted()
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.personal_data(table(rows + base + decoys)).select("doc_id", pii._listed("spans").alias("spans")).collect()}
+    for kind in pii.KINDS:
+        mine = [(d, f"{k}:{a}:{b}") for d, k, a, b in spans if k == kind]
+        assert sum(x in got[d] for d, x in mine) >= 0.9 * len(mine), kind
+    assert sum(bool(got[d]) for d, *_ in decoys) <= 0.3 * len(decoys)
+
+
+def test_many_matches_take_linear_time(table):
+    import time
+
+    rows = [(1, "12a 1.2.3.4 " * 40_000, "en", "s"), (2, "12a " * 1_000_000, "en", "s"), (3, "1234 567890 12345 " * 30_000, "en", "s"), (4, "7" * 1_000_000, "en", "s")]
+    began = time.time()
+    got = {r.doc_id: r.n for r in pii.personal_data(table(rows)).select("doc_id", F.size("base").alias("n")).collect()}
+    assert got == {1: 40_000, 2: 0, 3: got[3], 4: 0} and time.time() - began < 60
+
+
+def test_reliabilities_tell_labelers_apart():
+    rng, rates, counts = np.random.default_rng(5), {0: [0.1, 0.2, 0.3, 0.5, 0.4, 0.5], 1: [0.95, 0.9, 0.8, 0.9, 0.85, 0.9]}, Counter()
+    truth = Counter()
+    for _ in range(4000):
+        y = int(rng.random() < 0.5)
+        votes = sum(int(rng.random() < p) << j for j, p in enumerate(rates[y]))
+        base = bool(y and rng.random() < 0.2)
+        counts["phone", votes, base] += 1
+        truth[votes, y] += not base
+    rows = [(k, v, b, n) for (k, v, b), n in sorted(counts.items())]
+    found = pii.reliabilities(rows)
+    for j, (wrong, right) in enumerate(found["theta"]["phone"]):
+        assert abs(wrong - rates[0][j]) < 0.08 and abs(right - rates[1][j]) < 0.08
+    weights, bias = pii.span_classifier(rows, found["posterior"])
+    says = lambda v: bias["phone"] + sum(w for j, w in enumerate(weights) if v >> j & 1) > 0
+    assert sum(n for (v, y), n in truth.items() if says(v) == bool(y)) > 0.9 * sum(truth.values())
