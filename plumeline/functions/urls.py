@@ -43,13 +43,12 @@ def encode_pairs(pairs: Column) -> Column:
 
 
 def _encoded_path(path: Column) -> Column:
-    odd = F.array_distinct(F.regexp_extract_all(path, F.lit("[^\\x21-\\x7E]|[\"<>`{}]"), F.lit(0)))
-    return F.aggregate(odd, path, lambda acc, c: F.replace(acc, c, F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
+    return _percent(path, "\"<>`{}")
 
 
 def _resolved(path: Column) -> Column:
     """Without dot segments."""
-    parts = F.split(path, "/")
+    parts = F.transform(F.split(path, "/"), lambda p: F.when(F.regexp_like(p, F.lit("^(?:\\.|%2[eE]){1,2}$")), F.regexp_replace(p, "%2[eE]", ".")).otherwise(p))
     ends = F.element_at(parts, -1).isin(".", "..")
     kept = F.aggregate(
         F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
@@ -92,28 +91,53 @@ def _split_body(p: Column) -> Column:
 
 def _assembled(p: Column) -> Column:
     authority, special, slashed = p["authority"], p["special"], p["slashed"]
-    user = F.regexp_extract(authority, "^(.*@)", 1)
-    host = F.lower(F.regexp_extract(authority, "^(?:.*@)?(\\[[^\\]]*\\]|[^:]*)", 1))
-    bad_port = F.regexp_like(F.regexp_replace(authority, "^.*@|\\[[^\\]]*\\]", ""), F.lit(":.*[^0-9]|:[0-9]{6,}"))
-    default = F.coalesce(*[F.when(p["scheme"] == s, n) for s, n in SPECIAL.items()], F.lit(""))
-    port = bound(F.regexp_extract(authority, ":([0-9]*)$", 1), lambda n: F.when((n == "") | (n == default), "").otherwise(F.concat(F.lit(":"), n)))
+    user, h = F.regexp_extract(authority, "^(.*@)", 1), bound(authority, _host_and_port)
+    host, port = h["host"], _port(p["scheme"], h["port"])
     path = bound(F.when(p["path"].contains("/."), _resolved(p["path"])).otherwise(p["path"]), _encoded_path)
     path = F.when(slashed, bound(path, lambda t: F.when(F.length(t) > 1, F.regexp_replace(t, "/+$", "")).otherwise(t))).otherwise(p["path"])
     path = bound(path, lambda t: F.when(special & (t == ""), "/").otherwise(t))
     query = bound(encode_pairs(sorted_pairs(strip_tracking(query_pairs(p["query"])))), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    bad = (p["scheme"] == "") | (special & ((host == "") | F.regexp_like(host, F.lit("[\\x00-\\x20<>^|%#\\\\]")) | bad_port))
+    bad = (p["scheme"] == "") | (special & h["bad"])
     whole = F.concat(p["scheme"], F.lit(":"), F.when(slashed, F.concat(F.lit("//"), user, host, port)).otherwise(""), path, query)
     return F.when(bad, F.lit(None)).otherwise(whole)
 
 
 def safe_link(url: Column) -> Column:
-    """The URL where it is one of http or https with a host, else null."""
-    text = F.trim(url)
-    parts = F.regexp_extract(text, "(?i)^(https?)://([^/?#\\s]+)", 2)
-    scheme = F.lower(F.regexp_extract(text, "(?i)^(https?)://", 1))
-    rest = F.regexp_replace(text, "(?i)^https?://[^/?#\\s]+", "")
-    rest = F.when(F.regexp_like(rest, F.lit("^/")), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(parts != "", F.concat(scheme, F.lit("://"), F.lower(parts), rest))
+    """The URL as the URL standard writes it where it is one of http or https, else null; corner cases as in normalize_url()."""
+    text = F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\r\\n]", "")
+
+    def written(whole: Column) -> Column:
+        fragment = F.when(whole.contains("#"), F.concat(F.lit("#"), _percent(F.regexp_extract(whole, "(?s)#(.*)$", 1), "\"<>`"))).otherwise("")
+        query = F.when(F.regexp_like(whole, F.lit("^[^#]*\\?")), F.concat(F.lit("?"), _percent(F.regexp_extract(whole, "(?s)^[^#?]*\\?([^#]*)", 1), "\"<>'"))).otherwise("")
+
+        def joined(p: Column) -> Column:
+            host = bound(p["authority"], _host_and_port)
+            path = bound(F.when(F.regexp_like(p["path"], F.lit("/(?:\\.|%2[eE])")), _resolved(p["path"])).otherwise(p["path"]), _encoded_path)
+            return bound(host, lambda h: F.when(h["bad"] | ~p["scheme"].isin("http", "https"), F.lit(None)).otherwise(F.concat(p["scheme"], F.lit("://"), F.regexp_extract(p["authority"], "^(.*@)", 1), h["host"], _port(p["scheme"], h["port"]), path, query, fragment)))
+
+        return bound(bound(bound(whole, _split_scheme), _split_body), joined)
+
+    return bound(text, written)
+
+
+def _percent(text: Column, also: str) -> Column:
+    """Percent-encoded where it is not visible ASCII, or one of ``also``."""
+    odd = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[^\\x21-\\x7E]|[{also}]"), F.lit(0)))
+    return F.aggregate(odd, text, lambda acc, c: F.replace(acc, c, F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
+
+
+def _host_and_port(authority: Column) -> Column:
+    host = F.lower(F.regexp_extract(authority, "^(?:.*@)?(\\[[^\\]]*\\]|[^:]*)", 1))
+    rest = F.regexp_replace(authority, "^.*@|\\[[^\\]]*\\]", "")
+    port = F.regexp_extract(rest, ":0*([0-9]*)$", 1)
+    wrong = F.regexp_like(rest, F.lit(":.*[^0-9]")) | (F.length(port) > 5) | (F.coalesce(F.try_to_number(F.nullif(port, F.lit("")), F.lit("99999")), F.lit(0)) > 65535)
+    number = F.when((port == "") & F.regexp_like(rest, F.lit(":0+$")), "0").otherwise(port)
+    return F.struct(host.alias("host"), number.alias("port"), (wrong | (host == "") | F.regexp_like(host, F.lit("[\\x00-\\x20<>^|%#\\\\]"))).alias("bad"))
+
+
+def _port(scheme: Column, port: Column) -> Column:
+    default = F.coalesce(*[F.when(scheme == s, n) for s, n in SPECIAL.items()], F.lit(""))
+    return F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port))
 
 
 def encode_component(value: Column) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import richness
-from ..functions.text import filled, utf16_length
+from ..functions.text import filled, slugify, utf16_length
 
 #: Columns that an article keeps through the fold, the places of arrival first, as rows are sorted by them.
 FIELDS = [
-    "doc_ord", "item_ord", "id", "feed_id", "source_name", "category", "language", "site_url", "title", "url", "summary", "published_at", "fetched_at", "author", "image_url", "tags", "source_item_id",
+    "doc_ord", "item_ord", "id", "feed_id", "source_name", "category", "category_id", "language", "site_url", "title", "url", "summary", "published_at", "fetched_at", "author", "image_url", "tags", "source_item_id",
     "seen_in_feeds", "normalized_url",
 ]
 ABSENT_TIME = 1 << 62
@@ -56,8 +56,14 @@ def _merged(a: Column, b: Column, w: Column, x: Column) -> Column:
     return F.struct(*[out[f].alias(f) for f in FIELDS])
 
 
+def with_category_id(articles: DataFrame) -> DataFrame:
+    """Articles that did not come by way of the registry get the slugs of their categories here."""
+    return articles if "category_id" in articles.columns else articles.withColumn("category_id", slugify(F.col("category")))
+
+
 def dedupe(articles: DataFrame) -> DataFrame:
     """One article for each dedupe key, with ``merged``: how many rows it stands for. A key's rows are those of one URL or item."""
+    articles = with_category_id(articles)
     keyed = articles.where("dedupe_key is not null").groupBy("dedupe_key").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("rows"))
     folded = keyed.select("dedupe_key", F.size("rows").cast("long").alias("merged"), F.when(F.size("rows") == 1, F.get("rows", 0)).otherwise(F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), F.get("rows", 0), merge)).alias("a"))
     alone = articles.where("dedupe_key is null").select("dedupe_key", F.lit(1).cast("long").alias("merged"), *FIELDS)

@@ -84,6 +84,11 @@ def search_index(articles: DataFrame, compatible: bool = True) -> DataFrame:
     return articles.select("id", "sort_at", title.alias("title_text"), source.alias("source_text"), tag.alias("tag_text"), norm_space(F.concat_ws(" ", title, source, tag)).alias("search_text"))
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of texts, in order of their first places."""
+    return F.array_distinct(F.filter(F.split(compare_key(text), " "), lambda t: t != ""))
+
+
 def terms(query: str) -> list[str]:
     import unicodedata
 

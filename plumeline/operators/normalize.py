@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import feedxml as X
 from ..functions.ids import article_id, dedupe_key
-from ..functions.text import filled
+from ..functions.text import filled, slugify
 from ..functions.times import iso, parse_date
 from ..functions.urls import normalize_url
 
-PARTS = ["title", "url", "summary", "published_at", "author", "image_url", "source_item_id"]
-
-
 def split_items(documents: DataFrame) -> DataFrame:
     """(feed_id, doc_ord, fetched_at, kind, item_ord, block) of ``documents`` (feed_id, xml, fetched_at, doc_ord); blank or foreign documents stop the job."""
     kind = X.document_kind(F.col("xml"))
@@ -40,10 +39,17 @@ def atom_parts(block) -> list:
 
 
 def parsed_items(items: DataFrame) -> DataFrame:
-    """Items with their parts; both formats in one pass, each row by its own."""
-    rss, atom = rss_parts(F.col("block")), atom_parts(F.col("block"))
-    parts = [F.when(F.col("kind") == "rss", a).otherwise(b).alias(n) for n, a, b in zip(PARTS, rss, atom, strict=True)]
-    return items.select("feed_id", "doc_ord", "item_ord", "fetched_at", *parts)
+    """Items with their parts, each format by its own rules.
+
+    The parts come out of a generator, so that filters on them do not make the engine work them out twice, and their
+    expressions, far beyond what generated code can hold, are not compiled.
+    """
+
+    def of(kind: str, parts: Callable[[Column], list]) -> DataFrame:
+        row = F.inline(F.transform(F.array("block"), lambda b: F.struct(*parts(b))))
+        return items.where(F.col("kind") == kind).select("feed_id", "doc_ord", "item_ord", "fetched_at", row)
+
+    return of("rss", rss_parts).unionByName(of("atom", atom_parts))
 
 
 def with_identity(articles: DataFrame) -> DataFrame:
@@ -56,9 +62,10 @@ def with_identity(articles: DataFrame) -> DataFrame:
 def strict_registry_join(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """``rows`` with the columns of their registry entry; a feed_id that is not registered stops the job.
 
-    The registry is a hand-kept list, far below any broadcast threshold; Spark decides by its size.
+    The registry is a hand-kept list, far below any broadcast threshold; Spark decides by its size. Category slugs are made
+    there, a row for each feed, and not for each article.
     """
-    entry = registry.select(F.col("id").alias("__id"), F.col("name").alias("source_name"), "category", "language", "site_url")
+    entry = registry.select(F.col("id").alias("__id"), F.col("name").alias("source_name"), "category", slugify(F.col("category")).alias("category_id"), "language", "site_url")
     joined = rows.join(entry, F.col("feed_id") == F.col("__id"), "left")
     known = F.when(F.col("__id").isNotNull(), F.col("feed_id")).otherwise(F.raise_error(F.concat(F.lit("unknown feed: "), F.coalesce("feed_id", F.lit("null")))))
     return joined.withColumn("feed_id", known).drop("__id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slugify
 from ..functions.times import iso
+from .dedupe import with_category_id
 
 MICROS = 1_000_000
 
@@ -23,7 +24,7 @@ def category_collisions(labels: DataFrame) -> DataFrame:
 
 def public_articles(articles: DataFrame) -> DataFrame:
     """The published columns; a category whose slug is empty stops the job."""
-    slug = slugify(F.col("category"))
+    articles, slug = with_category_id(articles), F.col("category_id")
     at = sort_at(F.col("published_at"), F.col("fetched_at"))
     return articles.select(
         "id", "title", "url", "summary", iso(F.col("published_at")).alias("published_at"), iso(at).alias("sort_at"), F.unix_millis(at).alias("sort_ms"), F.col("feed_id").alias("source_id"),

@@ -1,8 +1,8 @@
 """The test tables seen as a registry, feed documents, articles, shelves and tags, in Spark and in SQL.
 
 nation and region make the registry; each row of documents is an article, and also a feed document of two entries, RSS
-for even sources and Atom for odd ones; regions are shelves. Every row counts. Feed documents carry whole texts, a title
-is the first 80 characters, and a summary the first 20 to 69, or, with ``whole``, the text.
+for even sources and Atom for odd ones; regions are shelves. Every row counts, and summaries and feed documents carry whole
+texts; a title, as these tables have none, is the first 80 characters.
 """
 
 from __future__ import annotations
@@ -38,14 +38,13 @@ def _one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
-def items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     link = F.concat(F.lit("https://Example.com:443/a/"), F.substring(F.sha2(text, 256), 1, 12), F.lit("/?utm_source="), F.col("source"), F.lit("&b=2&a=1#f"))
-    summary = text if whole else F.substring(text, F.lit(1), (20 + i % 50).cast("int"))
     name = lambda prefix, n=i, suffix="": F.concat(F.lit(prefix), n.cast("string"), F.lit(suffix))
     return table(spark, sf_dir, "documents").select(
         F.substring("source", 4, 10).cast("long").alias("doc_ord"), i.alias("item_ord"), F.col("source").alias("feed_id"), _one_line(F.substring(text, 1, 80)).alias("title"),
-        F.when(i % 11 == 0, name("item ")).otherwise(link).alias("url"), F.when(i % 7 != 0, summary).alias("summary"),
+        F.when(i % 11 == 0, name("item ")).otherwise(link).alias("url"), F.when(i % 7 != 0, text).alias("summary"),
         F.when(i % 3 != 0, F.timestamp_seconds(F.lit(PUBLISHED_FROM) + i * 60)).alias("published_at"), F.when(i % 2 == 0, name("author ", i % 7)).alias("author"),
         F.when(i % 5 == 0, name("https://img.example.net/", i, ".png")).alias("image_url"), F.when(i % 33 != 0, name("item-")).alias("source_item_id"),
         F.timestamp_seconds(F.lit(FETCHED_FROM + 1000) - i % 3).alias("fetched_at"), F.when(i % 4 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("tags"),
@@ -53,16 +52,16 @@ def items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return with_identity(strict_registry_join(items(spark, sf_dir, whole), registry(spark, sf_dir)))
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_identity(strict_registry_join(items(spark, sf_dir), registry(spark, sf_dir)))
 
 
-def deduped(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dedupe(articles(spark, sf_dir, whole))
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe(articles(spark, sf_dir))
 
 
-def public(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return public_articles(deduped(spark, sf_dir, whole))
+def public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return public_articles(deduped(spark, sf_dir))
 
 
 def _escaped(text: Column) -> Column:
@@ -140,7 +139,7 @@ CTES = {
     "raw": """SELECT substr(source, 4)::BIGINT AS doc_ord, doc_id AS item_ord, source AS feed_id, trim(regexp_replace(substr(coalesce(text, ''), 1, 80), '\\s+', ' ', 'g')) AS title,
       CASE WHEN doc_id % 11 = 0 THEN 'item ' || doc_id ELSE 'https://Example.com:443/a/' || substr(sha256(coalesce(text, '')), 1, 12) || '/?utm_source=' || source || '&b=2&a=1#f' END AS url,
       CASE WHEN doc_id % 11 <> 0 THEN 'https://example.com/a/' || substr(sha256(coalesce(text, '')), 1, 12) || '?a=1&b=2' END AS nurl,
-      CASE WHEN doc_id % 7 <> 0 THEN substr(coalesce(text, ''), 1, (20 + doc_id % 50)::INT) END AS summary, CASE WHEN doc_id % 3 <> 0 THEN make_timestamp((1704067200 + doc_id * 60) * 1000000) END AS pub,
+      CASE WHEN doc_id % 7 <> 0 THEN coalesce(text, '') END AS summary, CASE WHEN doc_id % 3 <> 0 THEN make_timestamp((1704067200 + doc_id * 60) * 1000000) END AS pub,
       CASE WHEN doc_id % 2 = 0 THEN 'author ' || doc_id % 7 END AS author, CASE WHEN doc_id % 5 = 0 THEN 'https://img.example.net/' || doc_id || '.png' END AS image,
       CASE WHEN doc_id % 33 <> 0 THEN 'item-' || doc_id END AS item, make_timestamp((1717201000 - doc_id % 3) * 1000000) AS fetched, CASE WHEN doc_id % 4 = 0 THEN [lang] ELSE []::VARCHAR[] END AS tags,
       [source] AS seen, coalesce(text, '') AS text, lang FROM documents""",
@@ -167,8 +166,3 @@ NEEDS = {
 def with_ctes(names: str, body: str) -> str:
     wanted = {x for n in names.split() for x in [*NEEDS.get(n, []), n]}
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in wanted) + "\n" + body
-
-
-def with_whole_ctes(names: str, body: str) -> str:
-    """The same with whole texts as summaries."""
-    return with_ctes(names, body).replace("substr(coalesce(text, ''), 1, (20 + doc_id % 50)::INT)", "coalesce(text, '')")

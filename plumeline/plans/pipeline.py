@@ -13,7 +13,6 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slugify
 from ..operators import summaries as S
 from ..operators import views as V
 from ..operators.dedupe import dedupe
@@ -98,6 +97,12 @@ def update(spark: SparkSession, registry: DataFrame, generated_at: str, output_d
         outcomes.unpersist()
 
 
+def register_views(exports: dict[str, DataFrame]) -> None:
+    """The exports as temporary views, each under its name, for SQL."""
+    for name in EXPORTS:
+        exports[name].createOrReplaceTempView(name)
+
+
 def load_exports(spark: SparkSession, data_dir: str) -> tuple[str, dict[str, DataFrame]]:
     """(ready, missing-data or error, exports): all four or none."""
     from pyspark.errors import AnalysisException
@@ -116,19 +121,13 @@ def page(exports: dict[str, DataFrame], column: str, value: str) -> DataFrame:
     return V.article_view(V.page_of(exports["articles"], column, value))
 
 
-def category_id_of(label):
-    return slugify(label)
-
-
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="plumeline", description="Build exports from feeds.")
-    parser.add_argument("--feeds", required=True)
+    parser.add_argument("--feeds", default="data/feeds.json")
     parser.add_argument("--documents", help="folder of XML files; without it the enabled feeds are fetched")
-    parser.add_argument("--output-dir")
+    parser.add_argument("--output-dir", default="public/data")
     parser.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
-    if not args.dry_run and not args.output_dir:
-        parser.error("--output-dir is needed unless --dry-run")
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     now = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
     target = None if args.dry_run else args.output_dir

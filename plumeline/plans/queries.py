@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators import views as V
 from ..sources import documents as D
 from ..sources import registry as R
 from . import binding as B
-from .binding import iso_sql, with_ctes, with_whole_ctes
+from .binding import iso_sql, with_ctes
 from .pipeline import run_metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,20 +89,31 @@ _simple(
 
 
 def _outcomes(s, d):
-    """What fetching gives, with every third feed failing; the page of a feed is its name, so that no network is needed."""
-    r = R.enabled(B.registry(s, d))
-    failed = F.col("pos") % 3 == 0
-    return r.select(F.col("pos").alias("doc_ord"), F.col("id").alias("feed_id"), "feed_url", F.when(~failed, F.col("name")).alias("xml"), F.when(failed, F.concat(F.lit("HTTP 50"), (F.col("pos") % 5).cast("string"))).alias("error"))
+    """What fetch_all() gives by a fetcher that needs no network: every third feed fails, and some pages are empty."""
 
+    def page(url: str) -> str:
+        n = int("".join(c for c in url.rsplit("/", 1)[1] if c.isdigit()))
+        if n % 3 == 0:
+            raise OSError(f"HTTP 50{n % 5}")
+        return "" if n % 7 == 1 else f"<rss>{n}</rss>"
 
-_simple("fetch_outcomes", _outcomes, with_ctes("reg", "SELECT pos AS doc_ord, id AS feed_id, feed_url, CASE WHEN pos % 3 <> 0 THEN name END AS xml, CASE WHEN pos % 3 = 0 THEN 'HTTP 50' || pos % 5 END AS error FROM reg WHERE enabled"))
+    return D.fetch_all(B.registry(s, d), page)
+
+
+_simple("fetch_outcomes", _outcomes, with_ctes("reg", "SELECT pos AS doc_ord, id AS feed_id, feed_url, CASE WHEN NOT (pos % 3 = 0 OR pos % 7 = 1) THEN '<rss>' || pos || '</rss>' END AS xml, CASE WHEN pos % 3 = 0 THEN 'HTTP 50' || pos % 5 WHEN pos % 7 = 1 THEN 'empty document' END AS error FROM reg WHERE enabled"))
 _simple(
     "update_metrics",
     lambda s, d: D.update_metrics(_outcomes(s, d)),
-    with_ctes("reg", "SELECT count(*) AS attempted_feeds, count(*) FILTER (pos % 3 <> 0) AS fetched_documents, count(*) FILTER (pos % 3 = 0) AS failed_feeds, string_agg(id, ', ' ORDER BY pos) FILTER (pos % 3 = 0) AS failed_ids FROM reg WHERE enabled"),
+    with_ctes("reg", "SELECT count(*) AS attempted_feeds, count(*) FILTER (NOT (pos % 3 = 0 OR pos % 7 = 1)) AS fetched_documents, count(*) FILTER (pos % 3 = 0 OR pos % 7 = 1) AS failed_feeds, string_agg(id, ', ' ORDER BY pos) FILTER (pos % 3 = 0 OR pos % 7 = 1) AS failed_ids FROM reg WHERE enabled"),
 )
-_simple("failed_ids", lambda s, d: D.update_metrics(_outcomes(s, d)).select("failed_ids"), with_ctes("reg", "SELECT string_agg(id, ', ' ORDER BY pos) FILTER (pos % 3 = 0) AS failed_ids FROM reg WHERE enabled"))
+_simple("failed_ids", lambda s, d: D.update_metrics(_outcomes(s, d)).select("failed_ids"), with_ctes("reg", "SELECT string_agg(id, ', ' ORDER BY pos) FILTER (pos % 3 = 0 OR pos % 7 = 1) AS failed_ids FROM reg WHERE enabled"))
 _simple("publish_gate", lambda s, d: D.publish_gate(D.update_metrics(_outcomes(s, d))), "SELECT true AS publish, '' AS reason")
+_GATES = (("none fetched", "error IS NOT NULL"), ("none enabled", "false"), ("some", "true"))
+_simple(
+    "publish_gate_refusals",
+    lambda s, d: functools.reduce(DataFrame.unionByName, [D.publish_gate(D.update_metrics(_outcomes(s, d).where(rows))).select(F.lit(name).alias("name"), "publish", "reason") for name, rows in _GATES]),
+    "SELECT 'none fetched' AS name, false AS publish, 'no document was fetched' AS reason UNION ALL SELECT 'none enabled', false, 'no enabled feeds' UNION ALL SELECT 'some', true, ''",
+)
 
 # ---------------------------------------------------------------- XML
 
@@ -193,11 +205,6 @@ _simple("array_merge", lambda s, d: B.items(s, d).select("item_ord", F.array_joi
 # ---------------------------------------------------------------- dedupe
 
 _DEDUPED = ["dedupe_key", "merged", "doc_ord", "item_ord", "id", "feed_id", "title", "summary", "author", "image_url", "source_item_id"]
-_simple(
-    "dedupe",
-    lambda s, d: B.deduped(s, d).select(*_DEDUPED, TM.iso(F.col("published_at")).alias("published_at"), TM.iso(F.col("fetched_at")).alias("fetched_at"), _joined("tags"), _joined("seen_in_feeds")),
-    with_ctes("ded", f"SELECT key AS dedupe_key, merged, doc_ord, item_ord, id, feed_id, title, summary, author, image AS image_url, item AS source_item_id, {iso_sql('pub')} AS published_at, {iso_sql('fetched')} AS fetched_at, array_to_string(tags, ',') AS tags, array_to_string(seen, ',') AS seen_in_feeds FROM ded"),
-)
 _WHOLE = "sha256(summary) AS summary, length(summary) AS summary_length"
 
 
@@ -206,9 +213,9 @@ def _hashed(rows):
 
 
 _simple(
-    "dedupe_whole",
-    lambda s, d: _hashed(B.deduped(s, d, True).select(*_DEDUPED, TM.iso(F.col("published_at")).alias("published_at"), TM.iso(F.col("fetched_at")).alias("fetched_at"), _joined("tags"), _joined("seen_in_feeds"))),
-    with_whole_ctes("ded", f"SELECT key AS dedupe_key, merged, doc_ord, item_ord, id, feed_id, title, {_WHOLE}, author, image AS image_url, item AS source_item_id, {iso_sql('pub')} AS published_at, {iso_sql('fetched')} AS fetched_at, array_to_string(tags, ',') AS tags, array_to_string(seen, ',') AS seen_in_feeds FROM ded"),
+    "dedupe",
+    lambda s, d: _hashed(B.deduped(s, d).select(*_DEDUPED, TM.iso(F.col("published_at")).alias("published_at"), TM.iso(F.col("fetched_at")).alias("fetched_at"), _joined("tags"), _joined("seen_in_feeds"))),
+    with_ctes("ded", f"SELECT key AS dedupe_key, merged, doc_ord, item_ord, id, feed_id, title, {_WHOLE}, author, image AS image_url, item AS source_item_id, {iso_sql('pub')} AS published_at, {iso_sql('fetched')} AS fetched_at, array_to_string(tags, ',') AS tags, array_to_string(seen, ',') AS seen_in_feeds FROM ded"),
 )
 _simple("dedupe_groups", lambda s, d: B.articles(s, d).where("dedupe_key is not null").groupBy("dedupe_key").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups")), with_ctes("art", "SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM art WHERE key IS NOT NULL GROUP BY key) GROUP BY 1"))
 _simple("dedupe_first_seen", lambda s, d: DD.first_seen(B.articles(s, d)), with_ctes("art", "SELECT key AS dedupe_key, (min({'d': doc_ord, 'i': item_ord})).d AS doc_ord, (min({'d': doc_ord, 'i': item_ord})).i AS item_ord FROM art WHERE key IS NOT NULL GROUP BY key"))
@@ -220,8 +227,7 @@ _simple(
 
 # ---------------------------------------------------------------- summaries
 
-_simple("public_articles", lambda s, d: B.public(s, d), with_ctes("pub", "SELECT * FROM pub"))
-_simple("public_articles_whole", lambda s, d: _hashed(B.public(s, d, True)), with_whole_ctes("pub", f"SELECT * EXCLUDE summary, {_WHOLE} FROM pub"))
+_simple("public_articles", lambda s, d: _hashed(B.public(s, d)), with_ctes("pub", f"SELECT * EXCLUDE summary, {_WHOLE} FROM pub"))
 _simple("category_summary", lambda s, d: S.category_summary(B.public(s, d)), with_ctes("cat", "SELECT * FROM cat"))
 _simple("source_summary", lambda s, d: S.source_summary(B.public(s, d), B.registry(s, d)), with_ctes("src", "SELECT * FROM src"))
 _simple("meta", lambda s, d: S.meta(B.public(s, d), B.GENERATED_AT), with_ctes("pub", f"SELECT '{B.GENERATED_AT}' AS generated_at, count(*) AS article_count, count(DISTINCT source_id) AS source_count, count(DISTINCT category_id) AS category_count FROM pub"))
@@ -248,12 +254,7 @@ _simple("latest_by_category", _flagship, with_ctes("pub", "SELECT category_id, c
 
 _VIEW = """SELECT id, title, CASE WHEN url LIKE 'https://%' THEN replace(url, 'Example.com', 'example.com') END AS url, source_name, category_label, strftime(strptime(coalesce(published_at, sort_at), '%Y-%m-%dT%H:%M:%S.%gZ'), '%Y/%m/%d %-H:%M') AS published_at_label,
   coalesce(nullif(summary, ''), '要約はありません。') AS summary, coalesce(summary, '') <> '' AS has_summary, image_url, url LIKE 'https://%' AS can_open_external, CASE WHEN url LIKE 'https://%' THEN '元記事で続きを読む' ELSE '元記事リンクを確認できません。' END AS link_text FROM pub"""
-_simple(
-    "article_view",
-    lambda s, d: V.article_view(B.public(s, d)),
-    with_ctes("pub", _VIEW),
-)
-_simple("article_view_whole", lambda s, d: _hashed(V.article_view(B.public(s, d, True))), with_whole_ctes("pub", f"SELECT * EXCLUDE summary, {_WHOLE} FROM ({_VIEW})"))
+_simple("article_view", lambda s, d: _hashed(V.article_view(B.public(s, d))), with_ctes("pub", f"SELECT * EXCLUDE summary, {_WHOLE} FROM ({_VIEW})"))
 _simple("category_nav", lambda s, d: V.category_nav(S.category_summary(B.public(s, d)), "asia"), with_ctes("cat", "SELECT category_id AS id, label, article_count || '件' AS count_label, './categories/?id=' || category_id AS href, category_id = 'asia' AS is_selected FROM cat"))
 _simple("source_nav", lambda s, d: V.source_nav(S.source_summary(B.public(s, d), B.registry(s, d)), "src3", None), with_ctes("src", "SELECT id, name, article_count || '件' AS count_label, category_label || ' / ' || language AS meta_label, './?id=' || id AS href, id = 'src3' AS is_selected FROM src"))
 _simple("home_stats", lambda s, d: V.home_stats(S.meta(B.public(s, d), B.GENERATED_AT)), with_ctes("pub", "SELECT 0::BIGINT AS ord, '記事数' AS label, count(*)::VARCHAR AS value FROM pub UNION ALL SELECT 1, '媒体数', count(DISTINCT source_id)::VARCHAR FROM pub UNION ALL SELECT 2, 'カテゴリ数', count(DISTINCT category_id)::VARCHAR FROM pub"))
@@ -267,12 +268,7 @@ _simple(
 _E = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _CARD = f"""SELECT id, '<article><h3>' || {_E("title")} || '</h3><p>' || {_E("source_name")} || ' / ' || {_E("category_label")} || '</p><p>' || {_E("coalesce(nullif(summary, ''), '要約はありません。')")} || '</p>' ||
   CASE WHEN url LIKE 'https://%' THEN '<a href="' || {_E("replace(url, 'Example.com', 'example.com')")} || '" target="_blank" rel="noopener noreferrer">元記事で続きを読む</a>' ELSE '<span>元記事リンクを確認できません。</span>' END || '</article>' AS html FROM pub"""
-_simple(
-    "render_card_html",
-    lambda s, d: V.card_html(V.article_view(B.public(s, d))),
-    with_ctes("pub", _CARD),
-)
-_simple("render_card_whole", lambda s, d: V.card_html(V.article_view(B.public(s, d, True))).select("id", F.sha2("html", 256).alias("html_sha256")), with_whole_ctes("pub", f"SELECT id, sha256(html) AS html_sha256 FROM ({_CARD})"))
+_simple("render_card_html", lambda s, d: V.card_html(V.article_view(B.public(s, d))).select("id", F.sha2("html", 256).alias("html")), with_ctes("pub", f"SELECT id, sha256(html) AS html FROM ({_CARD})"))
 
 # ---------------------------------------------------------------- shelves, tags, search
 
@@ -309,16 +305,19 @@ _simple(
 )
 _simple("meta_v2", lambda s, d: S.meta(B.public(s, d), B.GENERATED_AT).drop("category_count").join(B.shelves(s, d).agg(F.count(F.lit(1)).alias("shelf_count"))).join(DC.exploded_tags(B.tagged(s, d)).agg(F.count_distinct("tag_id").alias("tag_count"))), with_ctes("tags shelf", f"SELECT '{B.GENERATED_AT}' AS generated_at, (SELECT count(*) FROM pub) AS article_count, (SELECT count(DISTINCT source_id) FROM pub) AS source_count, (SELECT count(*) FROM shelf) AS shelf_count, (SELECT count(DISTINCT tag_id) FROM tags) AS tag_count"))
 _simple("search_index", lambda s, d: DC.search_index(B.tagged(s, d)), with_ctes("idx", "SELECT * FROM idx"))
-_simple("search_terms", lambda s, d: _docs(s, d).select("doc_id", F.array_join(F.array_distinct(F.filter(F.split(T.compare_key(F.substring("text", 1, 60)), " "), lambda t: t != "")), "|").alias("terms")), "SELECT doc_id, array_to_string(list_filter(w, lambda x, i: x <> '' AND list_position(w, x) = i), '|') AS terms FROM (SELECT doc_id, string_split(lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'))), ' ') AS w FROM documents)")
+_TERMS = """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')), ' ') AS w FROM documents),
+t AS (SELECT doc_id, t, min(p) AS p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM w) WHERE t <> '' GROUP BY 1, 2),
+g AS (SELECT doc_id, count(*) AS n, string_agg(t, '|' ORDER BY p) AS s FROM t GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_terms, sha256(coalesce(s, '')) AS terms_sha256 FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
-def _whole_terms(s, d):
-    """Number and SHA-256 of the terms of whole texts; without SQL, as DuckDB lacks NFKC. search_terms and its SQL see 60 characters."""
-    terms = F.array_distinct(F.filter(F.split(T.compare_key(F.coalesce("text", F.lit(""))), " "), lambda t: t != ""))
-    return _docs(s, d).select("doc_id", terms.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", "|"), 256).alias("terms_sha256"))
+def _terms(s, d):
+    """Number and SHA-256 of the terms of whole texts."""
+    rows = _docs(s, d).select("doc_id", DC.terms_of(F.coalesce("text", F.lit(""))).alias("terms"))
+    return rows.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", "|"), 256).alias("terms_sha256"))
 
 
-_simple("search_terms_whole", _whole_terms)
+_simple("search_terms", _terms, _TERMS)
 _HIT = " AND ".join(f"contains(search_text, '{t}')" for t in SEARCH.split())
 _POINTS = " + ".join(f"CASE WHEN contains({p}_text, '{t}') THEN {DC.WEIGHTS[p]} ELSE 0 END" for t in SEARCH.split() for p in ("title", "source", "tag"))
 _POINTS += f" + CASE WHEN title_text = '{SEARCH}' THEN 100 WHEN contains(title_text, '{SEARCH}') THEN 40 ELSE 0 END"

@@ -23,9 +23,15 @@ def from_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
 
 
 def from_files(spark: SparkSession, path: str, feed_id_pattern: str = "([^/]+)\\.xml$") -> DataFrame:
-    """One document for each file; the feed's id is part of the file's name, and documents are in order of their names."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("fetched_at"))
-    return files.select(F.regexp_extract("file", feed_id_pattern, 1).alias("feed_id"), "xml", F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.xxhash64("file").alias("doc_ord"))
+    """One document for each file; the feed's id is part of the file's name, and documents are in order of their names.
+
+    The engine holds the list of files on the driver anyway; it is sorted there, and a folder that moves keeps its order.
+    """
+    found = spark.read.text(path, wholetext=True)
+    names = sorted(found.inputFiles(), key=lambda f: (f.rsplit("/", 1)[-1], f))
+    order = spark.createDataFrame(list(enumerate(names)), "doc_ord long, file string")
+    files = found.select(F.col("value").alias("xml"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("fetched_at"))
+    return files.join(order, "file").select(F.regexp_extract("file", feed_id_pattern, 1).alias("feed_id"), "xml", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "doc_ord")
 
 
 def http_fetch(url: str, timeout: float = TIMEOUT) -> str:

@@ -29,6 +29,8 @@ def fold_batch(spark: SparkSession, state_dir: str, batch: DataFrame, batch_id:
     try:
         state = spark.read.parquet(f"{state_dir}/version={batch_id - 1}").select(*columns)
     except AnalysisException:
+        if batch_id:  # only the first batch may find nothing; a lost folder is not an empty history
+            raise
         state = new.limit(0)
     touched = new.select("dedupe_key").where("dedupe_key is not null").distinct()
     merged = dedupe(new.unionByName(state.join(touched, "dedupe_key", "left_semi").select(*columns)))

@@ -77,3 +77,17 @@ def test_xml_parts(spark):
     assert one(spark, "<titles>no</titles><title> </title><name>n</name>", lambda v: X.first_text(v, ["title", "name"])) == "n"
     assert one(spark, "a='1' a=\"2\" b=''", lambda v: X.attribute(v, "a")) == "2"
     assert [one(spark, x, X.document_kind) for x in (" ", "<x><RSS v='2'>", "<feed>", "<feeds>", "<rdf:RDF>", None)] == ["blank", "rss", "atom", "unknown", "unknown", "blank"]
+
+
+def test_links_as_the_url_standard_writes_them(spark):
+    cases = {
+        "HTTP://A.com:80/a/../b": "http://a.com/b", "https:\\\\a.com\\x": "https://a.com/x", "https://a.com/a b/\u00e9?q=\u00e9 x'#f g": "https://a.com/a%20b/%C3%A9?q=%C3%A9%20x%27#f%20g", "http://a.com:99999/": None, "http://a.com:65535/": "http://a.com:65535/",
+        "https://a.com": "https://a.com/", "  https://u:p@A.com:0443?x=1&utm_source=b#": "https://u:p@a.com/?x=1&utm_source=b#", "javascript:alert(1)": None, "mailto:a@b": None, "https://": None, "": None, "https://a.com/%2e%2E/x/./y/..": "https://a.com/x/", "ftp://a.com/": None,
+    }
+    for url, want in cases.items():
+        assert one(spark, url, U.safe_link) == want, url
+
+
+def test_numeric_entities_in_one_pass(spark):
+    assert one(spark, "&&#35;65;&#65;", T.decode_entities) == "&#65;A"
+    assert one(spark, "&#x26;#65; &#38;#66; &#x1F600;&#65;", T.decode_entities) == "A &#66; \U0001f600A"

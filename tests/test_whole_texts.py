@@ -1,4 +1,4 @@
-"""Queries over whole texts, where the SQL of the older ones cuts them."""
+"""Queries read whole texts."""
 
 import hashlib
 import unicodedata
@@ -34,23 +34,23 @@ def test_terms_of_whole_texts(spark, tables):
     for doc_id, text, *_ in rows:
         terms = list(dict.fromkeys(unicodedata.normalize("NFKC", text or "").lower().split()))
         want.add((doc_id, len(terms), sha("|".join(terms))))
-    assert {tuple(r) for r in QUERIES["search_terms_whole"](spark, path).collect()} == want
+    assert {tuple(r) for r in QUERIES["search_terms"](spark, path).collect()} == want
     assert max(n for _, n, _ in want) > 3000
 
 
 def test_summaries_are_whole_texts(spark, tables):
     path, rows = tables
     whole = {text or "" for _, text, *_ in rows}
-    deduped = {(r.item_ord, r.merged): r.summary for r in QUERIES["dedupe_whole"](spark, path).collect()}
+    deduped = {(r.item_ord, r.merged): r.summary for r in QUERIES["dedupe"](spark, path).collect()}
     assert deduped == {(1, 3): sha(LONG), (2, 1): sha(LONG + " <b> & more"), (3, 1): sha("short"), (4, 1): sha("")}
-    for name in ("public_articles_whole", "article_view_whole"):
+    for name in ("public_articles", "article_view"):
         assert {sha(t) for t in whole if t} <= {r.summary for r in QUERIES[name](spark, path).collect()}
-    assert len({r.html_sha256 for r in QUERIES["render_card_whole"](spark, path).collect()}) == 4
+    assert len({r.html for r in QUERIES["render_card_html"](spark, path).collect()}) == 4
 
 
 def test_longer_of_two_long_summaries_wins(spark, tables):
     """Of equally rich copies the later one is longer by a few characters at its end."""
     path, _ = tables
-    articles = B.articles(spark, path, whole=True).where("item_ord in (1, 13)").withColumn("summary", F.concat("summary", F.repeat(F.lit("x"), F.col("item_ord").cast("int"))))
+    articles = B.articles(spark, path).where("item_ord in (1, 13)").withColumn("summary", F.concat("summary", F.repeat(F.lit("x"), F.col("item_ord").cast("int"))))
     (row,) = dedupe(articles).collect()
     assert (row.merged, row.feed_id, row.summary) == (2, "src2", LONG + "x" * 13)
