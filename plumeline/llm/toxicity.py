@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters are words and word beginnings: a list of insults, and those that are far more frequent in toxic than in other
-labelled texts; further voters look at how dense their hits are, or vote for clean. A generative model of all votes
+labelled texts; further voters look at how many and how dense their hits are. A voter that says nothing speaks for clean, as far as it
+is reliable. A generative model of all votes
 estimates, by expectation-maximisation, how often each voter is right and which voters are correlated, so that
 correlated votes count for less. A linear classifier is then trained on the posterior labels.
 """
@@ -29,7 +30,8 @@ INSULTS = (
     "idiot", "moron", "stupid", "dumb", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "garbage", "filth", "vermin", "imbecile", "bastard", "shut", "hate", "kill", "ugly"
 )
 BEGINNINGS = (4, 5, 6)
-LEAST_HITS = 5
+LEAST_HITS = 3
+#: Least share of toxic among the texts that have a word, of which half a text more counts as clean: rare words must be purer.
 LEAST_SHARE = 0.85
 
 
@@ -167,7 +169,7 @@ def train(docs: DataFrame, sample: DataFrame) -> ToxicModel:
     sample = thinned(docs, sample)
     texts = spread(docs, ["doc_id", "text"]).join(F.broadcast(sample), "doc_id")
     found = texts.select("label", "text").mapInArrow(_association, "token long, n long, toxic long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    share = F.col("toxic") / F.col("n")
+    share = F.col("toxic") / (F.col("n") + 0.5)
     found = found.where((F.col("toxic") >= LEAST_HITS) & (share >= LEAST_SHARE)).orderBy((share * F.log("toxic")).desc(), "token").limit(VOTERS).toPandas()
     tokens = np.unique(np.concatenate([found["token"].to_numpy().astype(np.uint64), np.array([_word_hash(w) for w in INSULTS], np.uint64)]))
 
