@@ -190,20 +190,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     alike = stage(frames.groupBy("h", "cx").agg(F.min("d").alias("m"), F.max("d").alias("hi"), F.min("sides").alias("sides"), F.min_by("t", "d").alias("t"), F.min_by("at", "d").alias("at")), "alike")
     sizes = stage(alike.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lo"), F.max("hi").alias("top")).where("lo < top").select("h", "c"), "sizes")
     left, right = F.shiftright("sides", 6), F.col("sides").bitwiseAND(F.lit(63))
-    one = alike.join(sizes.where("c = 1"), "h").where(left + right >= SIDE).select("h", "cx", F.array(F.struct((F.lit(SIDE) - left).alias("o"), (left + right - SIDE + 1).alias("n"), "m")).alias("runs"))
+    alone = alike.join(sizes.where("c = 1"), "h").where(left + right >= SIDE).select("h", "cx", F.array(F.struct((F.lit(SIDE) - left).alias("o"), (left + right - SIDE + 1).alias("n"), "m")).alias("runs"))
+    alone = stage(alone, "alone")
     marks = alike.join(sizes.where("c > 1"), "h").where(left + right >= SIDE).groupBy(F.col("m").alias("d"), "t").agg(F.collect_list(F.struct("h", "c", "cx", "sides", "m", "hi", "at")).alias("marks"))
+    marks = stage(marks, "marks")
+    discard(alike, sizes)  # before the texts travel, which takes most of the disk
     wanted = texts.select("d", "t", F.encode("text", "UTF-8").alias("bytes")).join(marks, ["d", "t"]).dropDuplicates(["d", "t"])
     begin = lambda p: p["at"] + 1 - F.shiftright(p["sides"], 6)
     size = lambda p: F.shiftright(p["sides"], 6) + GRAM + p["sides"].bitwiseAND(F.lit(63))
     cut = lambda p: F.struct(p["h"].alias("h"), p["c"].alias("c"), F.struct(*[p[x].alias(x) for x in ("cx", "sides", "m", "hi")], F.substr("bytes", begin(p), size(p)).alias("frame")).alias("f"))
     framed = stage(wanted.select(F.explode(F.transform("marks", cut)).alias("x")).select("x.*"), "framed")
+    discard(marks)
     several = framed.where(F.col("c") <= MOST_FRAMES).groupBy("h").agg(F.collect_list("f").alias("f"))
     several = several.select("h", F.inline(F.call_function("plumeline_least_ids", "f")))
     many = framed.where(F.col("c") > MOST_FRAMES).select("h", "f.*").withColumn("o", F.explode(F.sequence(F.lit(SIDE) - left, right)))
     many = many.withColumn("string", F.expr(f"substring(frame, 1 + o - {SIDE} + shiftright(sides, 6), {SPAN})"))
     many = many.join(many.groupBy("string").agg(F.min("m").alias("first")), "string").groupBy("h", "cx").agg(F.collect_list(F.struct("o", F.lit(1).alias("n"), F.col("first").alias("m"))).alias("runs"))
-    solved = stage(one.unionByName(several).unionByName(many), "solved")
-    discard(alike, sizes, framed)
+    solved = stage(alone.unionByName(several).unionByName(many), "solved")
+    discard(alone, framed)
     cuts = frames.select("h", "cx", "d", "t", "at").join(solved, ["h", "cx"]).where(F.exists("runs", lambda r: r["m"] < F.col("d")))
     begin = lambda r: F.col("at") - SIDE + r["o"]
     cuts = cuts.select("d", "t", F.transform(F.filter("runs", lambda r: r["m"] < F.col("d")), lambda r: F.struct(begin(r).alias("a"), (begin(r) + r["n"] - 1 + SPAN).alias("b"))).alias("cuts"))
