@@ -252,7 +252,7 @@ _simple("latest_by_category", _flagship, with_ctes("pub", "SELECT category_id, c
 
 # ---------------------------------------------------------------- views
 
-_VIEW = """SELECT id, title, CASE WHEN url LIKE 'https://%' THEN replace(url, 'Example.com', 'example.com') END AS url, source_name, category_label, strftime(strptime(coalesce(published_at, sort_at), '%Y-%m-%dT%H:%M:%S.%gZ'), '%Y/%m/%d %-H:%M') AS published_at_label,
+_VIEW = """SELECT id, title, CASE WHEN url LIKE 'https://%' THEN replace(url, 'Example.com:443', 'example.com') END AS url, source_name, category_label, strftime(strptime(coalesce(published_at, sort_at), '%Y-%m-%dT%H:%M:%S.%gZ'), '%Y/%m/%d %-H:%M') AS published_at_label,
   coalesce(nullif(summary, ''), '要約はありません。') AS summary, coalesce(summary, '') <> '' AS has_summary, image_url, url LIKE 'https://%' AS can_open_external, CASE WHEN url LIKE 'https://%' THEN '元記事で続きを読む' ELSE '元記事リンクを確認できません。' END AS link_text FROM pub"""
 _simple("article_view", lambda s, d: _hashed(V.article_view(B.public(s, d))), with_ctes("pub", f"SELECT * EXCLUDE summary, {_WHOLE} FROM ({_VIEW})"))
 _simple("category_nav", lambda s, d: V.category_nav(S.category_summary(B.public(s, d)), "asia"), with_ctes("cat", "SELECT category_id AS id, label, article_count || '件' AS count_label, './categories/?id=' || category_id AS href, category_id = 'asia' AS is_selected FROM cat"))
@@ -267,7 +267,7 @@ _simple(
 )
 _E = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _CARD = f"""SELECT id, '<article><h3>' || {_E("title")} || '</h3><p>' || {_E("source_name")} || ' / ' || {_E("category_label")} || '</p><p>' || {_E("coalesce(nullif(summary, ''), '要約はありません。')")} || '</p>' ||
-  CASE WHEN url LIKE 'https://%' THEN '<a href="' || {_E("replace(url, 'Example.com', 'example.com')")} || '" target="_blank" rel="noopener noreferrer">元記事で続きを読む</a>' ELSE '<span>元記事リンクを確認できません。</span>' END || '</article>' AS html FROM pub"""
+  CASE WHEN url LIKE 'https://%' THEN '<a href="' || {_E("replace(url, 'Example.com:443', 'example.com')")} || '" target="_blank" rel="noopener noreferrer">元記事で続きを読む</a>' ELSE '<span>元記事リンクを確認できません。</span>' END || '</article>' AS html FROM pub"""
 _simple("render_card_html", lambda s, d: V.card_html(V.article_view(B.public(s, d))).select("id", F.sha2("html", 256).alias("html")), with_ctes("pub", f"SELECT id, sha256(html) AS html FROM ({_CARD})"))
 
 # ---------------------------------------------------------------- shelves, tags, search
