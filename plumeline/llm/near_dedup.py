@@ -40,6 +40,8 @@ SURE = 2 * CHUNKS - 1
 #: Symbols of four bits of the longer signatures, and how many must agree: 4.5 standard deviations below the mean at similarity 0.75.
 LONG = 1024
 LONG_AGREE = 723
+#: Bits of a class's bitmap of shingles, by which pairs that cannot be similar enough are told without their sets.
+BITS = 4096
 #: Orders by which buckets choose the class that the others are held against.
 ORDERS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 TILE = 2048
@@ -163,17 +165,19 @@ def _signatures(column: pa.Array, symbols: int = SYMBOLS, kind: type = np.uint16
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tile, tiles, home, cid, component, size, low, high, long) in order of key and tile -> (a, b, agree) of unlike components.
+    """Rows (key, tile, tiles, home, cid, component, size, low, high, long, bits) in order of key and tile -> (a, b, agree) of unlike components.
 
     Rows of a group are compared at distance 1, 2, ... of their places, all groups of a batch at once. In a tile that
     two homes share, only pairs of unlike homes count, as each home has a tile of its own. A pair counts in the first
-    of the buckets that it shares.
+    of the buckets that it shares. A bit that one bitmap has alone is a shingle of that set alone at least, which bounds
+    what two sets can share: a pair left out by that bound is surely not similar enough.
     """
 
     def pairs(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
         key, tile, tiles, home, cid, comp, size = (rows.column(i).to_numpy(False) for i in range(7))
         kinds = [_signatures(rows.column(i).combine_chunks() if isinstance(rows, pa.Table) else rows.column(i)) for i in (7, 8)]
         longs, _ = _signatures(rows.column(9).combine_chunks() if isinstance(rows, pa.Table) else rows.column(9), LONG // 2, np.uint8)
+        bits, _ = _signatures(rows.column(10).combine_chunks() if isinstance(rows, pa.Table) else rows.column(10), BITS // 64, np.uint64)
         slot = key & 255
         cut = np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), [True]])
         bounds = np.flatnonzero(cut)
@@ -196,6 +200,10 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for sig, there in kinds:
                     near |= there[x] & there[y] & ((sig[x] != sig[y]).sum(1) <= SURE)
                 x, y, agree = x[near], y[near], agree[near]
+                only_x, only_y = (np.bitwise_count(bits[p] & ~bits[q]).sum(1, dtype=np.int64) for p, q in ((x, y), (y, x)))
+                most = np.minimum(size[x] - only_x, size[y] - only_y)
+                can = 100 * most >= PERCENT * (size[x] + size[y] - most)
+                x, y, agree = x[can], y[can], agree[can]
                 first = np.full(len(x), -1)
                 for kind in (1, 0):
                     sig, there = kinds[kind]
@@ -232,13 +240,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, shingles) -> (cid, long): the last four bits of LONG symbols, two in a byte."""
+    """(cid, shingles) -> (cid, long, bits): the last four bits of LONG symbols, two in a byte, and the bitmap of the shingles."""
     for batch in batches:
         for at in range(0, len(batch), 1000):
             sets = [np.frombuffer(x.as_buffer(), np.uint64)[::2] for x in batch.column(1)[at : at + 1000]]
             sig = (_direct(sets, _LONG_XOR, _LONG_MUL) & 15).astype(np.uint8)
             sig = sig[:, ::2] << 4 | sig[:, 1::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1000], pa.array([r.tobytes() for r in sig], pa.binary())], ["cid", "long"])
+            bits = np.zeros((len(sets), BITS), bool)
+            for row, one in zip(bits, sets, strict=True):
+                row[(K.mix(one) % np.uint64(BITS)).astype(np.int64)] = True
+            columns = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (sig, np.packbits(bits, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1000], *columns], ["cid", "long", "bits"])
 
 
 def _confirmed(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -314,12 +326,12 @@ class _Job:
         open_rows = buckets.where("n > 2").join(labels, "cid")
         mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         mixed = stage(mixed, "mixed")
-        longs = stage(self.sets(open_rows.join(mixed, "key").select("cid")).mapInArrow(_long, "cid long, long binary"), "longs")
+        longs = stage(self.sets(open_rows.join(mixed, "key").select("cid")).mapInArrow(_long, "cid long, long binary, bits binary"), "longs")
         tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
         spreaded = open_rows.join(mixed, "key").withColumn("tiles", tiles).withColumn("home", F.pmod(F.hash("cid"), F.col("tiles")))
         spreaded = spreaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         spreaded = spreaded.withColumn("tile", F.least("home", "other") * F.col("tiles") + F.greatest("home", "other"))
-        spreaded = spreaded.join(self.classes.select("cid", "size", "low", "high"), "cid").join(longs, "cid").select("key", "tile", "tiles", "home", "cid", "component", "size", "low", "high", "long")
+        spreaded = spreaded.join(self.classes.select("cid", "size", "low", "high"), "cid").join(longs, "cid").select("key", "tile", "tiles", "home", "cid", "component", "size", "low", "high", "long", "bits")
         spreaded = spreaded.repartition(shuffle_width(spark), "key", "tile").sortWithinPartitions("key", "tile")
         more = self.linked(spreaded.mapInArrow(_tile_pairs, "a long, b long, agree long"))
         discard(buckets, mixed, longs, labels)

@@ -200,6 +200,11 @@ def test_near_duplicates(table, edge_docs):
         for at in rng.integers(0, len(words), int(len(words) * (i / 60) * 0.08)):
             words[at] = f"z{rng.integers(0, 10**6)}"
         rows.append((2000 + i, " ".join(words), "en", "s0"))
+    for i in range(150):  # one template, changed in as many places as leaves two copies about the bound
+        words = list(base[300 : 300 + 150])
+        for at in rng.integers(0, len(words), 1 + i % 6):
+            words[at] = f"y{rng.integers(0, 10**6)}"
+        rows.append((3000 + i, " ".join(words), "en", "s0"))
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(rows)).collect())
     word = lambda t: re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
     sets = [set(windows(w, 5)) if len(w := word(t)) >= 5 else ({tuple(w)} if w else set()) for _, t, *_ in rows]
