@@ -26,8 +26,8 @@ from . import kernel as K
 from .common import read, spread, stage
 
 BLOCK = 1 << 22  # bytes of text in a block; a longer text makes a block of its own
-#: White space beyond ASCII, in UTF-8.
-_WIDE = {int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
+#: White space beyond ASCII, in UTF-8, and U+2581, by which the second tokenizer writes a space.
+_WIDE = {int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x2581, 0x3000)}
 _PART = 4096  # segments that are tokenised at once
 
 
