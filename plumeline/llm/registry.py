@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .alignment import op13_alignment
+from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_collocations": op12_collocations,
     "op13_alignment": op13_alignment,
 }
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op12_collocations": OP12_SQL}
