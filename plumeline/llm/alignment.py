@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import read, spread, stage
 
-BLOCK = 1 << 22  # bytes of text in a block; a longer text makes a block of its own
+BLOCK = 1 << 23  # bytes of text in a block; a longer text makes a block of its own
 #: White space beyond ASCII, in UTF-8, and U+2581, by which the second tokenizer writes a space.
 _WIDE = {int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x2581, 0x3000)}
 _PART = 4096  # segments that are tokenised at once
@@ -117,25 +117,51 @@ def _blocks(unsafe: list[int]):
     return cut
 
 
-def aligned(segment: str, a_ids: list[int], b_ids: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[tuple[list[int], list[int]]], bool]:
-    """Groups of ids between the places where tokens of both end; false if the tokens' bytes are not the segment's."""
-    whole = segment.encode()
-    a, b = [a_bytes[i] for i in a_ids], [b_bytes[i] for i in b_ids]
-    if b"".join(a) != whole or b"".join(b) != whole:
-        return [], False
-    groups, i, j, x, y, from_i, from_j = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if x <= y and i < len(a):
-            x, i = x + len(a[i]), i + 1
+def _joined(entries: list[bytes], ids: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
+    """The bytes that each segment's ids spell."""
+    ends = np.cumsum(np.bincount(of, minlength=n)).tolist()
+    spelled = [entries[i] for i in ids.tolist()]
+    return [b"".join(spelled[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def aligned(segments: list[str], a: list[list[int]], b: list[list[int]], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Whether each segment is what its tokens spell; (n_a, n_b, n_groups, n_links) of each; its groups as a1,a2|b1;a3|b2,b3."""
+    n = len(segments)
+    of_a, of_b = (np.repeat(np.arange(n), [len(x) for x in ids]) for ids in (a, b))
+    a_ids, b_ids = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
+    whole = [s.encode() for s in segments]
+    fits = np.array([x == y == z for x, y, z in zip(whole, _joined(a_bytes, a_ids, of_a, n), _joined(b_bytes, b_ids, of_b, n), strict=True)], bool)
+    size = np.array([len(x) for x in whole], np.int64)
+    a_ids, of_a, b_ids, of_b = a_ids[fits[of_a]], of_a[fits[of_a]], b_ids[fits[of_b]], of_b[fits[of_b]]
+    a_ends, b_ends = (np.cumsum([len(entries[i]) for i in ids.tolist()], dtype=np.int64) for entries, ids in ((a_bytes, a_ids), (b_bytes, b_ids)))
+    ends = np.intersect1d(a_ends, b_ends)  # tokens of both spell the same bytes in a row, so groups never cross segments
+    a_group, b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
+    of_group = np.searchsorted(np.cumsum(np.where(fits, size, 0)), ends)
+    many_a, many_b = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
+    counts = np.stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(of_group, minlength=n), np.bincount(of_group, many_a * many_b, n).astype(np.int64)], 1)
+    one, two = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+    shown: list[list[str]] = [[] for _ in range(n)]
+    x = y = 0
+    for k, na, nb in zip(of_group.tolist(), many_a.tolist(), many_b.tolist(), strict=True):
+        shown[k].append(f"{one[x]}|{two[y]}" if na == nb == 1 else f"{','.join(one[x : x + na])}|{','.join(two[y : y + nb])}")
+        x, y = x + na, y + nb
+    return fits, counts, [";".join(g) for g in shown]
+
+
+def linked(shown: str) -> list[int]:
+    """The id pairs of all links of a list of groups, a in the upper 32 bits."""
+    pairs = []
+    for group in shown.split(";") if shown else ():
+        a, b = group.split("|")
+        if "," in group:
+            pairs += [int(p) << 32 | int(q) for p in a.split(",") for q in b.split(",")]
         else:
-            y, j = y + len(b[j]), j + 1
-        if x == y:
-            groups.append((a_ids[from_i:i], b_ids[from_j:j]))
-            from_i, from_j = i, j
-    return groups, True
+            pairs.append(int(a) << 32 | int(b))
+    return pairs
 
 
-_ALIGNED = "segment string, fits boolean, n_a long, n_b long, n_groups long, n_links long, shown string, pairs array<long>, times array<long>"
+_COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
+_ALIGNED = "segment string, fits boolean, " + ", ".join(f"{c} long" for c in _COUNTS) + ", shown string"
 
 
 def _aligner(a_path: str, b_path: str):
@@ -146,21 +172,13 @@ def _aligner(a_path: str, b_path: str):
         a, b, a_bytes, b_bytes = tokenizers(a_path, b_path)
         for batch in batches:
             for at in range(0, batch.num_rows, _PART):
-                part = batch.column(0)[at : at + _PART].to_pylist()
-                rows = []
-                # every segment starts with the space that the second tokenizer adds
-                for s, one, two in zip(part, a.encode_batch(part, add_special_tokens=False), b.encode([s[1:] for s in part], num_threads=1), strict=True):
-                    groups, fits = aligned(s, one.ids, two, a_bytes, b_bytes)
-                    links: dict[int, int] = {}
-                    for g, h in groups:
-                        for p in g:
-                            for q in h:
-                                links[p << 32 | q] = links.get(p << 32 | q, 0) + 1
-                    shown = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
-                    rows.append((s, fits, len(one.ids), len(two), len(groups), sum(links.values()), shown, list(links), list(links.values())))
-                names = ["segment", "fits", "n_a", "n_b", "n_groups", "n_links", "shown", "pairs", "times"]
-                types = [pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                part = batch.column(0)[at : at + _PART]
+                texts = part.to_pylist()
+                one = [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
+                two = b.encode([s[1:] for s in texts], num_threads=1)  # the space that every segment starts with is the one that this tokenizer adds
+                fits, counts, shown = aligned(texts, one, two, a_bytes, b_bytes)
+                yield pa.RecordBatch.from_arrays([part, pa.array(fits), *[pa.array(c) for c in np.ascontiguousarray(counts.T)], pa.array(shown, pa.string())], ["segment", "fits", *_COUNTS, "shown"])
+        K.release()
 
     return align
 
@@ -170,92 +188,96 @@ def _of_rows(ends: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
 
 
-def _fitting(row_of: np.ndarray, codes: np.ndarray, fits: np.ndarray, n: int) -> np.ndarray:
-    """Whether all segments of each row fit; rows without segments have no tokens either."""
-    return np.bincount(row_of, ~fits[codes], n) == 0
-
-
-def _by_code(more: pd.DataFrame) -> pd.DataFrame:
-    return more.sort_values("code", ignore_index=True)
-
-
-def _counted(key, block: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-    """(pair, n): in how many rows of the block each id pair is linked."""
-    more = _by_code(more)
-    parts = []
-    for ends, codes in zip(block["ends"], block["codes"], strict=True):
-        row_of = _of_rows(np.asarray(ends))
-        codes = np.asarray(codes)
-        keep = _fitting(row_of, codes, more["fits"].to_numpy(), len(ends))[row_of]
-        sizes = more["pairs"].map(len).to_numpy()
-        flat = np.concatenate([*more["pairs"], np.zeros(0, np.int64)]).astype(np.int64)
-        names, dense = np.unique(flat, return_inverse=True)
-        first = np.cumsum(sizes) - sizes
-        once = np.unique(row_of[keep] * np.int64(max(1, len(sizes))) + codes[keep])  # a row's segment counts once
-        row, code = once // max(1, len(sizes)), once % max(1, len(sizes))
-        took = sizes[code]
-        at = np.repeat(first[code] - (np.cumsum(took) - took), took) + np.arange(took.sum())
-        held = np.unique(np.repeat(row, took) * np.int64(max(1, len(names))) + dense[at])
-        n = np.bincount(held % max(1, len(names)), minlength=len(names))
-        parts.append(pd.DataFrame({"pair": names[n > 0], "n": n[n > 0]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"pair": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-
-
-_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-
-def _composed(key, block: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-    """The rows of the block from their segments' alignments."""
-    more = _by_code(more)
-    parts = []
-    for ids, ends, codes in zip(block["doc_ids"], block["ends"], block["codes"], strict=True):
-        ends, codes = np.asarray(ends), np.asarray(codes)
-        row_of = _of_rows(ends)
-        fit = _fitting(row_of, codes, more["fits"].to_numpy(), len(ends))
-        out = {"doc_id": ids}
-        for name in _NUMBERS:  # whole numbers, exact beyond what a weighted bincount is
-            total = np.concatenate([[0], np.cumsum(more[name].to_numpy()[codes])])
-            out[name] = np.where(fit, np.diff(total[ends], prepend=0), 0)
-        shown = more["shown"].to_numpy()[codes]
-        out["groups"] = [";".join(shown[x:y]) if ok else "" for x, y, ok in zip([0, *ends[:-1]], ends, fit, strict=True)]
-        parts.append(pd.DataFrame(out))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=["doc_id", *_NUMBERS, "groups"])
-
-
-def align(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whole-number sums of each row's values, exact beyond what a weighted bincount is."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
+
+
+def _pairs_of_rows(row_of: np.ndarray, codes: np.ndarray, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id pairs, and in how many rows each is linked."""
+    by_code = [linked(s) for s in shown]
+    sizes = np.array([len(p) for p in by_code], np.int64)
+    names, dense = np.unique(np.array([p for pairs in by_code for p in pairs], np.int64), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    once = np.unique(row_of * np.int64(len(sizes)) + codes)  # a segment counts once in a row
+    row, code = once // len(sizes), once % len(sizes)
+    took = sizes[code]
+    at = np.repeat(first[code] - (np.cumsum(took) - took), took) + np.arange(took.sum())
+    held = np.unique(np.repeat(row, took) * np.int64(max(1, len(names))) + dense[at])
+    n = np.bincount(held % max(1, len(names)), minlength=len(names))
+    return names[n > 0], n[n > 0]
+
+
+def _composer(digests: bool):
+    def compose(key, block: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        """The block's rows from their segments' alignments, and its id pairs with the numbers of rows that hold them."""
+        more, out = more.sort_values("code", ignore_index=True), []
+        for home, ends, codes in zip(block["block"], block["ends"], block["codes"], strict=True):
+            ends, codes = np.asarray(ends), np.asarray(codes)
+            row_of = _of_rows(ends)
+            fit = np.bincount(row_of, ~more["fits"].to_numpy(bool)[codes], len(ends)) == 0
+            shown = more["shown"].to_numpy()[codes]
+            groups = [";".join(shown[x:y]) if ok else "" for x, y, ok in zip([0, *ends[:-1]], ends, fit, strict=True)]
+            if digests:
+                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            counts = [np.where(fit, _sums(more[c].to_numpy()[codes], ends), 0) for c in _COUNTS]
+            pairs, n = _pairs_of_rows(row_of[fit[row_of]], codes[fit[row_of]], more["shown"].to_numpy()) if len(more) else (np.zeros(0, np.int64),) * 2
+            out.append((home, fit, *counts, groups, pairs, n))
+        return pd.DataFrame(out, columns=["block", "fit", *_COUNTS, "groups", "pairs", "n"])
+
+    return compose
+
+
+_COMPOSED = "block long, fit array<boolean>, " + ", ".join(f"{c} array<long>" for c in _COUNTS) + ", groups array<string>, pairs array<long>, n array<long>"
+
+
+def _scores(key, block: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    """The block's rows with what their links' counts add up to."""
+    more, out = more.sort_values("code", ignore_index=True), []
+    for ids, ends, codes, fit, groups, *counts in zip(*[block[c] for c in ("doc_ids", "ends", "codes", "fit", "groups", *_COUNTS)], strict=True):
+        ends, codes, fit = np.asarray(ends), np.asarray(codes), np.asarray(fit, bool)
+        sums = [np.where(fit, _sums(more[c].to_numpy()[codes], ends), 0) for c in ("n_best", "count_sum")]
+        out.append(pd.DataFrame(dict(zip(["doc_id", *_COUNTS, "n_best", "count_sum", "groups"], [ids, *counts, *sums, groups], strict=True))))
+    return pd.concat(out)
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, digests: bool = False) -> tuple[DataFrame, DataFrame]:
     """Alignments of the rows of ``docs`` (doc_id, text), and links: (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) and (a, b, n).
 
-    ``groups`` lists the groups as a1,a2|b1;a3|b2,b3. ``n`` is how many rows hold ids a and b linked. Null and empty
-    texts, and those that the tokens of one tokenizer do not spell, have no tokens: zeros and an empty list, and count for
-    no pair. Rows that repeat count each; ties for an id's highest count are all highest. An empty table gives no rows.
+    ``groups`` lists the groups as a1,a2|b1;a3|b2,b3; with ``digests`` it is that list's SHA-256, in hexadecimal, unless it
+    is empty. ``n`` is how many rows hold ids a and b linked. Null and empty texts, and those that the tokens of one
+    tokenizer do not spell, have no tokens: zeros and an empty list, and count for no pair. Rows that repeat count each;
+    ties for an id's highest count are all highest. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     unsafe = verified(a_path, b_path)
     texts = spread(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.lit(" "), "text")).alias("text"))
     cut = texts.mapInArrow(_blocks(unsafe), "doc_ids array<string>, ends array<int>, codes array<int>, segments array<string>")
     blocks = stage(cut.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
     listed = blocks.select(F.col("block").alias("home"), F.posexplode("segments").alias("code", "segment"))
-    segments = stage(listed.select("segment").distinct().mapInArrow(_aligner(a_path, b_path), _ALIGNED), "segments")
-    coded = blocks.select("block", "doc_ids", "ends", "codes")
+    segments = stage(listed.select("segment").distinct().mapInArrow(_aligner(a_path, b_path), _ALIGNED).withColumn("number", F.monotonically_increasing_id()), "segments")
+    placed = stage(listed.join(segments, "segment").drop("segment"), "placed")
+    coded = blocks.select("block", "ends", "codes")
+
+    composed = coded.groupBy("block").cogroup(placed.drop("number").groupBy("home")).applyInPandas(_composer(digests), _COMPOSED)
+    composed = stage(composed, "composed")
+    counts = composed.select(F.explode(F.arrays_zip("pairs", "n")).alias("p")).groupBy("p.pairs").agg(F.sum("p.n").alias("n"))
+    pairs = stage(counts.select(F.shiftright("pairs", 32).alias("a"), F.col("pairs").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n"), "pairs")
 
-    held = listed.join(segments.select("segment", "fits", "pairs"), "segment").select("home", "code", "fits", "pairs")
-    counts = coded.groupBy("block").cogroup(held.groupBy("home")).applyInPandas(_counted, "pair long, n long")
-    pairs = counts.groupBy("pair").agg(F.sum("n").alias("n")).select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n", "pair")
-    pairs = stage(pairs, "pairs")
+    # what a segment's links add up to; those of segments that stand in unfit rows alone add nothing
     best = pairs.groupBy("a").agg(F.max("n").alias("most"))
-    known = pairs.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
-    linked = segments.where("fits").select("segment", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("segment", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
-    # pairs of segments that stand in unfit rows alone count for nothing there either
-    sums = linked.join(known, "pair").groupBy("segment").agg(F.sum(F.col("times") * F.col("is_best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    scored = segments.drop("pairs", "times").join(sums, "segment", "left").fillna(0, ["n_best", "count_sum"])
-    more = listed.join(scored, "segment").select("home", "code", "fits", *_NUMBERS, "shown")
-    schema = "doc_id string, " + ", ".join(f"{c} long" for c in _NUMBERS) + ", groups string"
-    found = coded.groupBy("block").cogroup(more.groupBy("home")).applyInPandas(_composed, schema)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long")), pairs.drop("pair")
+    known = pairs.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
+    group = segments.select("number", F.explode(F.split("shown", ";", -1)).alias("g")).where("g != ''").select("number", F.split("g", "[|]").alias("g"))
+    links = group.select("number", F.explode(F.split(F.get("g", 0), ",")).alias("a"), F.get("g", 1).alias("g")).select("number", F.col("a").cast("long").alias("a"), F.explode(F.split("g", ",").cast("array<long>")).alias("b"))
+    sums = links.join(known, ["a", "b"]).groupBy("number").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
+    more = placed.select("home", "code", "number").join(sums, "number", "left").select("home", "code", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
+    whole = blocks.select("block", "doc_ids", "ends", "codes").join(composed.drop("pairs", "n").withColumnRenamed("block", "same"), F.col("block") == F.col("same")).drop("same")
+    schema = "doc_id string, " + ", ".join(f"{c} long" for c in (*_COUNTS, "n_best", "count_sum")) + ", groups string"
+    found = whole.groupBy("block").cogroup(more.groupBy("home")).applyInPandas(_scores, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long")), pairs
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found, _ = align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", *_NUMBERS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+    found, _ = align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+    return found.withColumnRenamed("groups", "groups_sha256")

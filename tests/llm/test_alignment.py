@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumeline.llm import alignment
-from plumeline.llm.alignment import align, aligned, op13_alignment, tokenizers, verified
+from plumeline.llm.alignment import align, aligned, linked, op13_alignment, tokenizers, verified
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DATA = "/root/testdata/sf0.001"
@@ -79,8 +79,12 @@ def test_cuts_are_safe(text):
 
 def test_groups():
     a_bytes, b_bytes = [b" a", b"b", b"cd"], [b" ab", b"c", b"d", b" a"]
-    assert aligned(" abcd", [0, 1, 2], [0, 1, 2], a_bytes, b_bytes) == ([([0, 1], [0]), ([2], [1, 2])], True)
-    assert aligned(" abcd", [0, 1, 2], [0, 1], a_bytes, b_bytes) == ([], False)
+    fits, counts, shown = aligned([" abcd", " a", " abcd"], [[0, 1, 2], [0], [0, 1, 2]], [[0, 1, 2], [3], [0, 1]], a_bytes, b_bytes)
+    assert fits.tolist() == [True, True, False]
+    assert counts.tolist() == [[3, 3, 2, 4], [1, 1, 1, 1], [0, 0, 0, 0]]
+    assert shown == ["0,1|0;2|1,2", "0|3", ""]
+    assert linked(shown[0]) == [0, 1 << 32, 2 << 32 | 1, 2 << 32 | 2]
+    assert linked("") == []
 
 
 def test_unsafe_vocabularies_are_refused(tmp_path):
