@@ -26,7 +26,7 @@ TOP = 2000
 WITHIN = 50  # percent of a phrase's occurrences that a longer one must make up to take its place
 SPARE = 32
 MOST_BITS = 28  # 32 MiB
-SLICE = 1 << 23
+SLICE = 1 << 21
 NO_LANGUAGE = "und"
 
 _ENDS = np.zeros(256, bool)  # what ends a piece

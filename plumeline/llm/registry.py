@@ -6,6 +6,7 @@ from .alignment import op13_alignment
 from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .fingerprints import op11_fingerprints
 from .mixing import OP9_SQL, op9_mixing
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .pii import op8_pii
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fingerprints": op11_fingerprints,
     "op12_collocations": op12_collocations,
     "op13_alignment": op13_alignment,
 }
