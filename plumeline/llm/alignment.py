@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import read, spread, stage
+from .common import discard, read, spread, stage
 
 BLOCK = 1 << 23  # bytes of text in a block; a longer text makes a block of its own
 #: White space beyond ASCII, in UTF-8, and U+2581, by which the second tokenizer writes a space.
@@ -124,8 +124,8 @@ def _joined(entries: list[bytes], ids: np.ndarray, of: np.ndarray, n: int) -> li
     return [b"".join(spelled[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def aligned(segments: list[str], a: list[list[int]], b: list[list[int]], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Whether each segment is what its tokens spell; (n_a, n_b, n_groups, n_links) of each; its groups as a1,a2|b1;a3|b2,b3."""
+def aligned(segments: list[str], a: list[list[int]], b: list[list[int]], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[str | None]:
+    """The groups of each segment as a1,a2|b1;a3|b2,b3; none where its tokens do not spell it."""
     n = len(segments)
     of_a, of_b = (np.repeat(np.arange(n), [len(x) for x in ids]) for ids in (a, b))
     a_ids, b_ids = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
@@ -138,30 +138,32 @@ def aligned(segments: list[str], a: list[list[int]], b: list[list[int]], a_bytes
     a_group, b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
     of_group = np.searchsorted(np.cumsum(np.where(fits, size, 0)), ends)
     many_a, many_b = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
-    counts = np.stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(of_group, minlength=n), np.bincount(of_group, many_a * many_b, n).astype(np.int64)], 1)
     one, two = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
     shown: list[list[str]] = [[] for _ in range(n)]
     x = y = 0
     for k, na, nb in zip(of_group.tolist(), many_a.tolist(), many_b.tolist(), strict=True):
         shown[k].append(f"{one[x]}|{two[y]}" if na == nb == 1 else f"{','.join(one[x : x + na])}|{','.join(two[y : y + nb])}")
         x, y = x + na, y + nb
-    return fits, counts, [";".join(g) for g in shown]
+    return [";".join(g) if ok else None for g, ok in zip(shown, fits.tolist(), strict=True)]
 
 
-def linked(shown: str) -> list[int]:
-    """The id pairs of all links of a list of groups, a in the upper 32 bits."""
-    pairs = []
-    for group in shown.split(";") if shown else ():
+def linked(shown: str) -> tuple[int, int, int, list[int]]:
+    """(n_a, n_b, n_groups, pairs) of a list of groups: the id pairs of all its links, a in the upper 32 bits."""
+    n_a = n_b = 0
+    pairs, groups = [], shown.split(";")
+    for group in groups:
         a, b = group.split("|")
         if "," in group:
-            pairs += [int(p) << 32 | int(q) for p in a.split(",") for q in b.split(",")]
+            one, two = a.split(","), b.split(",")
+            pairs += [int(p) << 32 | int(q) for p in one for q in two]
+            n_a, n_b = n_a + len(one), n_b + len(two)
         else:
             pairs.append(int(a) << 32 | int(b))
-    return pairs
+            n_a, n_b = n_a + 1, n_b + 1
+    return n_a, n_b, len(groups), pairs
 
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
-_ALIGNED = "segment string, fits boolean, " + ", ".join(f"{c} long" for c in _COUNTS) + ", shown string"
 
 
 def _aligner(a_path: str, b_path: str):
@@ -176,8 +178,7 @@ def _aligner(a_path: str, b_path: str):
                 texts = part.to_pylist()
                 one = [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
                 two = b.encode([s[1:] for s in texts], num_threads=1)  # the space that every segment starts with is the one that this tokenizer adds
-                fits, counts, shown = aligned(texts, one, two, a_bytes, b_bytes)
-                yield pa.RecordBatch.from_arrays([part, pa.array(fits), *[pa.array(c) for c in np.ascontiguousarray(counts.T)], pa.array(shown, pa.string())], ["segment", "fits", *_COUNTS, "shown"])
+                yield pa.RecordBatch.from_arrays([part, pa.array(aligned(texts, one, two, a_bytes, b_bytes), pa.string())], ["segment", "shown"])
         K.release()
 
     return align
@@ -193,9 +194,8 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
 
 
-def _pairs_of_rows(row_of: np.ndarray, codes: np.ndarray, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of_rows(row_of: np.ndarray, codes: np.ndarray, by_code: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Id pairs, and in how many rows each is linked."""
-    by_code = [linked(s) for s in shown]
     sizes = np.array([len(p) for p in by_code], np.int64)
     names, dense = np.unique(np.array([p for pairs in by_code for p in pairs], np.int64), return_inverse=True)
     first = np.cumsum(sizes) - sizes
@@ -210,33 +210,38 @@ def _pairs_of_rows(row_of: np.ndarray, codes: np.ndarray, shown: np.ndarray) ->
 
 def _composer(digests: bool):
     def compose(key, block: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-        """The block's rows from their segments' alignments, and its id pairs with the numbers of rows that hold them."""
-        more, out = more.sort_values("code", ignore_index=True), []
-        for home, ends, codes in zip(block["block"], block["ends"], block["codes"], strict=True):
-            ends, codes = np.asarray(ends), np.asarray(codes)
-            row_of = _of_rows(ends)
-            fit = np.bincount(row_of, ~more["fits"].to_numpy(bool)[codes], len(ends)) == 0
-            shown = more["shown"].to_numpy()[codes]
-            groups = [";".join(shown[x:y]) if ok else "" for x, y, ok in zip([0, *ends[:-1]], ends, fit, strict=True)]
+        """The block's rows from their segments' groups, and its id pairs with the numbers of rows that hold them."""
+        out = []
+        texts = more["shown"].to_numpy()[np.argsort(more["code"].to_numpy())]
+        fits = np.array([t is not None for t in texts], bool)
+        found = [linked(t) if t is not None else (0, 0, 0, []) for t in texts]
+        numbers = np.array([(a, b, g, len(pairs)) for a, b, g, pairs in found], np.int64).reshape(-1, 4)
+        for home, ids, ends, codes in zip(*[block[c] for c in ("block", "doc_ids", "ends", "codes")], strict=True):
+            at, words = np.asarray(ends), np.asarray(codes)
+            row_of = _of_rows(at)
+            fit = np.bincount(row_of, ~fits[words], len(at)) == 0
+            shown = texts[words]
+            groups = [";".join(shown[x:y]) if ok else "" for x, y, ok in zip([0, *at[:-1]], at, fit, strict=True)]
             if digests:
                 groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            counts = [np.where(fit, _sums(more[c].to_numpy()[codes], ends), 0) for c in _COUNTS]
-            pairs, n = _pairs_of_rows(row_of[fit[row_of]], codes[fit[row_of]], more["shown"].to_numpy()) if len(more) else (np.zeros(0, np.int64),) * 2
-            out.append((home, fit, *counts, groups, pairs, n))
-        return pd.DataFrame(out, columns=["block", "fit", *_COUNTS, "groups", "pairs", "n"])
+            counts = [np.where(fit, _sums(numbers[words, k], at), 0) for k in range(4)]
+            pairs, n = _pairs_of_rows(row_of[fit[row_of]], words[fit[row_of]], [x[3] for x in found]) if len(found) else (np.zeros(0, np.int64),) * 2
+            out.append((home, ids, ends, codes, fit, *counts, groups, pairs, n))
+        return pd.DataFrame(out, columns=["block", "doc_ids", "ends", "codes", "fit", *_COUNTS, "groups", "pairs", "n"])
 
     return compose
 
 
-_COMPOSED = "block long, fit array<boolean>, " + ", ".join(f"{c} array<long>" for c in _COUNTS) + ", groups array<string>, pairs array<long>, n array<long>"
+_BLOCK = "block long, doc_ids array<string>, ends array<int>, codes array<int>"
+_COMPOSED = f"{_BLOCK}, fit array<boolean>, " + ", ".join(f"{c} array<long>" for c in _COUNTS) + ", groups array<string>, pairs array<long>, n array<long>"
 
 
 def _scores(key, block: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
     """The block's rows with what their links' counts add up to."""
-    more, out = more.sort_values("code", ignore_index=True), []
+    order, out = np.argsort(more["code"].to_numpy()), []
     for ids, ends, codes, fit, groups, *counts in zip(*[block[c] for c in ("doc_ids", "ends", "codes", "fit", "groups", *_COUNTS)], strict=True):
         ends, codes, fit = np.asarray(ends), np.asarray(codes), np.asarray(fit, bool)
-        sums = [np.where(fit, _sums(more[c].to_numpy()[codes], ends), 0) for c in ("n_best", "count_sum")]
+        sums = [np.where(fit, _sums(more[c].to_numpy()[order][codes], ends), 0) for c in ("n_best", "count_sum")]
         out.append(pd.DataFrame(dict(zip(["doc_id", *_COUNTS, "n_best", "count_sum", "groups"], [ids, *counts, *sums, groups], strict=True))))
     return pd.concat(out)
 
@@ -254,25 +259,25 @@ def align(docs: DataFrame, a_path: str, b_path: str, digests: bool = False) -> t
     cut = texts.mapInArrow(_blocks(unsafe), "doc_ids array<string>, ends array<int>, codes array<int>, segments array<string>")
     blocks = stage(cut.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
     listed = blocks.select(F.col("block").alias("home"), F.posexplode("segments").alias("code", "segment"))
-    segments = stage(listed.select("segment").distinct().mapInArrow(_aligner(a_path, b_path), _ALIGNED).withColumn("number", F.monotonically_increasing_id()), "segments")
-    placed = stage(listed.join(segments, "segment").drop("segment"), "placed")
-    coded = blocks.select("block", "ends", "codes")
+    segments = stage(listed.select("segment").distinct().mapInArrow(_aligner(a_path, b_path), "segment string, shown string").withColumn("number", F.monotonically_increasing_id()), "segments")
+    placed = stage(listed.join(segments, "segment").select("home", "code", "number", "shown"), "placed")
 
-    composed = coded.groupBy("block").cogroup(placed.drop("number").groupBy("home")).applyInPandas(_composer(digests), _COMPOSED)
-    composed = stage(composed, "composed")
+    rows = blocks.select("block", "doc_ids", "ends", "codes").groupBy("block")
+    composed = stage(rows.cogroup(placed.select("home", "code", "shown").groupBy("home")).applyInPandas(_composer(digests), _COMPOSED), "composed")
+    discard(blocks)
     counts = composed.select(F.explode(F.arrays_zip("pairs", "n")).alias("p")).groupBy("p.pairs").agg(F.sum("p.n").alias("n"))
     pairs = stage(counts.select(F.shiftright("pairs", 32).alias("a"), F.col("pairs").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n"), "pairs")
 
     # what a segment's links add up to; those of segments that stand in unfit rows alone add nothing
     best = pairs.groupBy("a").agg(F.max("n").alias("most"))
     known = pairs.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
-    group = segments.select("number", F.explode(F.split("shown", ";", -1)).alias("g")).where("g != ''").select("number", F.split("g", "[|]").alias("g"))
+    group = segments.select("number", F.explode(F.split("shown", ";", -1)).alias("g")).select("number", F.split("g", "[|]").alias("g"))
     links = group.select("number", F.explode(F.split(F.get("g", 0), ",")).alias("a"), F.get("g", 1).alias("g")).select("number", F.col("a").cast("long").alias("a"), F.explode(F.split("g", ",").cast("array<long>")).alias("b"))
-    sums = links.join(known, ["a", "b"]).groupBy("number").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
+    sums = stage(links.join(known, ["a", "b"]).groupBy("number").agg(F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum")), "sums")
+    discard(segments)
     more = placed.select("home", "code", "number").join(sums, "number", "left").select("home", "code", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
-    whole = blocks.select("block", "doc_ids", "ends", "codes").join(composed.drop("pairs", "n").withColumnRenamed("block", "same"), F.col("block") == F.col("same")).drop("same")
     schema = "doc_id string, " + ", ".join(f"{c} long" for c in (*_COUNTS, "n_best", "count_sum")) + ", groups string"
-    found = whole.groupBy("block").cogroup(more.groupBy("home")).applyInPandas(_scores, schema)
+    found = composed.drop("pairs", "n").groupBy("block").cogroup(more.groupBy("home")).applyInPandas(_scores, schema)
     return found.withColumn("doc_id", F.col("doc_id").cast("long")), pairs
 
 
