@@ -34,11 +34,22 @@ def _numbered(text: Column, pattern: str, base: int) -> Column:
     return bound(found, lambda marks: F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, char(F.get(marks, i)))), ""))
 
 
+#: What a number that is no character becomes.
+REPLACEMENT = 0xFFFD
+
+
 def _code(entity: Column, base: int) -> Column:
-    return F.conv(F.regexp_extract(entity, "([0-9A-Fa-f]+);", 1), base, 10).cast("long")
+    """The code point that an entity names; U+FFFD for surrogates and for numbers beyond Unicode, however long."""
+
+    def known(digits: Column) -> Column:
+        code = F.when(F.length(digits) == 0, F.lit(0)).when(F.length(digits) <= 8, F.conv(digits, base, 10).cast("long")).otherwise(F.lit(1 << 40))
+        return bound(code, lambda c: F.when((c > 0x10FFFF) | c.between(0xD800, 0xDFFF), F.lit(REPLACEMENT)).otherwise(c))
+
+    return F.when(entity.isNotNull(), bound(F.ltrim(F.regexp_extract(entity, "([0-9A-Fa-f]+);", 1), F.lit("0")), known))
 
 
 def decode_entities(text: Column) -> Column:
+    """CDATA sections opened, then named and numeric entities, each kind in one pass. A number that is no character becomes U+FFFD: one bad feed must not stop a run."""
     out = F.regexp_replace(text, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1")
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))

@@ -73,7 +73,7 @@ _simple("doc_source", lambda s, d: B.documents(s, d).select("feed_id", "doc_ord"
 _simple("format_dispatch", lambda s, d: B.documents(s, d).select("doc_ord", X.document_kind(F.col("xml")).alias("kind")), with_ctes("raw", "SELECT item_ord AS doc_ord, CASE WHEN doc_ord % 2 = 0 THEN 'rss' ELSE 'atom' END AS kind FROM raw"))
 _simple(
     "doc_registry_join",
-    lambda s, d: N.strict_registry_join(B.documents(s, d).select("feed_id", "doc_ord"), B.registry(s, d)),
+    lambda s, d: N.strict_registry_join(B.documents(s, d).select("feed_id", "doc_ord"), B.registry(s, d)).drop("category_id"),
     with_ctes("reg raw", "SELECT feed_id, item_ord AS doc_ord, name AS source_name, category, language, site_url FROM raw JOIN reg ON reg.id = feed_id"),
 )
 _simple(

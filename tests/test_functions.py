@@ -91,3 +91,14 @@ def test_links_as_the_url_standard_writes_them(spark):
 def test_numeric_entities_in_one_pass(spark):
     assert one(spark, "&&#35;65;&#65;", T.decode_entities) == "&#65;A"
     assert one(spark, "&#x26;#65; &#38;#66; &#x1F600;&#65;", T.decode_entities) == "A &#66; \U0001f600A"
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("a&#1114111;b", "a\U0010ffffb"), ("a&#1114112;b", "a\ufffdb"), ("&#99999999999;", "\ufffd"), ("&#xD800;&#xdfff;&#xE000;", "\ufffd\ufffd\ue000"), ("&#x0000000000000000041;", "A"), ("&#" + "9" * 400 + ";", "\ufffd"),
+        ("&#x110000;", "\ufffd"), ("&#0;", "\x00"), ("&#xFFFFFFFFFFFFFFFFF;x", "\ufffdx"),
+    ],
+)
+def test_numbers_that_are_no_characters(spark, value, want):
+    assert one(spark, value, T.decode_entities) == want
