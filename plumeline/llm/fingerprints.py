@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, read, shuffle_width, spread, stage
 
-SAMPLES = 64
+SAMPLES = 32
 _ROW = 4  # samples that one row is worked out for: more in a row make code that the JVM doesn't compile
 BITS = 20  # of a sample's hash that the fingerprint keeps
 LEAST_ID = -(1 << 63)
@@ -65,13 +65,13 @@ def _uniforms(hashed: str, shift: int, bits: int) -> str:
     return f"(cast(shiftrightunsigned({hashed}, {shift}) & {(1 << bits) - 1}L as double) + 0.5D)"
 
 
-def signatures(terms: DataFrame, keys: list[str], weights: list[str], kept: list[str]) -> DataFrame:
-    """``keys``, ``kept`` (longs that are the same in all rows of a key) and an array of samples under each name of ``weights``, from rows (keys, kept, t, weights): a term's hash and its weights.
+def signatures(terms: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
+    """``keys`` and an array of samples under each name of ``weights``, from rows (keys, t, weights): a term's hash and its weights, a row for each key and term.
 
-    A bag whose weights are all 0 or null has null. Rows are to be one for each key and term.
+    A bag whose weights are all 0 or null has null. Rows carry nothing else, as the JVM leaves longer code uncompiled.
     """
-    rows = terms.select(*keys, *kept, "t", *[F.ln(F.col(w).cast("double")).alias(w) for w in weights], F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // _ROW - 1))).alias("k"))
-    pass_on, each = [*keys, *kept, "k", *weights], range(_ROW)
+    rows = terms.select(*keys, "t", *[F.ln(F.col(w).cast("double")).alias(w) for w in weights], F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // _ROW - 1))).alias("k"))
+    pass_on, each = [*keys, "k", *weights], range(_ROW)
     # one step for each use of what was named in the step before, so that nothing is worked out twice
     rows = rows.select(*pass_on, F.expr("xxhash64(t, k)").alias("t"))
     rows = rows.select(*pass_on, *[F.expr(f"xxhash64(t ^ {i}L) as h{i}") for i in each])
@@ -86,12 +86,12 @@ def signatures(terms: DataFrame, keys: list[str], weights: list[str], kept: list
     )
     rows = rows.select(*pass_on, *[f"{x}{i}" for i in each for x in "grcb"], *[F.expr(f"floor({w} / r{i} + b{i}) as {w}_n{i}") for w in weights for i in each])
     # the value above, the sample's hash below: the least of these longs is the sample of the least value
-    least = lambda w, i: F.expr(f"min(shiftleft(cast((c{i} - r{i} * (cast({w}_n{i} as double) - b{i} + 1D) + 128D) * {2.0**35!r}D as bigint), {BITS}) | (xxhash64(g{i} ^ {w}_n{i}) & {(1 << BITS) - 1}L))")
-    found = rows.groupBy(*keys, "k").agg(*[F.max(c).alias(c) for c in kept], *[least(w, i).alias(f"{w}_{i}") for w in weights for i in each])
-    found = found.groupBy(*keys).agg(*[F.max(c).alias(c) for c in kept], F.sort_array(F.collect_list(F.struct("k", *[F.array(*[F.col(f"{w}_{i}") for i in each]).alias(w) for w in weights]))).alias("rows"))
+    least = lambda w, i: F.expr(f"min(shiftleft(cast((c{i} - r{i} * (cast({w}_n{i} as double) - b{i} + 1D) + 128D) * {2.0**35!r}D as bigint), {BITS}) | ((g{i} ^ {w}_n{i}) & {(1 << BITS) - 1}L))")
+    found = rows.groupBy(*keys, "k").agg(*[least(w, i).alias(f"{w}_{i}") for w in weights for i in each])
+    found = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", *[F.array(*[F.col(f"{w}_{i}") for i in each]).alias(w) for w in weights]))).alias("rows"))
     low = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
     samples = [F.when(F.get("rows", 0)[w][0].isNotNull(), F.transform(F.flatten(F.col("rows")[w]), low)).alias(w) for w in weights]
-    return found.select(*keys, *kept, *samples)
+    return found.select(*keys, *samples)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,16 +108,11 @@ def shown(samples: Column) -> Column:
 # ---------------------------------------------------------------- texts
 
 
-def _counted(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
-    """(keys, kept, t, own, edited): hash of each word and how often the text and the edited text hold it; at least one row for each key."""
-    parts = F.array("common", "own", "edited")
-    words = rows.select(*keys, *kept, F.posexplode(parts).alias("part", "s")).select(*keys, *kept, "part", F.explode(F.split("s", f"[{WHITE}]+", -1)).alias("word"))
+def _counted(rows: DataFrame) -> DataFrame:
+    """(of, place, t, own, edited): hash of each word and how often the text and the edited text hold it; at least one row for each row."""
+    words = rows.select("of", "place", F.posexplode(F.array("common", "own", "edited")).alias("part", "s")).select("of", "place", "part", F.explode(F.split("s", f"[{WHITE}]+", -1)).alias("word"))
     count = lambda other: F.count_if((F.col("word") != "") & (F.col("part") != other))
-    words = words.select(*keys, *kept, F.xxhash64("word").alias("t"), "word", "part")
-    return words.groupBy(*keys, "t").agg(*[F.max(c).alias(c) for c in kept], count(2).alias("own"), count(1).alias("edited"))
-
-
-_SHA = [f"sha{k}" for k in range(4)]  # a digest as four longs
+    return words.select("of", "place", F.xxhash64("word").alias("t"), "word", "part").groupBy("of", "place", "t").agg(count(2).alias("own"), count(1).alias("edited"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -134,17 +129,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("cut", F.expr("cast(n_chars div 3 as int)")).withColumn("head", F.expr("left(text, cast(n_chars - cut as int))"))
     rows = rows.withColumn("other", F.concat("head", F.expr("left(next, cut)")))
-    rows = rows.withColumn("common", F.regexp_extract("head", f"(?s)^(.*[{WHITE}])", 1)).withColumn("sha", F.sha2("other", 256))
+    known = stage(rows.select("of", "place", "doc_id", "n_chars", F.sha2("other", 256).alias("edited_sha256")), "edited")
+
+    # the rows are put in order once more, to the same places, as texts on disk would take more than to deal them out again
+    rows = rows.withColumn("common", F.regexp_extract("head", f"(?s)^(.*[{WHITE}])", 1))
     rest = lambda text, name: F.expr(f"substring({text}, length(common) + 1)").alias(name)
-    digest = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("long").alias(c) for k, c in enumerate(_SHA)]
-    kept = ["doc_id", "n_chars", *_SHA]
-    words = _counted(rows.select("of", "place", "doc_id", "n_chars", *digest, "common", rest("text", "own"), rest("other", "edited")), ["of", "place"], kept)
-    found = stage(signatures(words, ["of", "place"], ["own", "edited"], kept), "fingerprints")
+    words = _counted(rows.select("of", "place", "common", rest("text", "own"), rest("other", "edited")))
+    found = stage(signatures(words, ["of", "place"], ["own", "edited"]), "fingerprints")
 
     order = Window.partitionBy("of").orderBy("ahead", "place")
     found = _ahead(found, F.col("place") == 1, n).withColumn("next", F.lead(F.struct("own")).over(order)).where("not ahead")
-    sha = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in _SHA]))
-    return found.select("doc_id", "n_chars", sha.alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next.own")).alias("near_next"))
+    found = found.select("of", "place", shown(F.col("own")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next.own")).alias("near_next"))
+    return known.join(found, ["of", "place"]).drop("of", "place")
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

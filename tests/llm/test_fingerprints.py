@@ -35,7 +35,7 @@ def samples(text):
                 c = math.log(64 * math.log(2) - math.log(((g >> 32) + 0.5) * ((g & (1 << 32) - 1) + 0.5)))
                 b = (h & (1 << 20) - 1) / (1 << 20)
                 n = math.floor(math.log(w) / r + b)
-                best = min(best or (math.inf, 0), (int((c - r * (n - b + 1) + 128) * 2.0**35), h64(g ^ n) & (1 << 20) - 1))
+                best = min(best or (math.inf, 0), (int((c - r * (n - b + 1) + 128) * 2.0**35), (g ^ n) & (1 << 20) - 1))
             out.append(best[1])
     return out
 
@@ -89,9 +89,9 @@ def test_likeness_is_the_generalised_jaccard_similarity(spark):
         b[: key % 40] = a[: key % 40]
         rows += [(key, int(t), float(x), float(y)) for t, x, y in zip(rng.integers(0, 1 << 62, 40), a, b)]
         want[key] = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-    found = P.signatures(spark.createDataFrame(rows, "key long, t long, a double, b double"), ["key"], ["a", "b"], [])
+    found = P.signatures(spark.createDataFrame(rows, "key long, t long, a double, b double"), ["key"], ["a", "b"])
     error = np.array([r.near - want[r.key] for r in found.select("key", P.likeness(found.a, found.b).alias("near")).collect()])
-    assert abs(error.mean()) < 0.012 and np.sqrt((error**2).mean()) < 0.075  # 64 samples: 0.0625 at most
+    assert abs(error.mean()) < 0.015 and np.sqrt((error**2).mean()) < 0.1  # 32 samples: 0.088 at most
 
 
 def test_real_table(spark):
