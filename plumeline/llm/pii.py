@@ -1,8 +1,10 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans are what the four patterns and their checks find; they always stay. Looser patterns, and one for secrets, propose
-further spans in what the kinds before leave over, so that no two spans touch. Labelers (patterns, gazetteers, context words)
-vote on every proposed and every base span; expectation-maximisation over the counts of vote patterns, a table of at most
+further spans in what the kinds before leave over, so that no two spans touch. Matches of the four patterns that their checks
+refuse, and runs of letters and digits in quotes or after a sign that nothing calls a secret, are decoys: what wrong spans
+look like. Labelers (patterns, gazetteers, context words)
+vote on all of them; expectation-maximisation over the counts of vote patterns, a table of at most
 kinds * 2 ** labelers rows, estimates how reliable each labeler is on each kind, and a linear classifier of votes and kind is
 trained on the posterior labels. Proposals that it accepts are added.
 """
@@ -49,6 +51,10 @@ LABELERS = ("strict", "gazetteer", "context", "edges", "mixed", "not_dull")
 _ROW = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
+#: Quoted runs that no name of a secret stands before: decoys for that kind, as it has no base pattern.
+UNNAMED = f"(?<![A-Za-z0-9+/_-])(?<!(?i:{_NAMED})[\"']?\\x20{{0,2}}[=:]\\x20{{0,2}}[\"'])(?<=[\"'=:])[A-Za-z0-9+/_.-]{{8,128}}(?=[\"']|$)"
+BASE_SPAN, PROPOSED, DECOY = 1, 0, -1
+
 #: Pieces that are listed at once: lists are grown in parts, as growing one copies it.
 _RUN = 256
 
@@ -118,10 +124,14 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def base_matches(text: Column, kind: str) -> Column:
+    """All matches of a base pattern, also those that its check refuses."""
     needed = text.contains(NEEDED[kind]) if NEEDED[kind] else F.regexp_like(text, F.lit("[0-9](?:[\\x20-]?[0-9]){15}"))
-    found = F.filter(matches(text, BASE[kind]), lambda s: _valid(kind, s["value"]))
-    return F.when(needed, found).otherwise(F.array().cast(_ROW))
+    return F.when(needed, matches(text, BASE[kind])).otherwise(F.array().cast(_ROW))
+
+
+def _checked(column: str, kind: str, right: bool) -> Column:
+    return F.filter(column, lambda s: _valid(kind, s["value"]) if right else ~_valid(kind, s["value"]))
 
 
 def _needs(text: Column, kind: str) -> Column:
@@ -161,7 +171,8 @@ def _proposed(docs: DataFrame) -> DataFrame:
     """(doc_id, base: by kind (start, end), more: by kind (start, end, votes)): all that later steps need of the texts."""
     docs = spread(docs, ["doc_id", "text"]).select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\u0001", "\u0002").alias("text"))
     for kind in BASE:
-        docs = docs.withColumn(f"b_{kind}", base_spans(F.col("text"), kind))
+        docs = docs.withColumn(f"m_{kind}", base_matches(F.col("text"), kind)).withColumn(f"b_{kind}", _checked(f"m_{kind}", kind, True))
+    docs = docs.withColumn("d_secret", F.when(F.regexp_like("text", F.lit(UNNAMED)), matches(F.col("text"), UNNAMED)).otherwise(F.array().cast(_ROW)))
     # what the looser patterns see: base spans, and then each kind's proposals, are blanked for those that follow
     docs = docs.withColumn("open", F.col("text")).withColumn("loose", functools.reduce(Column.__or__, [_needs(F.col("text"), k) for k in KINDS]))
     for kind in BASE:
@@ -170,25 +181,28 @@ def _proposed(docs: DataFrame) -> DataFrame:
         docs = docs.withColumn(f"l_{kind}", F.when(F.col("loose"), loose_spans(F.col("open"), kind)).otherwise(F.array().cast(_ROW)))
         docs = docs.withColumn("open", F.when(F.size(f"l_{kind}") > 0, blanked(F.col("open"), LOOSE[kind], lambda v: F.lit(True))).otherwise(F.col("open")))
 
-    def voted(kind: str, column: str, is_base: bool) -> Column:
-        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _votes(kind, s).alias("votes"), F.lit(is_base).alias("base")))
+    def voted(kind: str, column: str | Column, known: int) -> Column:
+        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _votes(kind, s).alias("votes"), F.lit(known).alias("known")))
 
-    columns = [voted(k, f"b_{k}", True).alias(f"b_{k}") for k in BASE] + [voted(k, f"l_{k}", False).alias(f"l_{k}") for k in KINDS]
-    return docs.select("doc_id", *columns)
+    columns = [voted(k, f"b_{k}", BASE_SPAN).alias(f"b_{k}") for k in BASE] + [voted(k, f"l_{k}", PROPOSED).alias(f"l_{k}") for k in KINDS]
+    decoys = [voted(k, "d_secret" if k == "secret" else _checked(f"m_{k}", k, False), DECOY).alias(f"d_{k}") for k in KINDS]
+    return docs.select("doc_id", *columns, *decoys)
 
 
 #: How many spans the rates of all kinds together count for among a kind's own.
 PULL = 10
 
 
-def reliabilities(counts: list[tuple[str, int, bool, int]], rounds: int = 40) -> dict:
-    """Posterior by (kind, votes, base), and by kind each labeler's chances to speak for (wrong, right) spans, by EM over vote counts.
+def reliabilities(counts: list[tuple[str, int, int, int]], rounds: int = 40) -> dict:
+    """Posterior by (kind, votes, known), and by kind each labeler's chances to speak for (wrong, right) spans, by EM over vote counts.
 
-    Base spans are known to be right for all but 2 in 100; others start by their share of votes. A kind's chances are drawn
-    to those of all kinds, which decide alone where a kind has few spans.
+    Base spans are known to be right for all but 2 in 100, decoys to be wrong as often; proposals start by their share of
+    votes. A kind's chances are drawn to those of all kinds, which decide alone where a kind has few spans. A labeler speaks
+    for right spans at least as often as for wrong ones: where the counts say otherwise, it has no say, so that a span's
+    posterior never falls as votes for it are added.
     """
     many, kinds = len(LABELERS), sorted({k for k, *_ in counts})
-    post = {(k, v, b): 0.98 if b else 0.25 + 0.5 * bin(v).count("1") / many for k, v, b, _ in counts}
+    post = {(k, v, b): {BASE_SPAN: 0.98, DECOY: 0.02}.get(b, 0.25 + 0.5 * bin(v).count("1") / many) for k, v, b, _ in counts}
     theta: dict[str, list[list[float]]] = {}
 
     def sums(y: int, kind: str | None) -> tuple[float, list[float]]:
@@ -204,32 +218,43 @@ def reliabilities(counts: list[tuple[str, int, bool, int]], rounds: int = 40) ->
                 weight, said = sums(y, k)
                 for j in range(many):
                     theta[k][j][y] = min(0.99, max(0.01, (said[j] + PULL * pooled[j]) / (weight + PULL)))
+        for k in kinds:
+            theta[k] = [t if t[0] <= t[1] else [sum(t) / 2] * 2 for t in theta[k]]
         for kind in kinds:
-            proposed = [(v, n) for k, v, b, n in counts if k == kind and not b]
-            right = sum(n * post[kind, v, False] for v, n in proposed) + PULL / 2
+            proposed = [(v, n) for k, v, b, n in counts if k == kind and b == PROPOSED]
+            right = sum(n * post[kind, v, PROPOSED] for v, n in proposed) + PULL / 2
             prior = min(0.95, max(0.05, right / (sum(n for _, n in proposed) + PULL)))
             for v, b in {(v, b) for k, v, b, _ in counts if k == kind}:
                 t = theta[kind]
                 z = math.log(prior / (1 - prior)) + sum(math.log(t[j][1] / t[j][0]) if v >> j & 1 else math.log((1 - t[j][1]) / (1 - t[j][0])) for j in range(many))
                 chance = 1 / (1 + math.exp(-max(-30, min(30, z))))
-                post[kind, v, b] = max(0.98, chance) if b else chance
+                post[kind, v, b] = max(0.98, chance) if b == BASE_SPAN else min(0.02, chance) if b == DECOY else chance
     return {"posterior": post, "theta": theta}
 
 
-def span_classifier(counts: list[tuple[str, int, bool, int]], post: dict, rounds: int = 400, rate: float = 1.0) -> tuple[list[float], dict[str, float]]:
-    """Weights of the labelers' votes and a bias for each kind: a logistic regression on the posterior labels, by gradient steps over vote counts."""
-    weights, bias, total = [0.0] * len(LABELERS), dict.fromkeys(KINDS, 0.0), sum(n for *_, n in counts) or 1
-    share = {kind: sum(n for k, _, _, n in counts if k == kind) or 1 for kind in KINDS}
-    for _ in range(rounds):
-        slope, base = [0.001 * total * w for w in weights], dict.fromkeys(KINDS, 0.0)
-        for k, v, b, n in counts:
-            p = 1 / (1 + math.exp(-max(-30, min(30, bias[k] + sum(w for j, w in enumerate(weights) if v >> j & 1)))))
-            g = n * (p - post[k, v, b])
-            base[k] += g
-            for j in range(len(weights)):
-                slope[j] += g if v >> j & 1 else 0
-        weights = [w - rate * s / total for w, s in zip(weights, slope, strict=True)]
-        bias = {k: x - rate * base[k] / share[k] for k, x in bias.items()}
+def span_classifier(counts: list[tuple[str, int, int, int]], post: dict, rounds: int = 400, rate: float = 1.0) -> tuple[dict[str, list[float]], dict[str, float]]:
+    """Weights of the labelers' votes and a bias for each kind: logistic regressions on the posterior labels, by gradient steps over vote counts.
+
+    A kind's weights are drawn to nothing, and none is below 0. Base spans and decoys count together no more than a kind's proposals, where
+    it has any, as these are what is decided about.
+    """
+    weights, bias = {}, {}
+    for kind in KINDS:
+        rows = [(v, b, n) for k, v, b, n in counts if k == kind]
+        mine, others = (sum(n for _, b, n in rows if (b == PROPOSED) == own) for own in (True, False))
+        share = min(1.0, mine / others) if mine and others else 1.0
+        rows = [(v, post[kind, v, b], n * (1.0 if b == PROPOSED else share)) for v, b, n in rows]
+        total, w, x = sum(n for *_, n in rows) or 1.0, [0.0] * len(LABELERS), 0.0
+        for _ in range(rounds):
+            slope, base = [0.001 * total * c for c in w], 0.0
+            for v, y, n in rows:
+                g = n * (1 / (1 + math.exp(-max(-30, min(30, x + sum(c for j, c in enumerate(w) if v >> j & 1))))) - y)
+                base += g
+                for j in range(len(w)):
+                    slope[j] += g if v >> j & 1 else 0
+            w = [max(0.0, c - rate * s / total) for c, s in zip(w, slope, strict=True)]
+            x -= rate * base / total
+        weights[kind], bias[kind] = w, x
     return weights, bias
 
 
@@ -240,12 +265,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spans at all nothing is added. Time grows in proportion to a text's length and to the number of its matches.
     """
     found = stage(_proposed(docs), "spans")
-    parts = [found.select(F.lit(k).alias("kind"), F.inline(F.concat(*[c for c in (f"b_{k}", f"l_{k}") if c in found.columns]))) for k in KINDS]
+    parts = [found.select(F.lit(k).alias("kind"), F.inline(F.concat(*[c for c in (f"b_{k}", f"l_{k}", f"d_{k}") if c in found.columns]))) for k in KINDS]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    counted = rows.groupBy("kind", "votes", "base").count().collect()  # len(KINDS) * 2 ** len(LABELERS) * 2 rows at most
-    counts = sorted((r["kind"], r["votes"], r["base"], r["count"]) for r in counted)
+    counted = rows.groupBy("kind", "votes", "known").count().collect()  # len(KINDS) * 2 ** len(LABELERS) * 3 rows at most
+    counts = sorted((r["kind"], r["votes"], r["known"], r["count"]) for r in counted)
     post = reliabilities(counts)["posterior"]
     weights, bias = span_classifier(counts, post)
 
@@ -253,7 +278,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         return F.transform(column, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     def added(kind: str) -> Column:
-        accepted = [v for v in range(1 << len(LABELERS)) if bias[kind] + sum(w for j, w in enumerate(weights) if v >> j & 1) > 0]
+        accepted = [v for v in range(1 << len(LABELERS)) if bias[kind] + sum(w for j, w in enumerate(weights[kind]) if v >> j & 1) > 0]
         return plain(kind, F.filter(f"l_{kind}", lambda s: s["votes"].isin(accepted)))
 
     found = found.withColumn("base", F.concat(*[plain(k, f"b_{k}") for k in BASE])).withColumn("taken", F.concat("base", *[added(k) for k in KINDS]))

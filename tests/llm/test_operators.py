@@ -504,13 +504,34 @@ def test_reliabilities_tell_labelers_apart():
     for _ in range(4000):
         y = int(rng.random() < 0.5)
         votes = sum(int(rng.random() < p) << j for j, p in enumerate(rates[y]))
-        base = bool(y and rng.random() < 0.2)
+        base = pii.BASE_SPAN if y and rng.random() < 0.2 else pii.PROPOSED
         counts["phone", votes, base] += 1
-        truth[votes, y] += not base
+        truth[votes, y] += base == pii.PROPOSED
     rows = [(k, v, b, n) for (k, v, b), n in sorted(counts.items())]
     found = pii.reliabilities(rows)
     for j, (wrong, right) in enumerate(found["theta"]["phone"]):
         assert abs(wrong - rates[0][j]) < 0.08 and abs(right - rates[1][j]) < 0.08
     weights, bias = pii.span_classifier(rows, found["posterior"])
-    says = lambda v: bias["phone"] + sum(w for j, w in enumerate(weights) if v >> j & 1) > 0
+    says = lambda v: bias["phone"] + sum(w for j, w in enumerate(weights["phone"]) if v >> j & 1) > 0
     assert sum(n for (v, y), n in truth.items() if says(v) == bool(y)) > 0.9 * sum(truth.values())
+
+
+def test_more_votes_never_lower_a_posterior():
+    """Spans of which all labelers speak for the right ones, but hardly any base span has a context word."""
+    full, no_context = (1 << len(pii.LABELERS)) - 1, (1 << len(pii.LABELERS)) - 1 - 4
+    counts = [("phone", no_context, pii.BASE_SPAN, 3000), ("phone", 0, pii.DECOY, 40), ("secret", full, pii.PROPOSED, 150), ("secret", full - 1, pii.PROPOSED, 16)]
+    found = pii.reliabilities(counts)
+    assert all(wrong <= right for of in found["theta"].values() for wrong, right in of)
+    assert found["posterior"]["secret", full, pii.PROPOSED] > 0.9 and found["posterior"]["secret", full, pii.PROPOSED] >= found["posterior"]["secret", full - 1, pii.PROPOSED]
+    weights, bias = pii.span_classifier(counts, found["posterior"])
+    assert bias["secret"] + sum(weights["secret"]) > 0
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 11), ("sf0.1", 150)])
+def test_secrets_of_the_tables(spark, sf, least):
+    """Every token = "<hex>" is found; hashes without such a name, and refused cards and addresses, are not."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer("(?i)token = \"([0-9a-f]{32,64})\"", t)}
+    got = {(r.doc_id, *map(int, s.split(":")[1:])) for r in pii.op8_pii(spark, f"/root/testdata/{sf}").collect() for s in r.spans.split(",") if s.startswith("secret:")}
+    assert len(want & got) >= max(least, 0.95 * len(want))
+    assert all(re.search("(?i)(token|secret|password|key)\\W{0,6}$", texts[i][max(0, a - 20) : a]) or re.match("AKIA|gh[pousr]_|sk-|[0-9a-fA-F]{32}", texts[i][a:b]) for i, a, b in got)
