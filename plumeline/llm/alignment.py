@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import discard, read, spread, stage
 
-BLOCK = 1 << 23  # bytes of text in a block; a longer text makes a block of its own
+BLOCK = 1 << 24  # bytes of text in a block; a longer text makes a block of its own
+CHUNK = 1 << 20  # bytes of a block, or codes, that are worked on at once; whole rows
 #: White space beyond ASCII, in UTF-8, and U+2581, by which the second tokenizer writes a space.
 _WIDE = {int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x2581, 0x3000)}
 _PART = 4096  # segments that are tokenised at once
@@ -102,16 +103,38 @@ def cuts(data: np.ndarray, offsets: np.ndarray, unsafe: list[int]) -> np.ndarray
     return np.unique(np.concatenate([offsets[:-1][full], at]))
 
 
+def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of about CHUNK between their offsets."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = min(len(offsets) - 1, max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1))
+        yield at, to
+        at = to
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    return pa.compress(codes.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(codes: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(codes, 4 * n, "zstd", asbytes=True), "<i4").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def _blocks(unsafe: list[int]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text) -> (doc_ids, ends, codes, segments): of each block, its rows' places in ``codes``, which are places in ``segments``."""
         for batch in batches:
             for x, y, data, offsets in K.slices(batch.column(1), BLOCK):
-                starts = cuts(data, offsets, unsafe) if len(data) else np.zeros(0, np.int64)
+                parts = [np.zeros(0, np.int64)]
+                for a, b in _chunks(offsets):
+                    if offsets[b] > offsets[a]:
+                        parts.append(offsets[a] + cuts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unsafe))
+                starts = np.concatenate(parts)
                 whole = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
                 coded = whole.dictionary_encode()
-                columns = [batch.column(0)[x:y], pa.array(np.searchsorted(starts, offsets[1:]).astype(np.int32)), coded.indices, coded.dictionary.cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["doc_ids", "ends", "codes", "segments"])
+                ends = np.searchsorted(starts, offsets[1:]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (batch.column(0)[x:y], pa.array(ends), coded.dictionary.cast(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*lists[:2], pa.array([_packed(coded.indices.to_numpy(zero_copy_only=False))], pa.binary()), lists[2]], ["doc_ids", "ends", "codes", "segments"])
         K.release()
 
     return cut
@@ -194,17 +217,22 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
 
 
-def _pairs_of_rows(row_of: np.ndarray, codes: np.ndarray, by_code: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Id pairs, and in how many rows each is linked."""
+def _pairs_of_rows(ends: np.ndarray, codes: np.ndarray, fit: np.ndarray, by_code: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Id pairs, and in how many of the rows that fit each is linked."""
     sizes = np.array([len(p) for p in by_code], np.int64)
     names, dense = np.unique(np.array([p for pairs in by_code for p in pairs], np.int64), return_inverse=True)
-    first = np.cumsum(sizes) - sizes
-    once = np.unique(row_of * np.int64(len(sizes)) + codes)  # a segment counts once in a row
-    row, code = once // len(sizes), once % len(sizes)
-    took = sizes[code]
-    at = np.repeat(first[code] - (np.cumsum(took) - took), took) + np.arange(took.sum())
-    held = np.unique(np.repeat(row, took) * np.int64(max(1, len(names))) + dense[at])
-    n = np.bincount(held % max(1, len(names)), minlength=len(names))
+    first, n = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int64)
+    offsets = np.append(0, ends).astype(np.int64)
+    for x, y in _chunks(offsets):
+        row_of = np.repeat(np.arange(y - x), np.diff(offsets[x : y + 1]))
+        keep = fit[x:y][row_of]
+        once = np.unique(row_of[keep] * np.int64(max(1, len(sizes))) + codes[offsets[x] : offsets[y]][keep])  # a segment counts once in a row
+        if len(once):
+            row, code = once // len(sizes), once % len(sizes)
+            took = sizes[code]
+            at = np.repeat(first[code] - (np.cumsum(took) - took), took) + np.arange(took.sum())
+            held = np.unique(np.repeat(row, took) * np.int64(max(1, len(names))) + dense[at])
+            n += np.bincount(held % len(names), minlength=len(names))
     return names[n > 0], n[n > 0]
 
 
@@ -216,23 +244,30 @@ def _composer(digests: bool):
         fits = np.array([t is not None for t in texts], bool)
         found = [linked(t) if t is not None else (0, 0, 0, []) for t in texts]
         numbers = np.array([(a, b, g, len(pairs)) for a, b, g, pairs in found], np.int64).reshape(-1, 4)
+        by_code = [x[3] for x in found]
+        del found
         for home, ids, ends, codes in zip(*[block[c] for c in ("block", "doc_ids", "ends", "codes")], strict=True):
-            at, words = np.asarray(ends), np.asarray(codes)
-            row_of = _of_rows(at)
-            fit = np.bincount(row_of, ~fits[words], len(at)) == 0
-            shown = texts[words]
-            groups = [";".join(shown[x:y]) if ok else "" for x, y, ok in zip([0, *at[:-1]], at, fit, strict=True)]
+            at = np.asarray(ends)
+            words = _unpacked(codes, int(at[-1]))
+            fit, groups, counts = np.ones(len(at), bool), [], []
+            offsets = np.append(0, at).astype(np.int64)
+            for x, y in _chunks(offsets):
+                part, to = words[offsets[x] : offsets[y]], offsets[x + 1 : y + 1] - offsets[x]
+                fit[x:y] = ok = np.bincount(_of_rows(to), ~fits[part], y - x) == 0
+                shown = texts[part]
+                groups += [";".join(shown[p:q]) if o else "" for p, q, o in zip([0, *to[:-1]], to, ok, strict=True)]
+                counts.append(np.stack([np.where(ok, _sums(numbers[part, k], to), 0) for k in range(4)]))
             if digests:
                 groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            counts = [np.where(fit, _sums(numbers[words, k], at), 0) for k in range(4)]
-            pairs, n = _pairs_of_rows(row_of[fit[row_of]], words[fit[row_of]], [x[3] for x in found]) if len(found) else (np.zeros(0, np.int64),) * 2
-            out.append((home, ids, ends, codes, fit, *counts, groups, pairs, n))
+            pairs, n = _pairs_of_rows(at, words, fit, by_code)
+            out.append((home, ids, ends, codes, fit, *np.concatenate(counts, 1), groups, pairs, n))
+        K.release()
         return pd.DataFrame(out, columns=["block", "doc_ids", "ends", "codes", "fit", *_COUNTS, "groups", "pairs", "n"])
 
     return compose
 
 
-_BLOCK = "block long, doc_ids array<string>, ends array<int>, codes array<int>"
+_BLOCK = "block long, doc_ids array<string>, ends array<int>, codes binary"
 _COMPOSED = f"{_BLOCK}, fit array<boolean>, " + ", ".join(f"{c} array<long>" for c in _COUNTS) + ", groups array<string>, pairs array<long>, n array<long>"
 
 
@@ -240,9 +275,11 @@ def _scores(key, block: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
     """The block's rows with what their links' counts add up to."""
     order, out = np.argsort(more["code"].to_numpy()), []
     for ids, ends, codes, fit, groups, *counts in zip(*[block[c] for c in ("doc_ids", "ends", "codes", "fit", "groups", *_COUNTS)], strict=True):
-        ends, codes, fit = np.asarray(ends), np.asarray(codes), np.asarray(fit, bool)
+        ends, fit = np.asarray(ends), np.asarray(fit, bool)
+        codes = _unpacked(codes, int(ends[-1]))
         sums = [np.where(fit, _sums(more[c].to_numpy()[order][codes], ends), 0) for c in ("n_best", "count_sum")]
         out.append(pd.DataFrame(dict(zip(["doc_id", *_COUNTS, "n_best", "count_sum", "groups"], [ids, *counts, *sums, groups], strict=True))))
+    K.release()
     return pd.concat(out)
 
 
@@ -256,7 +293,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, digests: bool = False) -> t
     """
     unsafe = verified(a_path, b_path)
     texts = spread(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.lit(" "), "text")).alias("text"))
-    cut = texts.mapInArrow(_blocks(unsafe), "doc_ids array<string>, ends array<int>, codes array<int>, segments array<string>")
+    cut = texts.mapInArrow(_blocks(unsafe), "doc_ids array<string>, ends array<int>, codes binary, segments array<string>")
     blocks = stage(cut.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
     listed = blocks.select(F.col("block").alias("home"), F.posexplode("segments").alias("code", "segment"))
     segments = stage(listed.select("segment").distinct().mapInArrow(_aligner(a_path, b_path), "segment string, shown string").withColumn("number", F.monotonically_increasing_id()), "segments")
