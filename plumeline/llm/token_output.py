@@ -24,8 +24,8 @@ from .common import new_path, read, shuffle_width, spread
 
 END = 2
 SEGMENT = 500_000  # ids after which a segment is written; a segment holds whole documents
-_SLOTS = 1 << 21
-_POOL = 8_000_000
+_SLOTS = 1 << 19
+_POOL = 4_000_000
 _BATCH = 8192  # runs given to the library at once: what it returns is far larger than the ids
 
 _CODER = "RangeCoder.java", {"plumeline_encode_ids": ("plumeline.EncodeIds", "binary"), "plumeline_decode_ids": ("plumeline.DecodeIds", "binary")}
