@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space as ECMAScript has it; Java's \s and Spark's trim know less of it.
 SPACE = "[\\s\\x{0B}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
@@ -50,7 +46,7 @@ def _code(entity: Column, base: int) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """CDATA sections opened, then named and numeric entities, each kind in one pass. A number that is no character becomes U+FFFD: one bad feed must not stop a run."""
-    out = F.regexp_replace(text, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1")
+    out = F.when(text.contains("<![CDATA["), F.regexp_replace(text, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1")).otherwise(text)
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     numbered = lambda t: bound(_numbered(t, "(?i)&#x[0-9a-f]+;", 16), lambda u: _numbered(u, "&#[0-9]+;", 10))
@@ -58,19 +54,27 @@ def decode_entities(text: Column) -> Column:
 
 
 def norm_space(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def strip_tags(text: Column) -> Column:
-    for element in ("script", "style"):
-        text = F.regexp_replace(text, f"(?is){tag_open(element)}[^>]*>.*?</{element}>", " ")
-    return F.regexp_replace(F.regexp_replace(text, "(?i)<br\\s*/?>|</p>", " "), "<[^>]+>", " ")
+    def stripped(t: Column) -> Column:
+        for element in ("script", "style"):
+            t = F.regexp_replace(t, f"(?is){tag_open(element)}[^>]*>.*?</{element}>", " ")
+        return F.regexp_replace(F.regexp_replace(t, "(?i)<br\\s*/?>|</p>", " "), "<[^>]+>", " ")
+
+    return F.when(text.contains("<"), stripped(text)).otherwise(text)
 
 
 def display_text(text: Column) -> Column:
     """Entities first, tags second: escaped markup goes too. Null where nothing is left."""
-    shown = F.regexp_replace(norm_space(strip_tags(decode_entities(text))), f"{SPACE}+([.,!?;:])", "$1")
-    return bound(shown, filled)
+    spaced = bound(decode_entities(text), lambda t: norm_space(strip_tags(t)))
+    return bound(F.regexp_replace(spaced, " ([.,!?;:])", "$1"), filled)
+
+
+def filled_once(text: Column) -> Column:
+    """filled() of what is dear to work out."""
+    return bound(text, filled)
 
 
 def raw_text(text: Column) -> Column:
@@ -83,14 +87,20 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def _icu(of: str, method: str, text: Column, ascii_form: Column) -> Column:
+    """A static method (string, true) of the ICU library that comes with Spark, in the engine; ``ascii_form`` for texts that are ASCII, which are most."""
+    called = F.reflect(F.lit(f"com.ibm.icu.{of}"), F.lit(method), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.isNull() | F.regexp_like(text, F.lit("^[\\x00-\\x7F]*$")), ascii_form).otherwise(called)
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC, which Spark lacks. The whole column goes through Python in Arrow batches, so it is for few rows or whole texts."""
-    return F.when(F.regexp_like(text, F.lit("^[\\x00-\\x7F]*$")), text).otherwise(_nfkc(text))
+    """Unicode NFKC, which Spark's own functions lack."""
+    return bound(text, lambda t: _icu("text.Normalizer", "compose", t, t))
+
+
+def fold_case(text: Column) -> Column:
+    """Full Unicode case folding: sharp s is ss, long s is s, and all sigmas are one."""
+    return bound(text, lambda t: _icu("lang.UCharacter", "foldCase", t, F.lower(t)))
 
 
 def slugify(label: Column, compatible: bool = True) -> Column:
@@ -102,7 +112,7 @@ def slugify(label: Column, compatible: bool = True) -> Column:
 
 def compare_key(text: Column, compatible: bool = True) -> Column:
     """How tags and search texts are compared: NFKC, white space collapsed, case folded."""
-    return F.lower(norm_space(nfkc(text) if compatible else text))
+    return fold_case(norm_space(nfkc(text) if compatible else text))
 
 
 def utf16_length(text: Column) -> Column:

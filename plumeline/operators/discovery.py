@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compare_key, norm_space
+from .ranking import ranked
 
 #: Ids that shelves may not have, as pages have them.
 RESERVED = ("tags", "search", "sources", "categories", "assets", "data", "index")
@@ -78,10 +79,11 @@ def featured(articles: DataFrame, most: int = FEATURED) -> DataFrame:
     return rows.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("shelf_id", "place", "id")
 
 
-def search_index(articles: DataFrame, compatible: bool = True) -> DataFrame:
+def search_index(articles: DataFrame, compatible: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Search texts of public articles with source_tags and entry_tags; ``extra`` names columns to go along."""
     title, source = compare_key(F.col("title"), compatible), compare_key(F.col("source_name"), compatible)
     tag = compare_key(F.array_join(F.concat("source_tags", "entry_tags"), " "), compatible)
-    return articles.select("id", "sort_at", title.alias("title_text"), source.alias("source_text"), tag.alias("tag_text"), norm_space(F.concat_ws(" ", title, source, tag)).alias("search_text"))
+    return articles.select("id", "sort_at", title.alias("title_text"), source.alias("source_text"), tag.alias("tag_text"), norm_space(F.concat_ws(" ", title, source, tag)).alias("search_text"), *extra)
 
 
 def terms_of(text: Column) -> Column:
@@ -92,21 +94,27 @@ def terms_of(text: Column) -> Column:
 def terms(query: str) -> list[str]:
     import unicodedata
 
-    return list(dict.fromkeys(" ".join(unicodedata.normalize("NFKC", query).split()).lower().split()))
+    return list(dict.fromkeys(" ".join(unicodedata.normalize("NFKC", query).split()).casefold().split()))
 
 
-def search(index: DataFrame, query: str) -> DataFrame:
+def search(index: DataFrame, query: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """(id, sort_at, score) of rows in which every term is found somewhere; an empty query finds nothing."""
     found = terms(query)
     if not found:
-        return index.where("false").select("id", "sort_at", F.lit(0).cast("long").alias("score"))
+        return index.where("false").select("id", "sort_at", *extra, F.lit(0).cast("long").alias("score"))
     phrase, match, score = " ".join(dict.fromkeys(found)), F.lit(True), F.lit(0)
     for term in found:
         match = match & F.col("search_text").contains(term)
         for part in ("title", "source", "tag"):
             score = score + F.when(F.col(f"{part}_text").contains(term), WEIGHTS[part]).otherwise(0)
     score = score + F.when(F.col("title_text") == phrase, WEIGHTS["exact"]).when(F.col("title_text").contains(phrase), WEIGHTS["phrase"]).otherwise(0)
-    return index.where(match).select("id", "sort_at", score.cast("long").alias("score"))
+    return index.where(match).select("id", "sort_at", *extra, score.cast("long").alias("score"))
+
+
+def search_results(articles: DataFrame, query: str) -> DataFrame:
+    """(id, title, score, rank) of the hits among public articles with shelf_ids and tags, the best first; titles come with the hits, so articles are read once."""
+    index = search_index(articles, extra=("title",))
+    return ranked(search(index, query, extra=("title",)), F.desc("score"), F.desc("sort_at"), F.asc("id")).select("id", "title", "score", "rank")
 
 
 def search_state(index: DataFrame, queries: list[str]) -> DataFrame:

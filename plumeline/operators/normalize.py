@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import feedxml as X
 from ..functions.ids import article_id, dedupe_key
-from ..functions.text import filled, slugify
+from ..functions.text import bound, filled, slugify
 from ..functions.times import iso, parse_date
 from ..functions.urls import normalize_url
 
+
 def split_items(documents: DataFrame) -> DataFrame:
     """(feed_id, doc_ord, fetched_at, kind, item_ord, block) of ``documents`` (feed_id, xml, fetched_at, doc_ord); blank or foreign documents stop the job."""
     kind = X.document_kind(F.col("xml"))
@@ -21,35 +20,38 @@ def split_items(documents: DataFrame) -> DataFrame:
     return docs.select("feed_id", "doc_ord", "fetched_at", "kind", F.posexplode(blocks).alias("item_ord", "block"))
 
 
-def rss_parts(block) -> list:
-    return [
-        X.first_text(block, ["title"]).alias("title"), X.first_raw(block, ["link"]).alias("url"), X.first_text(block, ["description", "summary", "content:encoded", "content"]).alias("summary"),
-        parse_date(X.first_raw(block, ["pubDate", "dc:date"])).alias("published_at"), X.first_text(block, ["author", "dc:creator"]).alias("author"), X.image_url(block).alias("image_url"),
-        X.first_raw(block, ["guid"]).alias("source_item_id"),
-    ]
+#: Elements by part of an article, the first that has any text first, for each format.
+RSS = {"title": ("title",), "summary": ("description", "summary", "content:encoded", "content"), "published_at": ("pubDate", "dc:date"), "author": ("author", "dc:creator"), "source_item_id": ("guid",)}
+ATOM = {"title": ("title",), "summary": ("summary", "content", "description"), "published_at": ("published", "updated", "dc:date"), "source_item_id": ("id",)}
 
 
-def atom_parts(block) -> list:
-    author = F.regexp_extract(block, X.element("author"), 1)
-    return [
-        X.first_text(block, ["title"]).alias("title"), X.atom_link(block).alias("url"), X.first_text(block, ["summary", "content", "description"]).alias("summary"),
-        parse_date(X.first_raw(block, ["published", "updated", "dc:date"])).alias("published_at"), F.coalesce(X.first_text(author, ["name"]), X.display_text(author)).alias("author"),
-        X.image_url(block).alias("image_url"), X.first_raw(block, ["id"]).alias("source_item_id"),
-    ]
+NAMES = list(dict.fromkeys(n for names in (*RSS.values(), *ATOM.values(), ("link",)) for n in names))
 
 
 def parsed_items(items: DataFrame) -> DataFrame:
-    """Items with their parts, each format by its own rules.
+    """Items with title, url, summary, published_at, author, image_url and source_item_id, each format by its own rules.
 
-    The parts come out of a generator, so that filters on them do not make the engine work them out twice, and their
-    expressions, far beyond what generated code can hold, are not compiled.
+    An entry is scanned once, whatever parts are asked for; the scan comes out of a generator, through which the engine
+    moves no filter, as it would repeat the scan there. Parts that nobody reads are never worked out; the short ones are
+    cleaned together, as every cleaning in a plan costs the driver time. Parts are lambdas, which the engine evaluates
+    without generating code that grows with them.
     """
-
-    def of(kind: str, parts: Callable[[Column], list]) -> DataFrame:
-        row = F.inline(F.transform(F.array("block"), lambda b: F.struct(*parts(b))))
-        return items.where(F.col("kind") == kind).select("feed_id", "doc_ord", "item_ord", "fetched_at", row)
-
-    return of("rss", rss_parts).unionByName(of("atom", atom_parts))
+    at, is_rss, scanned = ["feed_id", "doc_ord", "item_ord", "fetched_at"], F.col("kind") == "rss", F.struct("pieces", "labels")
+    rows = items.select(*at, "kind", F.inline(F.array(X.scan(F.col("block")))))
+    person = bound(X.within(scanned, "author"), lambda s: F.array(F.get(X.texts_between(s, ["name"]), 0), X.whole_text(s)))
+    rows = rows.select(*at, "kind", "pieces", "labels", X.texts_between(scanned, NAMES).alias("texts"), F.when(~is_rss, person).alias("person"))
+    of = lambda names: F.array(*[F.get("texts", NAMES.index(n)) for n in names])
+    either = lambda part: F.when(is_rss, of(RSS[part])).otherwise(of(ATOM[part]))
+    short = F.array(of(["title"]), F.when(is_rss, of(RSS["author"])).otherwise(F.col("person")))
+    plain = F.array(either("published_at"), either("source_item_id"), F.when(is_rss, of(["link"])))
+    rows = rows.select(
+        *at, "kind", "pieces", "labels", F.transform(short, lambda texts: X.first_cleaned(texts, X.display_text)).alias("short"), F.transform(plain, lambda texts: X.first_cleaned(texts, X.raw_text)).alias("plain"),
+        X.first_cleaned(either("summary"), X.display_text).alias("summary"),
+    )
+    return rows.select(
+        *at, F.get("short", 0).alias("title"), F.when(is_rss, F.get("plain", 2)).otherwise(X.picked_link(scanned)).alias("url"), "summary", bound(F.get("plain", 0), parse_date).alias("published_at"), F.get("short", 1).alias("author"),
+        X.picked_image(scanned).alias("image_url"), F.get("plain", 1).alias("source_item_id"),
+    )
 
 
 def with_identity(articles: DataFrame) -> DataFrame:

@@ -82,7 +82,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         part("<updated>", F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "</updated>"), part("<author><name>", F.col("author"), "</name></author>"), part("<enclosure url='", image, "'></enclosure>"),
         F.lit("<summary>"), _escaped(F.col("text")), F.lit("</summary></entry><entry><title/></entry></feed>"),
     )
-    return items(spark, sf_dir).select("feed_id", F.when(F.col("doc_ord") % 2 == 0, rss).otherwise(atom).alias("xml"), "fetched_at", F.col("item_ord").alias("doc_ord"))
+    # out of a generator, as from a file: otherwise the engine writes the document anew wherever it is read
+    xml = F.explode(F.array(F.when(F.col("doc_ord") % 2 == 0, rss).otherwise(atom))).alias("xml")
+    return items(spark, sf_dir).select("feed_id", xml, "fetched_at", F.col("item_ord").alias("doc_ord"))
 
 
 def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +134,7 @@ def _merge_sql() -> str:
 
 
 _FIELDS = ("doc_ord", "item_ord", "id", "feed_id", "title", "url", "summary", "pub", "fetched", "author", "image", "item", "tags", "seen")
+FOLD = "replace(lower({}), 'ß', 'ss')"  # full case folding, as far as these tables need it
 SLUG = "regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g')"
 CTES = {
     "reg": """SELECT 'src' || n_nationkey AS id, n_name AS name, r_name AS category, 'https://feeds.example.net/src' || n_nationkey || '.xml' AS feed_url, 'https://src' || n_nationkey || '.example.net/' AS site_url,
@@ -155,7 +158,7 @@ CTES = {
     "sreg": "SELECT *, CASE WHEN pos % 7 = 0 THEN [replace(lower(category), ' ', '-'), 'nowhere'] ELSE [replace(lower(category), ' ', '-')] END AS shelf_ids, [array_to_string(list_transform(string_split(lower(category), ' '), lambda w: upper(w[1]) || w[2:]), ' '), language] AS source_tags FROM reg",
     "tagd": "SELECT pub.*, shelf_ids, source_tags, CASE WHEN regexp_matches(title, '^[A-Za-z]') THEN [upper(title[1])] ELSE []::VARCHAR[] END AS entry_tags FROM pub JOIN sreg ON sreg.id = source_id",
     "tags": "SELECT id, source_id, sort_at, shelf_ids, lower(label) AS tag_id, label, origin FROM (SELECT id, source_id, sort_at, shelf_ids, unnest(source_tags) AS label, 0 AS origin FROM tagd UNION ALL SELECT id, source_id, sort_at, shelf_ids, unnest(entry_tags), 1 FROM tagd)",
-    "idx": "SELECT id, sort_at, lower(title) AS title_text, lower(source_name) AS source_text, lower(array_to_string(list_concat(source_tags, entry_tags), ' ')) AS tag_text, trim(regexp_replace(concat_ws(' ', lower(title), lower(source_name), lower(array_to_string(list_concat(source_tags, entry_tags), ' '))), '\\s+', ' ', 'g')) AS search_text FROM tagd",
+    "idx": f"SELECT id, sort_at, {FOLD.format('title')} AS title_text, lower(source_name) AS source_text, lower(array_to_string(list_concat(source_tags, entry_tags), ' ')) AS tag_text, trim(regexp_replace(concat_ws(' ', {FOLD.format('title')}, lower(source_name), lower(array_to_string(list_concat(source_tags, entry_tags), ' '))), '\\s+', ' ', 'g')) AS search_text FROM tagd",
 }
 NEEDS = {
     "art": ["raw"], "fold": ["raw", "art"], "ded": ["raw", "art", "fold"], "pub": ["reg", "raw", "art", "fold", "ded"], "cat": ["reg", "raw", "art", "fold", "ded", "pub"], "src": ["reg", "raw", "art", "fold", "ded", "pub"], "sreg": ["reg"],

@@ -16,6 +16,8 @@ from ..functions import urls as U
 from ..operators import dedupe as DD
 from ..operators import discovery as DC
 from ..operators import normalize as N
+from ..operators import postings as PO
+from ..operators import ranking as RK
 from ..operators import summaries as S
 from ..operators import views as V
 from ..sources import documents as D
@@ -69,7 +71,20 @@ _simple(
     lambda s, d: R.repeated_feed_urls(B.registry(s, d).withColumn("feed_url", F.concat(F.lit("https://feeds.example.net/"), (F.col("pos") % 20).cast("string")))),
     with_ctes("reg", "SELECT 'https://feeds.example.net/' || pos % 20 AS feed_url, count(*) AS n FROM reg GROUP BY 1 HAVING count(*) > 1"),
 )
-_simple("doc_source", lambda s, d: B.documents(s, d).select("feed_id", "doc_ord", F.length("xml").cast("long").alias("chars")))
+_X = lambda start, value, end: f"coalesce('{start}' || replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '{end}', '')"
+_RSS = [
+    """'<?xml version="1.0"?><RSS version="2.0"><channel><title>all</title><item>'""", _X("<title>  ", "title", " </title>"), _X("<link>", "url", "</link>"), _X("<guid>", "item", "</guid>"), _X("<pubDate>Mon, ", "strftime(pub, '%-d %b %Y %H:%M:%S')", " +0000</pubDate>"),
+    _X("<author>", "author", "</author>"), _X('<media:content url="', "image", '" medium="image"/>'), _X("<description>", "text", "</description>"), "'</item><item><title></title><link>https://example.com/none</link></item></channel></RSS>'",
+]
+_ATOM = [
+    """'<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title><entry>'""", _X('<title type="text">', "title", "</title>"), """'<link rel="self" href="https://example.com/self"/>'""", _X("<link href=''", "url", "''/>"), _X("<id>", "item", "</id>"),
+    _X("<updated>", "strftime(pub, '%Y-%m-%dT%H:%M:%SZ')", "</updated>"), _X("<author><name>", "author", "</name></author>"), _X("<enclosure url=''", "image", "''></enclosure>"), _X("<summary>", "text", "</summary>"), "'</entry><entry><title/></entry></feed>'",
+]
+_simple(
+    "doc_source",
+    lambda s, d: B.documents(s, d).select("feed_id", "doc_ord", F.length("xml").cast("long").alias("chars"), F.sha2("xml", 256).alias("xml_sha256")),
+    with_ctes("raw", f"SELECT feed_id, item_ord AS doc_ord, length(xml)::BIGINT AS chars, sha256(xml) AS xml_sha256 FROM (SELECT *, CASE WHEN doc_ord % 2 = 0 THEN {' || '.join(_RSS)} ELSE {' || '.join(_ATOM)} END AS xml FROM raw)"),
+)
 _simple("format_dispatch", lambda s, d: B.documents(s, d).select("doc_ord", X.document_kind(F.col("xml")).alias("kind")), with_ctes("raw", "SELECT item_ord AS doc_ord, CASE WHEN doc_ord % 2 = 0 THEN 'rss' ELSE 'atom' END AS kind FROM raw"))
 _simple(
     "doc_registry_join",
@@ -156,6 +171,12 @@ _DECODE = "replace(replace(replace(replace(replace(replace(regexp_replace({}, '(
 _STRIP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>|</p>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 _NORM = "trim(regexp_replace({}, '[\\s\\x{{0B}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g'))"
 _simple("decode_entities", lambda s, d: _pages(s, d).select("page_id", F.sha2(T.decode_entities(F.col("html")), 256).alias("h")), f"SELECT page_id, sha256({_DECODE.format('html')}) AS h FROM pages")
+_simple(
+    "decode_numbers",
+    lambda s, d: _docs(s, d).select("doc_id", T.decode_entities(F.concat(F.lit("<"), F.lit("&#"), (F.col("doc_id") * 977 % 1_200_000 + 1).cast("string"), F.lit(";&#x"), F.hex(F.col("doc_id") * 31 + 1), F.lit(";>"))).alias("shown")),
+    """WITH n AS (SELECT doc_id, doc_id * 977 % 1200000 + 1 AS a, doc_id * 31 + 1 AS b FROM documents)
+SELECT doc_id, '<' || CASE WHEN a > 1114111 OR a BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(a::INT) END || CASE WHEN b > 1114111 OR b BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(b::INT) END || '>' AS shown FROM n""",
+)
 _simple("strip_tags", lambda s, d: _pages(s, d).select("page_id", F.sha2(T.strip_tags(F.col("html")), 256).alias("h")), f"SELECT page_id, sha256({_STRIP.format('html')}) AS h FROM pages")
 _simple("norm_ws", lambda s, d: _docs(s, d).select("doc_id", F.sha2(T.norm_space(F.col("text")), 256).alias("h")), f"SELECT doc_id, sha256({_NORM.format('text')}) AS h FROM documents")
 _simple(
@@ -237,9 +258,9 @@ _simple(
     with_ctes("reg", "SELECT replace(replace(lower(c), ' ', '-'), '_', '-') AS category_id, string_agg(DISTINCT c, ',' ORDER BY c) AS labels FROM (SELECT CASE WHEN pos % 2 = 0 THEN replace(category, ' ', '_') ELSE category END AS c FROM reg) GROUP BY 1 HAVING count(DISTINCT c) > 1"),
 )
 _simple("category_label_lookup", lambda s, d: B.public(s, d).select("id", "source_id", "category_id").join(S.category_summary(B.public(s, d)).where("article_count % 2 = 0").select("category_id", "label"), "category_id", "left").select("id", "source_id", F.coalesce("label", "category_id").alias("label")), with_ctes("cat", "SELECT id, source_id, coalesce(label, pub.category_id) AS label FROM pub LEFT JOIN (SELECT * FROM cat WHERE article_count % 2 = 0) c ON c.category_id = pub.category_id"))
-_simple("articles_ranked", lambda s, d: S.ranked(B.public(s, d), *S.article_order()).select("id", "rank"), with_ctes("pub", "SELECT id, row_number() OVER (ORDER BY sort_ms DESC, title COLLATE en, id COLLATE en, id) AS rank FROM pub"))
-_simple("categories_ranked", lambda s, d: S.ranked(S.category_summary(B.public(s, d)), F.desc("latest_sort_at"), F.collate("label", "en")).select("category_id", "rank"), with_ctes("cat", "SELECT category_id, row_number() OVER (ORDER BY latest_sort_at DESC, label COLLATE en) AS rank FROM cat"))
-_simple("sources_ranked", lambda s, d: S.ranked(S.source_summary(B.public(s, d), B.registry(s, d)), F.desc("latest_sort_at"), F.collate("id", "en")).select("id", "rank"), with_ctes("src", "SELECT id, row_number() OVER (ORDER BY latest_sort_at DESC, id COLLATE en) AS rank FROM src"))
+_simple("articles_ranked", lambda s, d: RK.ranked(B.public(s, d).select("id", "title", "sort_ms"), *S.article_order()).select("id", "rank"), with_ctes("pub", "SELECT id, row_number() OVER (ORDER BY sort_ms DESC, title COLLATE en, id COLLATE en, id) AS rank FROM pub"))
+_simple("categories_ranked", lambda s, d: RK.ranked_few(S.category_summary(B.public(s, d)), F.desc("latest_sort_at"), F.collate("label", "en")).select("category_id", "rank"), with_ctes("cat", "SELECT category_id, row_number() OVER (ORDER BY latest_sort_at DESC, label COLLATE en) AS rank FROM cat"))
+_simple("sources_ranked", lambda s, d: RK.ranked_few(S.source_summary(B.public(s, d), B.registry(s, d)), F.desc("latest_sort_at"), F.collate("id", "en")).select("id", "rank"), with_ctes("src", "SELECT id, row_number() OVER (ORDER BY latest_sort_at DESC, id COLLATE en) AS rank FROM src"))
 
 
 def _flagship(s, d):
@@ -281,7 +302,7 @@ _simple(
 _simple("shelf_fk_violations", lambda s, d: DC.shelf_key_violations(B.shelved_registry(s, d), B.shelves(s, d)), with_ctes("sreg", "SELECT id AS source_id, 'nowhere' AS shelf_id FROM sreg WHERE pos % 7 = 0"))
 _simple("tag_explode", lambda s, d: DC.exploded_tags(B.tagged(s, d)).groupBy("tag_id", "origin").agg(F.count(F.lit(1)).alias("n")).withColumn("origin", F.col("origin").cast("long")), with_ctes("tags", "SELECT tag_id, origin::BIGINT AS origin, count(*) AS n FROM tags GROUP BY ALL"))
 _simple("tag_summary", lambda s, d: DC.tag_summary(DC.exploded_tags(B.tagged(s, d))), with_ctes("tags", "SELECT tag_id, arg_min(label, {'o': origin, 'l': label}) AS label, count(DISTINCT id) AS article_count, count(DISTINCT source_id) AS source_count, max(sort_at) AS latest_sort_at FROM tags GROUP BY 1"))
-_simple("tags_ranked", lambda s, d: S.ranked(DC.tag_summary(DC.exploded_tags(B.tagged(s, d))), F.desc("article_count"), F.desc("latest_sort_at"), F.asc("label")).select("tag_id", "rank"), with_ctes("tags", "SELECT tag_id, row_number() OVER (ORDER BY n DESC, l DESC, label) AS rank FROM (SELECT tag_id, arg_min(label, {'o': origin, 'l': label}) AS label, count(DISTINCT id) AS n, max(sort_at) AS l FROM tags GROUP BY 1)"))
+_simple("tags_ranked", lambda s, d: RK.ranked(DC.tag_summary(DC.exploded_tags(B.tagged(s, d))), F.desc("article_count"), F.desc("latest_sort_at"), F.asc("label")).select("tag_id", "rank"), with_ctes("tags", "SELECT tag_id, row_number() OVER (ORDER BY n DESC, l DESC, label) AS rank FROM (SELECT tag_id, arg_min(label, {'o': origin, 'l': label}) AS label, count(DISTINCT id) AS n, max(sort_at) AS l FROM tags GROUP BY 1)"))
 _simple("tag_page", lambda s, d: B.tagged(s, d).where(F.exists(F.concat("source_tags", "entry_tags"), lambda t: T.compare_key(t, False) == "t")).select("id", "sort_at"), with_ctes("tags", "SELECT DISTINCT id, sort_at FROM tags WHERE tag_id = 't'"))
 _simple("tag_related_shelves", lambda s, d: DC.tag_shelves(DC.exploded_tags(B.tagged(s, d)), B.shelves(s, d)), with_ctes("tags shelf", "SELECT tag_id, string_agg(shelf.id, ',' ORDER BY shelf_ord) AS shelf_ids FROM (SELECT DISTINCT tag_id, unnest(shelf_ids) AS s FROM tags) JOIN shelf ON shelf.id = s GROUP BY 1"))
 _simple("shelf_page", lambda s, d: B.tagged(s, d).where(F.array_contains("shelf_ids", "europe")).select("id", "sort_at"), with_ctes("tagd", "SELECT id, sort_at FROM tagd WHERE list_contains(shelf_ids, 'europe')"))
@@ -305,7 +326,7 @@ _simple(
 )
 _simple("meta_v2", lambda s, d: S.meta(B.public(s, d), B.GENERATED_AT).drop("category_count").join(B.shelves(s, d).agg(F.count(F.lit(1)).alias("shelf_count"))).join(DC.exploded_tags(B.tagged(s, d)).agg(F.count_distinct("tag_id").alias("tag_count"))), with_ctes("tags shelf", f"SELECT '{B.GENERATED_AT}' AS generated_at, (SELECT count(*) FROM pub) AS article_count, (SELECT count(DISTINCT source_id) FROM pub) AS source_count, (SELECT count(*) FROM shelf) AS shelf_count, (SELECT count(DISTINCT tag_id) FROM tags) AS tag_count"))
 _simple("search_index", lambda s, d: DC.search_index(B.tagged(s, d)), with_ctes("idx", "SELECT * FROM idx"))
-_TERMS = """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')), ' ') AS w FROM documents),
+_TERMS = """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', ' ', 'g')), ' ') AS w FROM documents),
 t AS (SELECT doc_id, t, min(p) AS p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM w) WHERE t <> '' GROUP BY 1, 2),
 g AS (SELECT doc_id, count(*) AS n, string_agg(t, '|' ORDER BY p) AS s FROM t GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_terms, sha256(coalesce(s, '')) AS terms_sha256 FROM documents d LEFT JOIN g USING (doc_id)"""
@@ -325,7 +346,20 @@ _simple("search_match", lambda s, d: DC.search(DC.search_index(B.tagged(s, d)),
 _simple("search_score", lambda s, d: DC.search(DC.search_index(B.tagged(s, d)), SEARCH).select("id", "sort_at", "score"), with_ctes("idx", f"SELECT id, sort_at, ({_POINTS})::BIGINT AS score FROM idx WHERE {_HIT}"))
 _simple(
     "search_results",
-    lambda s, d: S.ranked(DC.search(DC.search_index(B.tagged(s, d)), SEARCH), F.desc("score"), F.desc("sort_at"), F.asc("id")).join(B.public(s, d).select("id", "title"), "id").select("id", "title", "score", "rank"),
+    lambda s, d: DC.search_results(B.tagged(s, d), SEARCH),
     with_ctes("idx", f"SELECT i.id, title, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, sort_at DESC, id) AS rank FROM (SELECT id, sort_at, ({_POINTS})::BIGINT AS score FROM idx WHERE {_HIT})) i JOIN pub ON pub.id = i.id"),
 )
+def _indexed(s, d):
+    """What search_match finds, by way of the postings."""
+    index = DC.search_index(B.tagged(s, d))
+    postings = PO.build(index)
+    return PO.indexed_search(index, postings, PO.sizes(postings), SEARCH).select("id", "sort_at")
+
+
+_simple("search_indexed", _indexed, with_ctes("idx", f"SELECT id, sort_at FROM idx WHERE {_HIT}"))
+_simple(
+    "trigram_sizes",
+    lambda s, d: PO.sizes(PO.build(DC.search_index(B.tagged(s, d)))).select("gram", "n"),
+    with_ctes("idx", "SELECT gram, count(*) AS n FROM (SELECT DISTINCT place, unnest(list_transform(range(1, len(search_text) - 1), lambda i: substr(search_text, i, 3))) AS gram FROM (SELECT row_number() OVER () AS place, search_text FROM idx)) GROUP BY gram"),
+)
 _simple("search_state", lambda s, d: DC.search_state(DC.search_index(B.tagged(s, d)), ["", SEARCH, "no such words"]), with_ctes("idx", f"SELECT '' AS query, 'helper' AS state, 0::BIGINT AS hits UNION ALL SELECT '{SEARCH}', CASE WHEN count(*) > 0 THEN 'ready' ELSE 'no-result' END, count(*) FROM idx WHERE {_HIT} UNION ALL SELECT 'no such words', 'no-result', 0"))

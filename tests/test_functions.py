@@ -45,6 +45,9 @@ def test_slug_and_compare_key(spark):
     assert one(spark, "技術 / 開発 ニュース", T.slugify) == "技術-開発-ニュース"
     assert one(spark, "ＡＢ_c.d!", T.slugify) == "ab-c-d"
     assert one(spark, "  Ｋubernetes  Ops ", T.compare_key) == "kubernetes ops"
+    assert one(spark, None, T.compare_key) is None and one(spark, "", T.compare_key) == ""
+    for a, b in (("STRASSE", "Straße"), ("ſun", "Sun"), ("ΌΔΟΣ", "όδος"), ("ﬁne", "FINE"), ("e\u0301", "É"), ("①", "1")):
+        assert one(spark, a, T.compare_key) == one(spark, b, T.compare_key), (a, b)
 
 
 @pytest.mark.parametrize(

@@ -92,7 +92,7 @@ def test_category_collision(spark):
 
 def article(n, key="url:u", **more):
     base = {"doc_ord": n, "item_ord": 0, "id": f"i{n}", "feed_id": "f", "source_name": "s", "category": "c", "language": "en", "site_url": "x", "title": f"t{n}", "url": "u", "summary": None, "published_at": None,
-            "fetched_at": dt.datetime(2026, 1, 1, 0, 0, n), "author": None, "image_url": None, "tags": [], "source_item_id": None, "seen_in_feeds": [f"f{n}"], "normalized_url": "u", "dedupe_key": key}
+            "fetched_at": dt.datetime(2026, 1, 1, 0, 0, n % 60), "author": None, "image_url": None, "tags": [], "source_item_id": None, "seen_in_feeds": [f"f{n}"], "normalized_url": "u", "dedupe_key": key}
     return base | more
 
 
@@ -101,16 +101,17 @@ ARTICLE = "doc_ord long, item_ord long, id string, feed_id string, source_name s
 
 def fold(rows):
     """The ordered fold, step by step."""
+    units = lambda text: len((text or "").encode("utf-16-le")) // 2
     score = lambda r: sum(bool(r[f]) for f in ("published_at", "author", "image_url", "summary")) + bool(r["tags"])
     acc = dict(rows[0])
     for b in rows[1:]:
-        ka, kb = ((score(r), len(r["summary"] or "")) for r in (acc, b))
+        ka, kb = ((score(r), units(r["summary"])) for r in (acc, b))
         wins = ka > kb if ka != kb else acc["fetched_at"] <= b["fetched_at"]
         w, x = (acc, b) if wins else (b, acc)
         new = dict(w)
         for f in ("published_at", "author", "image_url", "source_item_id"):
             new[f] = w[f] or x[f]
-        new["summary"] = x["summary"] if len(x["summary"] or "") > len(w["summary"] or "") else w["summary"] or x["summary"]
+        new["summary"] = x["summary"] if units(x["summary"]) > units(w["summary"]) else w["summary"] or x["summary"]
         new["fetched_at"] = min(acc["fetched_at"], b["fetched_at"])
         for f in ("tags", "seen_in_feeds"):
             new[f] = list(dict.fromkeys(v for v in w[f] + x[f] if v))
@@ -170,5 +171,104 @@ def test_stream_folds_batches(spark, tmp_path):
     run()
     docs(spark, ("off", RSS.replace("piece", "other")), ("two", ATOM)).where(F.col("feed_id") == "two").write.parquet(second)
     run()
-    state = spark.read.parquet(str(tmp_path / "state/version=1")).collect()
+    state = incremental.read_state(spark, str(tmp_path / "state"), incremental.SCHEMA).collect()
     assert len(state) == 1 and sorted(state[0].seen_in_feeds) == ["one", "two"]
+
+
+def entries(*numbers):
+    return "<rss><channel>" + "".join(f"<item><title>t{n}</title><link>https://example.com/{n}</link><description>{'x' * n}</description></item>" for n in numbers) + "</channel></rss>"
+
+
+def test_batches_rewrite_their_buckets_alone(spark, tmp_path):
+    state, feeds = str(tmp_path / "state"), registry(spark)
+    fold = lambda n, *rows: incremental.fold_batch(spark, state, docs(spark, *rows), n, feeds, 16)
+    rows = lambda n=None: {r.url: (r.feed_id, tuple(r.seen_in_feeds), len(r.summary)) for r in incremental.read_state(spark, state, incremental.SCHEMA, n).collect()}
+    first = fold(0, ("one", entries(*range(1, 60))))
+    second = fold(1, ("two", entries(5, 70)))
+    changed = {b for b in second if second[b] != first.get(b)}
+    assert len(changed) <= 2 and set(second.values()) == {0, 1}
+    whole = rows()
+    assert len(whole) == 60 and whole["https://example.com/5"] == ("one", ("one", "two"), 5) and whole["https://example.com/70"][0] == "two"
+    assert len(rows(0)) == 59  # what readers of the batch before still see
+    assert fold(1, ("two", entries(5, 70))) == second and rows() == whole  # run again, as after a failure
+    fold(2, ("one", entries(5)))
+    fold(3, ("one", entries(80)))
+    assert rows() == whole | {"https://example.com/80": ("one", ("one",), 80)}
+    names = {p.name for p in (tmp_path / "state").iterdir() if not p.name.startswith(".")}
+    assert {n for n in names if n.startswith("manifest")} == {"manifest-000000000002.json", "manifest-000000000003.json"}
+    with pytest.raises(FileNotFoundError):
+        fold(9, ("one", entries(1)))
+
+
+def test_a_key_of_very_many_rows_folds_as_it_streams(spark):
+    n = 300_000
+    rows = spark.range(n).selectExpr(
+        "id as doc_ord", "0L as item_ord", "concat('i', id) as id", "concat('f', id % 3) as feed_id", "'s' as source_name", "'c' as category", "'en' as language", "'x' as site_url", "concat('t', id) as title", "'u' as url",
+        "if(id = 200000, 'the longest of all', 'short') as summary", "cast(null as timestamp) as published_at", "timestamp_seconds(1700000000 - id) as fetched_at", "if(id = 77, 'Ann', null) as author", "cast(null as string) as image_url",
+        "array(concat('tag', id % 5)) as tags", "cast(null as string) as source_item_id", "array(concat('f', id % 3)) as seen_in_feeds", "'u' as normalized_url", "if(id < 299990, 'url:hot', concat('url:', id)) as dedupe_key",
+    )
+    found = dedupe(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Range (") == 1
+    by_key = {r.dedupe_key: r for r in found.collect()}
+    hot = by_key["url:hot"]
+    assert len(by_key) == 11 and hot.merged == n - 10 and (hot.doc_ord, hot.author, hot.summary) == (0, "Ann", "the longest of all")
+    assert sorted(hot.tags) == [f"tag{k}" for k in range(5)] and sorted(hot.seen_in_feeds) == ["f0", "f1", "f2"] and hot.fetched_at == dt.datetime.fromtimestamp(1700000000 - (n - 11), dt.UTC).replace(tzinfo=None)
+
+
+def test_random_folds_match_the_model(spark):
+    import random
+
+    rng, rows, want = random.Random(4), [], {}
+    for key in range(40):
+        mine = []
+        for k in range(rng.choice([1, 1, 2, 3, 9])):
+            mine.append(article(len(rows) + k, f"url:{key}", author=rng.choice([None, "", "A", "B"]), image_url=rng.choice([None, "i"]), summary=rng.choice([None, "", "s", "lo\U0001f600ng", "longer"]), tags=rng.choice([[], ["x"], ["y", "", "x"]]),
+                                published_at=rng.choice([None, dt.datetime(2026, 2, rng.randrange(1, 9))]), fetched_at=dt.datetime(2026, 1, 1, 0, rng.randrange(3)), source_item_id=rng.choice([None, "n"])))
+        rows += mine
+        want[f"url:{key}"] = (len(mine), fold([r | {"summary": r["summary"]} for r in mine]))
+    got = {r.dedupe_key: r for r in dedupe(spark.createDataFrame(rng.sample(rows, len(rows)), ARTICLE)).collect()}
+    assert got.keys() == want.keys()
+    for key, (n, row) in want.items():
+        assert got[key].merged == n
+        for f in ("id", "fetched_at", "published_at", *(("tags", "seen_in_feeds", "summary", "author", "image_url") if n > 1 else ())):
+            assert (getattr(got[key], f) or None) == (row[f] or None), (key, f)
+
+
+def test_ranks_meet_nowhere(spark):
+    import random
+
+    from plumeline.operators.ranking import ranked, ranked_few
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(f"i{n}", rng.randrange(5)) for n in range(500)], "id string, score long").repartition(7)
+    order = (F.desc("score"), F.asc("id"))
+    got = ranked(rows, *order)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in ranked_few(rows, *order).collect()}
+    assert ranked(rows.limit(0), *order).count() == 0
+
+
+def test_postings_find_what_a_scan_finds(spark, tmp_path):
+    import random
+
+    from plumeline.operators import postings as PO
+
+    rng = random.Random(2)
+    words = ["spark", "tips", "été", "weekly", "straße", "data", "日本語", "a", "bc"]
+    rows = [(str(n), " ".join(rng.choice(words) for _ in range(rng.randrange(6))), rng.choice(words), [rng.choice(words)], [], str(n)) for n in range(300)]
+    index = discovery.search_index(spark.createDataFrame(rows, "id string, title string, source_name string, source_tags array<string>, entry_tags array<string>, sort_at string")).persist()
+    PO.write(index, str(tmp_path / "postings"))
+    postings, counts = PO.read(spark, str(tmp_path / "postings")), PO.read_sizes(spark, str(tmp_path / "postings"))
+    texts = [r.search_text for r in index.collect()]
+    queries = ["", "zz", "bc", "a bc", "nothere", "STRASSE", "日本語 tips"]
+    for _ in range(25):
+        text = rng.choice([t for t in texts if len(t) > 8])
+        at = rng.randrange(len(text) - 4)
+        queries.append(text[at : at + rng.randrange(2, 12)])
+    for q in queries:
+        want = {tuple(r) for r in discovery.search(index, q).collect()}
+        assert {tuple(r) for r in PO.indexed_search(index, postings, counts, q).collect()} == want, q
+    assert PO.candidates(postings, counts, "weekly straße").count() < 100
+    assert PO.candidates(postings, counts, "bc") is None
+    assert "PartitionFilters: [bucket" in PO._of(postings, ["wee", "eek"])._jdf.queryExecution().executedPlan().toString()
