@@ -54,7 +54,10 @@ def test_slug_and_compare_key(spark):
     ("value", "want"),
     [
         ("Sat, 07 Mar 2026 09:00:00 +0900", "2026-03-07T00:00:00.000Z"), ("7 Mar 2026 09:00:00 GMT", "2026-03-07T09:00:00.000Z"), ("2026-03-07T09:00:00+09:00", "2026-03-07T00:00:00.000Z"), ("2026-03-07", "2026-03-07T00:00:00.000Z"),
-        ("soon", None), ("", None), (None, None),
+        ("soon", None), ("", None), (None, None), ("Mar 7, 2026", "2026-03-07T00:00:00.000Z"), ("2026/03/07", "2026-03-07T00:00:00.000Z"), ("2026-03", "2026-03-01T00:00:00.000Z"), ("2026", "2026-01-01T00:00:00.000Z"),
+        ("7 Mar 26 09:00:00 GMT", "2026-03-07T09:00:00.000Z"), ("7 Mar 69", "1969-03-07T00:00:00.000Z"), ("10 March 2026", "2026-03-10T00:00:00.000Z"), ("March 10, 2026 5:04 PM", "2026-03-10T17:04:00.000Z"), ("Saturday, March 7, 2026 12:05 am EST", "2026-03-07T05:05:00.000Z"),
+        ("03/07/2026 10:00", "2026-03-07T10:00:00.000Z"), ("2026 Mar 7 10:00:01.5 +0230", "2026-03-07T07:30:01.500Z"), ("Feb 30 2026", "2026-03-02T00:00:00.000Z"), ("Sat Mar 07 2026 09:00:00 GMT+0900 (Japan Standard Time)", "2026-03-07T00:00:00.000Z"),
+        ("March 2026", "2026-03-01T00:00:00.000Z"), ("7-Mar-2026 01:02:03 -05:00", "2026-03-07T06:02:03.000Z"), ("7 March 2026 at noon", None), ("13/13/2026", None), ("7 Mar 2026 25:00", None), ("item 12345678901234567890", None),
     ],
 )
 def test_parse_date(spark, value, want):
