@@ -61,8 +61,8 @@ def normalize_url(url: Column) -> Column:
     """The canonical form of an absolute URL; null for anything else.
 
     Scheme and host are lower-cased, the fragment, a default port, tracking pairs and slashes at the path's end go,
-    pairs are sorted and encoded as forms are. Of the URL standard's corner cases, internationalised hosts and IPv4
-    shorthand are left as they are.
+    pairs are sorted and encoded as forms are. Hosts of web schemes are written as the URL standard has them: numbers as IPv4
+    addresses, other scripts in Punycode; hosts with sharp s, final sigma or joiners, which older rules fold away, are left as they are.
     """
     text = F.regexp_replace(url, f"^(?:{SPACE}|[\\x00-\\x20])+|(?:{SPACE}|[\\x00-\\x20])+$", "")
     parts = bound(F.regexp_replace(text, "[\\t\\r\\n]", ""), _split_scheme)
@@ -92,7 +92,7 @@ def _split_body(p: Column) -> Column:
 def _assembled(p: Column) -> Column:
     authority, special, slashed = p["authority"], p["special"], p["slashed"]
     user, h = F.regexp_extract(authority, "^(.*@)", 1), bound(authority, _host_and_port)
-    host, port = h["host"], _port(p["scheme"], h["port"])
+    host, port = F.when(special, h["host"]).otherwise(h["plain"]), _port(p["scheme"], h["port"])
     path = bound(F.when(p["path"].contains("/."), _resolved(p["path"])).otherwise(p["path"]), _encoded_path)
     path = F.when(slashed, bound(path, lambda t: F.when(F.length(t) > 1, F.regexp_replace(t, "/+$", "")).otherwise(t))).otherwise(p["path"])
     path = bound(path, lambda t: F.when(special & (t == ""), "/").otherwise(t))
@@ -132,7 +132,33 @@ def _host_and_port(authority: Column) -> Column:
     port = F.regexp_extract(rest, ":0*([0-9]*)$", 1)
     wrong = F.regexp_like(rest, F.lit(":.*[^0-9]")) | (F.length(port) > 5) | (F.coalesce(F.try_to_number(F.nullif(port, F.lit("")), F.lit("99999")), F.lit(0)) > 65535)
     number = F.when((port == "") & F.regexp_like(rest, F.lit(":0+$")), "0").otherwise(port)
-    return F.struct(host.alias("host"), number.alias("port"), (wrong | (host == "") | F.regexp_like(host, F.lit("[\\x00-\\x20<>^|%#\\\\]"))).alias("bad"))
+    odd = wrong | (host == "") | F.regexp_like(host, F.lit("[\\x00-\\x20<>^|%#\\\\]"))
+    return bound(F.struct(host.alias("plain"), bound(host, _written_host).alias("host"), number.alias("port"), odd.alias("odd")), lambda h: F.struct(h["plain"].alias("plain"), F.coalesce(h["host"], F.lit("")).alias("host"), h["port"].alias("port"), (h["odd"] | h["host"].isNull()).alias("bad")))
+
+
+def _written_host(host: Column) -> Column:
+    """A host in lower case as web URLs have it; null if it is none."""
+    named = F.when(F.regexp_like(host, F.lit("^[\\x00-\\x7F]*$")), host).when(F.regexp_like(host, F.lit("[\\x{DF}\\x{3C2}\\x{200C}\\x{200D}]")), host)
+    named = named.otherwise(F.lower(F.try_reflect(F.lit("com.ibm.icu.text.IDNA"), F.lit("convertIDNToASCII"), F.coalesce(host, F.lit("")), F.lit(1))))
+    return bound(named, lambda h: F.when(F.regexp_like(h, F.lit("(?:^|[.])(?:[0-9]+|0x[0-9a-f]*)[.]?$")), _address(h)).otherwise(h))
+
+
+def _address(host: Column) -> Column:
+    """The IPv4 address that a host ending in a number stands for, with parts in tens, eights or sixteens and the last one filling up; null if it is none."""
+    short = lambda t: F.when(F.length(t) <= 11, t)
+
+    def number(t: Column) -> Column:
+        digits = F.when(F.regexp_like(t, F.lit("^0x[0-9a-f]*$")), F.conv(short(F.concat(F.lit("0"), F.substring(t, 3, 99))), 16, 10)).when(F.regexp_like(t, F.lit("^0[0-7]*$")), F.conv(short(t), 8, 10)).when(F.regexp_like(t, F.lit("^[1-9][0-9]*$")), short(t))
+        return digits.cast("long")
+
+    def joined(v: Column) -> Column:
+        n, last = F.size(v), F.element_at(v, -1)
+        first = F.aggregate(F.slice(v, 1, n - 1), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+        room = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), n)
+        right = ~F.exists(v, lambda x: x.isNull()) & ~F.exists(F.slice(v, 1, n - 1), lambda x: x > 255)
+        return F.when(n <= 4, F.when(right & (last < room), bound(first * room + last, lambda ip: F.concat_ws(".", *[F.shiftright(ip, k).bitwiseAND(F.lit(255)) for k in (24, 16, 8, 0)]))))
+
+    return bound(F.transform(F.split(F.regexp_replace(host, "[.]$", ""), "[.]"), number), joined)
 
 
 def _port(scheme: Column, port: Column) -> Column:

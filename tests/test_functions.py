@@ -16,6 +16,8 @@ def one(spark, value, build):
     [
         ("HTTPS://Example.com:443/News/Item/?utm_source=x&b=2&a=1#part", "https://example.com/News/Item?a=1&b=2"), ("http://example.com", "http://example.com/"), ("http://example.com:8080/a//", "http://example.com:8080/a"),
         ("https://e.com/?q=a+b&q=%7E", "https://e.com/?q=%7E&q=a+b"), ("https://e.com/?FBCLID=1&gclid=2&mc_cid=3", "https://e.com/"), ("https://e.com/a/../b/./c", "https://e.com/b/c"), ("https://e.com/a b", "https://e.com/a%20b"),
+        ("http://0x7f.1/", "http://127.0.0.1/"), ("http://2130706433/a", "http://127.0.0.1/a"), ("http://0300.168.257", "http://192.168.1.1/"), ("http://1.2.3.4./", "http://1.2.3.4/"), ("http://1.2.3.256/", None), ("http://1.2.3.4.5/", None), ("http://a.09/", None),
+        ("http://4294967296/", None), ("http://1.2.3.4a/", "http://1.2.3.4a/"), ("https://Bücher.example/ü", "https://xn--bcher-kva.example/%C3%BC"), ("https://日本語。jp:443", "https://xn--wgv71a119e.jp/"), ("x://0x7f.1/a", "x://0x7f.1/a"),
         ("mailto:a@b.example", "mailto:a@b.example"), ("/relative", None), ("not a url", None), ("", None), ("  ", None), (None, None), ("http://", None), ("http://e.com:x/", None), ("https://e.com/é?k=%zz", "https://e.com/%C3%A9?k=%25zz"),
     ],
 )
