@@ -14,6 +14,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from . import kernel as K
 from .common import discard, read, spread, stage
 
 BLOCK = 1 << 24  # bytes of text in a block; a longer text makes a block of its own
-CHUNK = 1 << 20  # bytes of a block, or codes, that are worked on at once; whole rows
+CHUNK = 1 << 20  # bytes of a block that are cut at once
+CODES = 1 << 18  # codes of a block that are worked on at once; whole rows
 #: White space beyond ASCII, in UTF-8, and U+2581, by which the second tokenizer writes a space.
 _WIDE = {int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x2581, 0x3000)}
 _PART = 4096  # segments that are tokenised at once
@@ -103,11 +105,11 @@ def cuts(data: np.ndarray, offsets: np.ndarray, unsafe: list[int]) -> np.ndarray
     return np.unique(np.concatenate([offsets[:-1][full], at]))
 
 
-def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Rows from and to, of about CHUNK between their offsets."""
+def _chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of about ``size`` between their offsets."""
     at = 0
     while at < len(offsets) - 1:
-        to = min(len(offsets) - 1, max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1))
+        to = min(len(offsets) - 1, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
         yield at, to
         at = to
 
@@ -117,7 +119,7 @@ def _packed(codes: np.ndarray) -> bytes:
 
 
 def _unpacked(codes: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(codes, 4 * n, "zstd", asbytes=True), "<i4").astype(np.int64) if n else np.zeros(0, np.int64)
+    return np.frombuffer(pa.decompress(codes, 4 * n, "zstd", asbytes=True), "<i4") if n else np.zeros(0, np.int32)
 
 
 def _blocks(unsafe: list[int]):
@@ -126,7 +128,7 @@ def _blocks(unsafe: list[int]):
         for batch in batches:
             for x, y, data, offsets in K.slices(batch.column(1), BLOCK):
                 parts = [np.zeros(0, np.int64)]
-                for a, b in _chunks(offsets):
+                for a, b in _chunks(offsets, CHUNK):
                     if offsets[b] > offsets[a]:
                         parts.append(offsets[a] + cuts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unsafe))
                 starts = np.concatenate(parts)
@@ -217,13 +219,12 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
 
 
-def _pairs_of_rows(ends: np.ndarray, codes: np.ndarray, fit: np.ndarray, by_code: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Id pairs, and in how many of the rows that fit each is linked."""
-    sizes = np.array([len(p) for p in by_code], np.int64)
-    names, dense = np.unique(np.array([p for pairs in by_code for p in pairs], np.int64), return_inverse=True)
+def _pairs_of_rows(ends: np.ndarray, codes: np.ndarray, fit: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id pairs, and in how many of the rows that fit each is linked. ``flat`` has the pairs of all codes in a row, ``sizes`` how many are each code's."""
+    names, dense = np.unique(flat, return_inverse=True)
     first, n = np.cumsum(sizes) - sizes, np.zeros(len(names), np.int64)
     offsets = np.append(0, ends).astype(np.int64)
-    for x, y in _chunks(offsets):
+    for x, y in _chunks(offsets, CODES):
         row_of = np.repeat(np.arange(y - x), np.diff(offsets[x : y + 1]))
         keep = fit[x:y][row_of]
         once = np.unique(row_of[keep] * np.int64(max(1, len(sizes))) + codes[offsets[x] : offsets[y]][keep])  # a segment counts once in a row
@@ -242,24 +243,25 @@ def _composer(digests: bool):
         out = []
         texts = more["shown"].to_numpy()[np.argsort(more["code"].to_numpy())]
         fits = np.array([t is not None for t in texts], bool)
-        found = [linked(t) if t is not None else (0, 0, 0, []) for t in texts]
-        numbers = np.array([(a, b, g, len(pairs)) for a, b, g, pairs in found], np.int64).reshape(-1, 4)
-        by_code = [x[3] for x in found]
-        del found
+        told, flat = array("q"), array("q")
+        for t in texts:
+            *counts, pairs = linked(t) if t is not None else (0, 0, 0, [])
+            told.extend((*counts, len(pairs)))
+            flat.extend(pairs)
+        numbers, flat = np.array(told, np.int64).reshape(-1, 4), np.array(flat, np.int64)
         for home, ids, ends, codes in zip(*[block[c] for c in ("block", "doc_ids", "ends", "codes")], strict=True):
             at = np.asarray(ends)
             words = _unpacked(codes, int(at[-1]))
             fit, groups, counts = np.ones(len(at), bool), [], []
             offsets = np.append(0, at).astype(np.int64)
-            for x, y in _chunks(offsets):
+            for x, y in _chunks(offsets, CODES):
                 part, to = words[offsets[x] : offsets[y]], offsets[x + 1 : y + 1] - offsets[x]
                 fit[x:y] = ok = np.bincount(_of_rows(to), ~fits[part], y - x) == 0
                 shown = texts[part]
-                groups += [";".join(shown[p:q]) if o else "" for p, q, o in zip([0, *to[:-1]], to, ok, strict=True)]
+                listed = [";".join(shown[p:q]) if o else "" for p, q, o in zip([0, *to[:-1]], to, ok, strict=True)]
+                groups += [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in listed] if digests else listed
                 counts.append(np.stack([np.where(ok, _sums(numbers[part, k], to), 0) for k in range(4)]))
-            if digests:
-                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            pairs, n = _pairs_of_rows(at, words, fit, by_code)
+            pairs, n = _pairs_of_rows(at, words, fit, numbers[:, 3], flat)
             out.append((home, ids, ends, codes, fit, *np.concatenate(counts, 1), groups, pairs, n))
         K.release()
         return pd.DataFrame(out, columns=["block", "doc_ids", "ends", "codes", "fit", *_COUNTS, "groups", "pairs", "n"])

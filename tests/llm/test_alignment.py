@@ -56,6 +56,7 @@ ODD = [
 def test_tokens_of_segments_are_those_of_the_whole(spark, table, edge_docs, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", 4000)
     monkeypatch.setattr(alignment, "CHUNK", 700)
+    monkeypatch.setattr(alignment, "CODES", 100)
     rows = [(i, t) for i, t, _, _ in edge_docs] + [(100 + k, t) for k, t in enumerate(ODD)] + [((1 << 60) + 1, "big id")]
     found, links = align(table([(i, t, None, None) for i, t in rows]), *PATHS)
     want, counts = brute(rows)
