@@ -130,8 +130,12 @@ def base_matches(text: Column, kind: str) -> Column:
     return F.when(needed, matches(text, BASE[kind])).otherwise(F.array().cast(_ROW))
 
 
+#: Longest match that passes for a decoy: what is longer is no span that anybody proposes.
+LONGEST_DECOY = 64
+
+
 def _checked(column: str, kind: str, right: bool) -> Column:
-    return F.filter(column, lambda s: _valid(kind, s["value"]) if right else ~_valid(kind, s["value"]))
+    return F.filter(column, lambda s: _valid(kind, s["value"]) if right else (F.length(s["value"]) <= LONGEST_DECOY) & ~_valid(kind, s["value"]))
 
 
 def _needs(text: Column, kind: str) -> Column:
