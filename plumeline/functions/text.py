@@ -26,7 +26,8 @@ def tag_open(name: str) -> str:
 def _numbered(text: Column, pattern: str, base: int) -> Column:
     """Replace the numeric entities of one base in one pass: what they make is not read again."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    char = lambda m: F.coalesce(F.decode(F.unhex(F.lpad(F.hex(_code(m, base)), 8, "0")), "UTF-32"), F.lit(""))
+    # a byte order mark of our own goes first: the decoder takes one away, and that could be U+FEFF itself
+    char = lambda m: F.coalesce(F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(_code(m, base)), 8, "0"))), "UTF-32"), F.lit(""))
     return bound(found, lambda marks: F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, char(F.get(marks, i)))), ""))
 
 

@@ -110,3 +110,15 @@ def test_numeric_entities_in_one_pass(spark):
 )
 def test_numbers_that_are_no_characters(spark, value, want):
     assert one(spark, value, T.decode_entities) == want
+
+
+def test_byte_order_mark_by_number(spark):
+    assert one(spark, "a&#65279;b&#xFEFF;&#xfeff;c", T.decode_entities) == "a\ufeffb\ufeff\ufeffc"
+    assert one(spark, "&#xFEFF;", T.decode_entities) == "\ufeff"
+
+
+def test_every_number_in_unicode_and_beyond(spark):
+    """Each number from 0 to beyond Unicode, by both bases, is the character that Python has for it."""
+    rows = spark.range(0, 0x110100, 1, 4).select("id", T.decode_entities(F.concat(F.lit("<&#"), F.col("id").cast("string"), F.lit(";&#x"), F.hex("id"), F.lit(";>"))).alias("shown"))
+    char = lambda n: "\ufffd" if n > 0x10FFFF or 0xD800 <= n <= 0xDFFF else chr(n)
+    assert [n for n, shown in rows.collect() if shown != f"<{char(n) * 2}>"] == []
