@@ -50,6 +50,11 @@ def tag_summary(tags: DataFrame) -> DataFrame:
     )
 
 
+def tag_page(articles: DataFrame, tag_id: str, compatible: bool = True) -> DataFrame:
+    """(id, sort_at) of public articles with a tag of this compare key, each once. Rows without URL and item, which the fold leaves as they are, share their id where source, title and date are the same."""
+    return articles.where(F.exists(F.concat("source_tags", "entry_tags"), lambda t: compare_key(t, compatible) == tag_id)).select("id", "sort_at").distinct()
+
+
 def tag_shelves(tags: DataFrame, shelves: DataFrame) -> DataFrame:
     """(tag_id, shelf_ids): shelves of the tag's articles in declared order, comma-joined; ``shelves`` (id, shelf_ord)."""
     named = tags.select("tag_id", F.explode("shelf_ids").alias("shelf_id")).distinct().join(shelves.select(F.col("id").alias("shelf_id"), "shelf_ord"), "shelf_id")

@@ -303,7 +303,7 @@ _simple("shelf_fk_violations", lambda s, d: DC.shelf_key_violations(B.shelved_re
 _simple("tag_explode", lambda s, d: DC.exploded_tags(B.tagged(s, d)).groupBy("tag_id", "origin").agg(F.count(F.lit(1)).alias("n")).withColumn("origin", F.col("origin").cast("long")), with_ctes("tags", "SELECT tag_id, origin::BIGINT AS origin, count(*) AS n FROM tags GROUP BY ALL"))
 _simple("tag_summary", lambda s, d: DC.tag_summary(DC.exploded_tags(B.tagged(s, d))), with_ctes("tags", "SELECT tag_id, arg_min(label, {'o': origin, 'l': label}) AS label, count(DISTINCT id) AS article_count, count(DISTINCT source_id) AS source_count, max(sort_at) AS latest_sort_at FROM tags GROUP BY 1"))
 _simple("tags_ranked", lambda s, d: RK.ranked(DC.tag_summary(DC.exploded_tags(B.tagged(s, d))), F.desc("article_count"), F.desc("latest_sort_at"), F.asc("label")).select("tag_id", "rank"), with_ctes("tags", "SELECT tag_id, row_number() OVER (ORDER BY n DESC, l DESC, label) AS rank FROM (SELECT tag_id, arg_min(label, {'o': origin, 'l': label}) AS label, count(DISTINCT id) AS n, max(sort_at) AS l FROM tags GROUP BY 1)"))
-_simple("tag_page", lambda s, d: B.tagged(s, d).where(F.exists(F.concat("source_tags", "entry_tags"), lambda t: T.compare_key(t, False) == "t")).select("id", "sort_at"), with_ctes("tags", "SELECT DISTINCT id, sort_at FROM tags WHERE tag_id = 't'"))
+_simple("tag_page", lambda s, d: DC.tag_page(B.tagged(s, d), "t", False), with_ctes("tags", "SELECT DISTINCT id, sort_at FROM tags WHERE tag_id = 't'"))
 _simple("tag_related_shelves", lambda s, d: DC.tag_shelves(DC.exploded_tags(B.tagged(s, d)), B.shelves(s, d)), with_ctes("tags shelf", "SELECT tag_id, string_agg(shelf.id, ',' ORDER BY shelf_ord) AS shelf_ids FROM (SELECT DISTINCT tag_id, unnest(shelf_ids) AS s FROM tags) JOIN shelf ON shelf.id = s GROUP BY 1"))
 _simple("shelf_page", lambda s, d: B.tagged(s, d).where(F.array_contains("shelf_ids", "europe")).select("id", "sort_at"), with_ctes("tagd", "SELECT id, sort_at FROM tagd WHERE list_contains(shelf_ids, 'europe')"))
 _simple(

@@ -2,6 +2,7 @@ import datetime as dt
 import itertools
 import json
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from plumeline.operators import discovery, summaries, views
 from plumeline.operators.dedupe import dedupe
 from plumeline.operators.normalize import canonical_articles
 from plumeline.plans import pipeline as P
+from plumeline.plans import queries
 from plumeline.sources import documents as D
 from plumeline.sources import registry as R
 from plumeline.streaming import incremental
@@ -272,3 +274,23 @@ def test_postings_find_what_a_scan_finds(spark, tmp_path):
     assert PO.candidates(postings, counts, "weekly straße").count() < 100
     assert PO.candidates(postings, counts, "bc") is None
     assert "PartitionFilters: [bucket" in PO._of(postings, ["wee", "eek"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tag_page_has_an_article_once(spark, tmp_path):
+    """Rows 33, 66 and 132 have neither URL, item nor date, and one source and title, so one id; 99 is of another source."""
+    rows = [(33, "The same title", "en", "src1"), (66, "The same title", "en", "src1"), (132, "The same title", "fr", "src1"), (99, "The same title", "en", "src2"), (5, "the same title", "en", "src1"), (165, "Another title", "en", "src1")]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES["tag_page"](spark, path).collect())
+    assert len(got) == 3 and got == sorted(con.execute(queries.ORACLE_SQL["tag_page"]).fetchall())
+
+
+def test_tag_page_by_either_tags(spark):
+    rows = [("a", "1", ["Ｔech"], ["tech "]), ("b", "2", ["Other"], ["TECH"]), ("c", "3", [], []), ("d", "4", ["technical"], []), ("a", "1", [], ["tech"])]
+    articles = spark.createDataFrame(rows, "id string, sort_at string, source_tags array<string>, entry_tags array<string>")
+    assert sorted(tuple(r) for r in discovery.tag_page(articles, "tech").collect()) == [("a", "1"), ("b", "2")]
